@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from parlance.llm.jaccard_join import op7_jaccard_join
 from parlance.llm.token_output import op3_token_output
 
 QUERIES = {
+    "op7_jaccard_join": op7_jaccard_join,
     "op3_token_output": op3_token_output,
 }
 

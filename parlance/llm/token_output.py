@@ -25,6 +25,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,46 +42,85 @@ LENGTH = 2048
 BATCH_ROWS = 1024
 END_ID = 0
 
-_DOUBLE_SPACE = re.compile(r"\s\s")
+_DOUBLE_SPACE = re.compile(r"\s\s|[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A word with the punctuation after it.
+_WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
 
 
 class PieceEncoder:
     """Encodes texts piece by piece, remembering pieces.
 
-    The byte-level pre-tokenizer starts a new word at every single space between two
-    non-space characters, so what stands between such spaces is encoded alone and the ids
-    are joined. Texts repeat their words; only unseen pieces go through the tokenizer.
-    The memory of pieces is emptied at ``limit`` entries.
+    The byte-level pre-tokenizer cuts at every single space or line end between two other
+    characters, and between letters and punctuation. So what stands between such places is
+    encoded alone and the ids are joined. Texts repeat their words; only unseen pieces go
+    through the tokenizer. At most ``limit`` pieces are remembered, in two generations:
+    when the newer one is full, the older one is forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _fresh(self, pieces: list[str], prefix: str) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([prefix + p for p in pieces], add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        #: By what comes before a piece: ids of pieces, newer and older.
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.older: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.line_end = self._fresh(["\n"])[0]
+        self.end = array(self.code, [END_ID]).tobytes()
+
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        code = self.code
+        return [array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str], before: str) -> None:
+        """Make all pieces known."""
+        known, older = self.known[before], self.older[before]
+        ask, halves = [], []
+        for p in pieces.difference(known):
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+            elif m := _WORD.fullmatch(p):
+                halves.append((p, *m.groups()))
+            else:
+                ask.append(p)
+        if halves:
+            self._learn({word for _, word, _ in halves}, before)
+            self._learn({tail for _, _, tail in halves}, "") if before else ask.extend({tail for _, _, tail in halves}.difference(known))
+        if ask:
+            known.update(zip(ask, self._fresh([before + p for p in ask])))
+        tails, known = self.known[""], self.known[before]
+        for p, word, tail in halves:
+            known[p] = known[word] + tails[tail]
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end id."""
-        end = np.array([END_ID], self.dtype).tobytes()
         for at in range(0, len(texts), 256):
-            split = []
+            split: list[list[list[str]]] = []
+            firsts, rests = set(), set()
             for text in texts[at : at + 256]:
-                plain = text and not text[0].isspace() and not text[-1].isspace() and not _DOUBLE_SPACE.search(text)
-                split.append(text.split(" ") if plain else _CUT.split(text) if text else [""])
-            known = self.known
-            if len(known) > self.limit:
-                known.clear()
-            unseen = list(set().union(*(x[1:] for x in split)).difference(known))
-            known.update(zip(unseen, self._fresh(unseen, " ")))
-            for (first, *rest), head in zip(split, self._fresh([x[0] for x in split], "")):
-                yield np.frombuffer(b"".join([head, *map(known.__getitem__, rest), end]), self.dtype)
+                plain = text and not text[0].isspace() and not text[-1].isspace() and not _DOUBLE_SPACE.search(text) and " \n" not in text and "\n " not in text
+                lines = [line.split(" ") for line in text.split("\n")] if plain else [_CUT.split(text)]
+                for first, *rest in lines:
+                    firsts.add(first)
+                    rests.update(rest)
+                split.append(lines)
+            for before, known in self.known.items():
+                if len(known) > self.limit // 2:
+                    self.older[before], self.known[before] = known, {}
+            self._learn(rests, " ")
+            self._learn(firsts, "")
+            starts, spaced = self.known[""], self.known[" "]
+            for lines in split:
+                parts = []
+                for first, *rest in lines:
+                    parts.append(starts[first])
+                    parts += map(spaced.__getitem__, rest)
+                    parts.append(self.line_end)
+                parts[-1] = self.end
+                yield np.frombuffer(b"".join(parts), self.dtype)
 
 
 def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
