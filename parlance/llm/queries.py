@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from parlance.llm.jaccard_join import op7_jaccard_join
+from parlance.llm.mixing import OP9_SQL, op9_source_mixing
 from parlance.llm.token_output import op3_token_output
 
 QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
+    "op9_source_mixing": op9_source_mixing,
     "op3_token_output": op3_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_source_mixing": OP9_SQL,
+}

@@ -42,8 +42,6 @@ LENGTH = 2048
 BATCH_ROWS = 1024
 END_ID = 0
 
-_DOUBLE_SPACE = re.compile(r"\s\s|[^\S \n]")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A word with the punctuation after it.
 _WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-^`{-~]+)")
 
@@ -66,8 +64,8 @@ class PieceEncoder:
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         #: By what comes before a piece: ids of pieces, newer and older.
-        self.known: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.older: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.known: dict[str, dict[str, bytes | None]] = {" ": {}, "": {}}
+        self.older: dict[str, dict[str, bytes | None]] = {" ": {}, "": {}}
         self.line_end = self._fresh(["\n"])[0]
         self.end = array(self.code, [END_ID]).tobytes()
 
@@ -80,8 +78,10 @@ class PieceEncoder:
         known, older = self.known[before], self.older[before]
         ask, halves = [], []
         for p in pieces.difference(known):
-            if (ids := older.get(p)) is not None:
-                known[p] = ids
+            if p in older:
+                known[p] = older[p]
+            elif not p or p[0].isspace() or p[-1].isspace():
+                known[p] = None  # the cut beside it is no good
             elif m := _WORD.fullmatch(p):
                 halves.append((p, *m.groups()))
             else:
@@ -101,8 +101,7 @@ class PieceEncoder:
             split: list[list[list[str]]] = []
             firsts, rests = set(), set()
             for text in texts[at : at + 256]:
-                plain = text and not text[0].isspace() and not text[-1].isspace() and not _DOUBLE_SPACE.search(text) and " \n" not in text and "\n " not in text
-                lines = [line.split(" ") for line in text.split("\n")] if plain else [_CUT.split(text)]
+                lines = [line.split(" ") for line in text.split("\n")]
                 for first, *rest in lines:
                     firsts.add(first)
                     rests.update(rest)
@@ -113,14 +112,18 @@ class PieceEncoder:
             self._learn(rests, " ")
             self._learn(firsts, "")
             starts, spaced = self.known[""], self.known[" "]
-            for lines in split:
+            for text, lines in zip(texts[at : at + 256], split):
                 parts = []
                 for first, *rest in lines:
                     parts.append(starts[first])
                     parts += map(spaced.__getitem__, rest)
                     parts.append(self.line_end)
                 parts[-1] = self.end
-                yield np.frombuffer(b"".join(parts), self.dtype)
+                try:
+                    ids = b"".join(parts)
+                except TypeError:  # white space beside a cut: the text as it is
+                    ids = self._fresh([text])[0] + self.end
+                yield np.frombuffer(ids, self.dtype)
 
 
 def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
