@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from parlance.llm.decontaminate import op8_decontamination
 from parlance.llm.jaccard_join import op7_jaccard_join
 from parlance.llm.mixing import OP9_SQL, op9_source_mixing
 from parlance.llm.token_output import op3_token_output
 
 QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
     "op3_token_output": op3_token_output,
 }
