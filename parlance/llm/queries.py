@@ -5,15 +5,20 @@ from __future__ import annotations
 from parlance.llm.decontaminate import op8_decontamination
 from parlance.llm.jaccard_join import op7_jaccard_join
 from parlance.llm.mixing import OP9_SQL, op9_source_mixing
+from parlance.llm.quality import op6_quality
+from parlance.llm.secrets import op1_secrets
 from parlance.llm.token_output import op3_token_output
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op3_token_output": op3_token_output,
+    "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
-    "op3_token_output": op3_token_output,
 }
 
+#: Where SQL is missing it can't express the operator (see tests/llm).
 ORACLE_SQL: dict[str, str] = {
     "op9_source_mixing": OP9_SQL,
 }
