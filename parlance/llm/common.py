@@ -61,7 +61,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, with a cache that is emptied when it is full."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 400_000):
         import xxhash
 
         self.digest, self.known, self.limit = xxhash.xxh3_64_intdigest, {}, limit

@@ -48,7 +48,7 @@ PLAIN, NUMBER, UNIT, CAPITAL, STOPS, BLANK = 0, 1, 2, 4, 8, 16
 class Templates:
     """Template hashes of the words of a text; what a raw word gives is remembered."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 400_000):
         import xxhash
 
         self.digest, self.limit = xxhash.xxh3_64_intdigest, limit

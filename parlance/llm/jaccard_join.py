@@ -131,8 +131,8 @@ def _sets(docs: DataFrame, width: int, scheme: PartEnum) -> DataFrame:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _hashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 n, one, two, signatures, sketches = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
                     s = shingles(hashes(ascii_words(text)), width)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from parlance.llm.brown_lm import op10_brown_lm
 from parlance.llm.decontaminate import op8_decontamination
 from parlance.llm.jaccard_join import op7_jaccard_join
 from parlance.llm.mixing import OP9_SQL, op9_source_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
     "op9_source_mixing": op9_source_mixing,
+    "op10_brown_lm": op10_brown_lm,
 }
 
 #: Where SQL is missing it can't express the operator (see tests/llm).
