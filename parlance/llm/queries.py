@@ -6,6 +6,7 @@ from parlance.llm.brown_lm import op10_brown_lm
 from parlance.llm.decontaminate import op8_decontamination
 from parlance.llm.jaccard_join import op7_jaccard_join
 from parlance.llm.mixing import OP9_SQL, op9_source_mixing
+from parlance.llm.pii import op5_pii
 from parlance.llm.quality import op6_quality
 from parlance.llm.secrets import op1_secrets
 from parlance.llm.token_output import op3_token_output
@@ -13,6 +14,7 @@ from parlance.llm.token_output import op3_token_output
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op3_token_output": op3_token_output,
+    "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_decontamination": op8_decontamination,
