@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from parlance.llm.brown_lm import op10_brown_lm
 from parlance.llm.decontaminate import op8_decontamination
+from parlance.llm.embedding_dedup import op2_embedding_dedup
 from parlance.llm.jaccard_join import op7_jaccard_join
+from parlance.llm.line_dedup import op4_line_dedup
 from parlance.llm.mixing import OP9_SQL, op9_source_mixing
 from parlance.llm.pii import op5_pii
 from parlance.llm.quality import op6_quality
@@ -13,7 +15,9 @@ from parlance.llm.token_output import op3_token_output
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_token_output": op3_token_output,
+    "op4_line_dedup": op4_line_dedup,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
