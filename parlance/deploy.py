@@ -1,4 +1,4 @@
-"""Ships this package to the executors, so that functions run there can import it."""
+"""Ships this package to the executors, so that functions that run there can import it."""
 
 from __future__ import annotations
 
@@ -21,4 +21,6 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(top.rglob("*.py")):
             out.write(p, p.relative_to(top.parent))
     context.addPyFile(path)
+    # rows may hold long texts: keep the batches that Python workers get small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context.parlance_shipped = True
