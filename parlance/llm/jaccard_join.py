@@ -12,7 +12,7 @@ Kaushik 2006) finds candidates:
   of ``n2 - k2`` of them is enumerated. So a pair within the threshold agrees on one subset,
   whose content is its signature.
 
-Sets that share a signature are compared by odd sketches, a bit for the parity of each part
+Signatures that the same sets share count once. Sets that share a signature are compared by odd sketches, a bit for the parity of each part
 of the domain: two sets differ in at least as many elements as their sketches in bits, so a
 pair beyond the threshold by its sketches is no pair. What remains forms groups, and all true
 links lie within a group. Groups are verified exactly from whole texts. Both steps split the
@@ -33,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import WordHashes, ascii_words, documents, mix, shingles, stored
@@ -261,10 +261,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, n2: i
         sets.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep")), "classes"
     )
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # signatures that different sets share, with the sketches of these sets
+    # signatures that different sets share; of signatures with the same sets, one
     marks = reps.select("doc_id", F.posexplode("signatures").alias("band", "found")).select("doc_id", "band", F.explode("found").alias("signature"))
-    counts = stored(marks.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1"), "signatures")
-    shared = stored(marks.join(counts.select("signature"), "signature"), "shared")
+    several = F.count("*").over(Window.partitionBy("signature"))
+    shared = stored(marks.withColumn("n", several).where("n > 1").drop("n"), "shared")
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "doc_id", "band")).alias(f"m{i}") for i in range(2)]
+    counts = shared.groupBy("signature").agg(F.count("*").alias("n"), *members)
+    counts = stored(counts.groupBy("m0", "m1", "n").agg(F.min("signature").alias("signature")).select("signature", "n"), "signatures")
+    shared = shared.join(counts.select("signature"), "signature", "left_semi")
     sketches = reps.select("doc_id", "n_shingles", F.posexplode("sketches").alias("band", "sketch"))
     near = _by_block(shared.join(sketches, ["doc_id", "band"]), "signature", counts, 1024, _sketch_links(percent), ("n_shingles", "sketch"))
     groups = connected_components(near, "candidates").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
