@@ -58,26 +58,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class WordHashes:
-    """64-bit hashes of words, with a cache that is emptied when it is full."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[2])[_LOWER]
+_POWERS: list[np.ndarray] = []
 
-    def __init__(self, limit: int = 400_000):
-        import xxhash
 
-        self.digest, self.known, self.limit = xxhash.xxh3_64_intdigest, {}, limit
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = int(MULTIPLIERS[3])
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)], dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            digest = self.digest
-            for w in set(words):
-                if w not in known:
-                    known[w] = digest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\x20\x09-\x0D]+`` of a text's bytes, A-Z lower-cased, and the places where they start.
+
+    Polynomial hashes from one running sum: a word's sum is the difference of two, divided by
+    the power at its start.
+    """
+    inside = np.r_[False, ~_SPACE[text], False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers(len(text))
+    total = np.r_[np.uint64(0), np.cumsum(_VALUES[text] * power[: len(text)], dtype=np.uint64)]
+    return mix((total[ends] - total[starts]) * inverse[starts]), starts
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -85,6 +93,11 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def text_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text, in order; no text, no words."""
+    return word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))[0] if text else np.empty(0, np.uint64)
+
+
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct hashes of ``width``-word shingles; fewer words make one shingle."""
     if not len(hashes):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import WordHashes, ascii_words, documents, mix, shingles, stored
+from parlance.llm.common import documents, mix, shingles, stored, text_hashes
 from parlance.llm.components import Forest, connected_components
 
 #: Sets compared in one task: blocks of this many against blocks of this many.
@@ -44,14 +44,6 @@ BLOCK = 384
 #: Size bands grow by this factor.
 BAND = 1.5
 
-_HASHES: list[WordHashes] = []
-
-
-def _hashes() -> WordHashes:
-    if not _HASHES:
-        _HASHES.append(WordHashes())
-    return _HASHES[0]
-
 
 class PartEnum:
     """Signatures for Jaccard similarity of at least ``percent`` / 100.
@@ -129,13 +121,12 @@ def _sets(docs: DataFrame, width: int, scheme: PartEnum) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), inner)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 n, one, two, signatures, sketches = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
-                    s = shingles(hashes(ascii_words(text)), width)
+                    s = shingles(text_hashes(text), width)
                     n.append(len(s))
                     one.append(int(np.add.reduce(s).view(np.int64)) if len(s) else None)
                     two.append(int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else None)
@@ -206,10 +197,9 @@ def _exact_links(width: int, percent: int):
                 yield rows[i][0], rows[j][0]
 
     def links(rows: list) -> Iterator[tuple[int, int]]:
-        hashes = _hashes()
         forest, sides = Forest(), {}
         for doc_id, block, _, _, text in rows:
-            sides.setdefault(block, []).append((doc_id, shingles(hashes(ascii_words(text)), width)))
+            sides.setdefault(block, []).append((doc_id, shingles(text_hashes(text), width)))
         first, second = rows[0][2], rows[0][3]
         if first in sides and second in sides:
             for a, b in similar(sides[first], None if first == second else sides[second]):
