@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(column: str = "ts"):
-    return F.unix_micros(F.to_timestamp(F.col(column)))
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """meeting_id, frame (minute of the month), energy_db: the loudest event of each minute."""
     return (
         table(spark, sf_dir, "events")
-        .groupBy(F.col("user_id").alias("meeting_id"), F.expr("unix_micros(to_timestamp(ts)) div 60000000 - 28401120").alias("frame"))
+        .groupBy(F.col("user_id").alias("meeting_id"), (F.floor(micros() / 60_000_000) - 28401120).alias("frame"))
         .agg(F.max(F.col("value")).alias("level"))
     )
 
