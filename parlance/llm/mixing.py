@@ -9,6 +9,10 @@ window, so at any slot each source has had its weight's share to within less tha
 The schedule repeats every cycle, so only one cycle is computed, and every block's slot
 follows from its number.
 
+More than ``cycle`` sources get a longer cycle, of at least two slots a source, so each has a
+slot and half of the slots follow the weights. The one cycle of so many sources is computed
+with a heap on the driver, which holds a few numbers for each source and slot.
+
 Within a source documents are ordered by the md5 of their id, then the id: a fixed shuffle.
 Ranks come from counts in 4,096 ranges of that hash, so a source with a third of all rows is
 spread over as many groups.
@@ -22,10 +26,14 @@ columns are kept, unless they have the name of a result column, which then repla
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import documents
+from parlance.llm.common import documents, stored
 
 BLOCK_ROWS = 16
 CYCLE = 1000
@@ -68,17 +76,44 @@ def _pattern(slots: DataFrame, cycle: int) -> DataFrame:
     return went.select("k", "slot", (F.row_number().over(Window.partitionBy("k").orderBy("slot")) - 1).alias("j"))
 
 
+def _long_pattern(slots: DataFrame, cycle: int) -> DataFrame:
+    """``_pattern`` of many sources: the same rows, in time that doesn't grow with sources times slots."""
+    weights = slots.select("k", "w").toArrow()
+    w = np.zeros(weights.num_rows, np.int64)
+    w[weights["k"].to_numpy()] = weights["w"].to_numpy()
+    w = w.tolist()
+    due = [((cycle + v - 1) // v, k) for k, v in enumerate(w)]  # released blocks: deadline, source
+    heapify(due)
+    waiting: list[tuple[int, int]] = []  # release and source of the next blocks
+    given, went, numbers = [0] * len(w), np.zeros(cycle, np.int32), np.zeros(cycle, np.int64)
+    for t in range(cycle):
+        while waiting and waiting[0][0] <= t:
+            k = heappop(waiting)[1]
+            heappush(due, (((given[k] + 1) * cycle + w[k] - 1) // w[k], k))
+        k = heappop(due)[1]
+        went[t], numbers[t] = k, given[k]
+        given[k] += 1
+        if given[k] < w[k]:
+            heappush(waiting, (given[k] * cycle // w[k], k))
+    table = pa.table({"k": went, "slot": np.arange(cycle, dtype=np.int32), "j": numbers.astype(np.int32)})
+    return stored(slots.sparkSession.createDataFrame(table), "pattern")
+
+
 def mix(docs: DataFrame, targets: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
     """``docs`` (doc_id, source, ...) with block, place in the block, slot, release, deadline, in_mix.
 
     ``targets``: whole-number weights by source, 1 where not named; without it, sources have
-    the weights of their numbers of blocks, so all end together. There can be at most
-    ``cycle`` sources.
+    the weights of their numbers of blocks, so all end together. ``cycle`` is the least
+    number of slots of a cycle; more sources than that get a longer one.
     """
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.drop(*RESULT).withColumns({"src": src, "hash": hashed}).withColumn("chunk", F.substring("hash", 1, 3))
-    counts = rows.groupBy("src", "chunk").agg(F.count("*").alias("n"))
+    counts = stored(rows.groupBy("src", "chunk").agg(F.count("*").alias("n")), "mixed")
+    n_sources = counts.select("src").distinct().count()
+    many = n_sources > cycle
+    if many:
+        cycle *= -(-2 * n_sources // cycle)
     blocks = F.ceil(F.col("rows") / block_rows)
     if targets is None:
         target = blocks
@@ -88,12 +123,17 @@ def mix(docs: DataFrame, targets: dict[str, int] | None = None, block_rows: int
             target = F.when(F.col("src") == f"={name}", weight).otherwise(target)
     sources = counts.groupBy("src").agg(F.sum("n").alias("rows")).withColumn("target", target.cast("long"))
     slots = _slots(sources, cycle)
-    pattern = F.broadcast(_pattern(slots, cycle))  # as many rows as the cycle has slots
+    if many:
+        slots = stored(slots, "slots")
+        pattern = _long_pattern(slots, cycle)
+    else:
+        pattern = F.broadcast(_pattern(slots, cycle))  # as many rows as the cycle has slots
     sourced = slots.withColumn("b", blocks).withColumn("j", F.expr("b % w"))
     ends = sourced.join(pattern, ["k", "j"]).agg(F.min(F.expr(f"b div w * {cycle} + slot")).alias("horizon"))
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    few = (lambda df: df) if many else F.broadcast
     offsets = counts.select("src", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    offsets = offsets.join(F.broadcast(slots.select("src", "k", "w")), "src").join(F.broadcast(ends))
+    offsets = offsets.join(few(slots.select("src", "k", "w")), "src").join(F.broadcast(ends))
     order = Window.partitionBy("src", "chunk").orderBy("hash", "doc_id")
     ranked = rows.join(offsets, ["src", "chunk"]).withColumn("rank", F.col("offset") + F.row_number().over(order) - 1)
     placed = ranked.withColumns({"block": F.expr(f"rank div {block_rows}"), "place": F.expr(f"cast(rank % {block_rows} as int)")})
