@@ -15,7 +15,7 @@ from parlance.deploy import ship
 from parlance.llm.common import documents, new_path, stored
 from parlance.llm.decontaminate import contaminated
 from parlance.llm.jaccard_join import jaccard_components
-from parlance.llm.mixing import mix
+from parlance.llm.mixing import TARGETS, mix
 from parlance.llm.quality import CUT, scored, train
 from parlance.llm.token_output import read_documents, write_sequences
 
@@ -48,11 +48,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: by file, and by row in each file.
 
-    The target weights are the sources' numbers of blocks, so every source lasts to the end
-    and each has its share, to within less than a block, wherever one stops reading.
+    The target weights are op9's ``TARGETS``. Each source has its share, to within less than
+    a block, wherever one stops reading before a source runs out; the documents after that
+    (``in_mix`` false) have the last slots, so they come last.
     """
     ship(spark)
-    mixed = mix(docs.select(*COLUMNS))
+    mixed = mix(docs.select(*COLUMNS), TARGETS)
     return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*COLUMNS)
 
 

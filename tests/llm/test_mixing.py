@@ -1,9 +1,11 @@
 """The mix of more sources than a cycle has slots."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from parlance.llm.mixing import _long_pattern, _pattern, mix
 
 
@@ -25,3 +27,15 @@ def test_long_pattern_is_the_same(spark):
     slots = spark.createDataFrame([("a", 0, 3), ("b", 1, 1), ("c", 2, 9), ("d", 3, 7)], "src string, k int, w int")
     columns = ("k", "j", "slot")
     assert sorted(_long_pattern(slots, 20).select(*columns).collect()) == sorted(_pattern(slots, 20).select(*columns).collect())
+
+
+def test_stage_mixes_to_targets(spark):
+    ids = spark.range(4 * 320)
+    docs = ids.select(
+        F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 4).alias("source"), F.lit(1).alias("n_chars")
+    )
+    rows = corpus_pipeline.mixing(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(4 * 320))
+    for n, want in ((16, (6, 4, 4, 2)), (40, (15, 10, 10, 5))):  # blocks, of 16 documents
+        got = Counter(r.source for r in rows[: n * 16])
+        assert all(abs(got[f"src{i}"] - 16 * x) <= 16 for i, x in enumerate(want))
