@@ -1,197 +1,161 @@
 """Mixing sources to target weights by Pfair scheduling. DataFrame functions only.
 
-Each source is cut into blocks of ``block_rows`` documents. Target weights become whole
-numbers of slots ``w`` in a cycle of ``cycle`` slots (largest remainders, one slot at least).
-Block i of a source has the release ``floor(i * cycle / w)`` and the deadline
-``ceil((i + 1) * cycle / w)``; in each slot the released block with the earliest deadline
-goes next (ties: by source). As the weights sum to the cycle, every block runs inside its
-window, so at any slot each source has had its weight's share to within less than one block.
-The schedule repeats every cycle, so only one cycle is computed, and every block's slot
-follows from its number.
-
-More than ``cycle`` sources get a longer cycle, of at least two slots a source, so each has a
-slot and half of the slots follow the weights. The one cycle of so many sources is computed
-with a heap on the driver, which holds a few numbers for each source and slot.
+Each source is cut into blocks of ``block_rows`` documents. With W the sum of all target
+weights, block i of a source of weight w has the release ``floor(i * W / w)`` and the deadline
+``ceil((i + 1) * W / w)``; in each slot the released block with the earliest deadline goes
+next (ties: the larger weight, then the source). As the weights sum to W, every block runs
+inside its window, so at any slot each source has had its target's share to within less than
+one block, while no source has run out. No weight is rounded.
+
+The schedule repeats every W slots, so one cycle is computed, and every block's slot follows
+from its number. Sources of equal weight have the same windows, so the cycle is scheduled for
+classes of equal weight: a class of m sources runs block i of each of them in the order of
+the sources. That takes W steps over a few numbers a class, however many sources there are.
+W may be up to ``MAX_CYCLE``; more is refused with an error, as is a weight that is no positive whole number.
 
 Within a source documents are ordered by the md5 of their id, then the id: a fixed shuffle.
-Ranks come from counts in 4,096 ranges of that hash, so a source with a third of all rows is
-spread over as many groups.
+Ranks come from counts in ranges of that hash, which hold about ``GROUP_ROWS`` rows of all
+sources, so a source with a third of all rows is spread over many groups at any size.
 
 All documents are kept. When a source runs out its slots stay empty; ``in_mix`` is true for
 the slots before the first empty one, the part of the result that has the target weights.
-Edge cases: null sources are a source of their own; null ids are ranked together; repeated
-rows each take a place; an empty table gives an empty result; texts aren't looked at; other
-columns are kept, unless they have the name of a result column, which then replaces them.
+Edge cases: null sources are a source of their own; a null id is ordered by the hash of the
+row's other columns (rows equal in all columns are one group); repeated rows each take a
+place; an empty table gives an empty result; texts aren't looked at, however long; other columns are
+kept whatever their names, but those named like a result column are replaced by it.
 """
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import documents, stored
 
 BLOCK_ROWS = 16
-CYCLE = 1000
 #: Target weights of the query; sources that aren't named have weight 1.
 TARGETS = {"src0": 3, "src1": 2, "src2": 2}
-RESULT = ("src", "hash", "chunk", "block", "place", "slot", "release", "deadline", "in_mix")
-
-
-def _slots(sources: DataFrame, cycle: int) -> DataFrame:
-    """Slots of a cycle per source (columns src, rows, target): k from 0, w."""
-    every = Window.partitionBy(F.lit(0))
-    shares = sources.select(
-        "*",
-        (F.row_number().over(every.orderBy("src")) - 1).alias("k"),
-        F.count("*").over(every).alias("n"),
-        F.sum("target").over(every).alias("total"),
-    )
-    free = (F.lit(cycle) - F.col("n")) * F.col("target")
-    shares = shares.withColumn("whole", F.expr(f"({cycle} - n) * target div total")).withColumn("rest", free % F.col("total"))
-    left = F.lit(cycle) - F.col("n") - F.sum("whole").over(every)
-    extra = F.row_number().over(every.orderBy(F.desc("rest"), "src")) <= left
-    return shares.withColumn("w", (1 + F.col("whole") + F.when(extra, 1).otherwise(0)).cast("int")).select("src", "rows", "k", "w")
-
-
-def _pattern(slots: DataFrame, cycle: int) -> DataFrame:
-    """Earliest deadline first over one cycle: k, j (number of the block), slot."""
-    row = slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x.w).alias("w"))
-    next_due = f"""
-        array_min(transform(w, (v, k) ->
-            if(s.given[k] < v and s.given[k] * {cycle} div v <= t,
-               struct(cast(((s.given[k] + 1) * {cycle} + v - 1) div v as bigint) as due, k as k),
-               struct(9223372036854775807L as due, k as k)))).k"""
-    fold = f"""
-        aggregate(sequence(0, {cycle - 1}),
-            named_struct('given', transform(w, v -> 0), 'went', cast(array() as array<int>)),
-            (s, t) -> element_at(transform(array({next_due}), p -> named_struct(
+RESULT = ("block", "place", "slot", "release", "deadline", "in_mix")
+GROUP_ROWS, MAX_CYCLE = 50_000, 1_000_000
+#: Slots whose blocks are gathered in one array.
+STEP = 1000
+
+
+def _pattern(classes: DataFrame, cycle: int) -> DataFrame:
+    """Earliest deadline first over one cycle of the classes (w, m): w, g (number of the block in its class), slot."""
+    row = classes.agg(F.array_sort(F.collect_list(F.struct((-F.col("w")).alias("v"), "m"))).alias("c"))
+    due = f"""
+        transform(c, (x, k) ->
+            if(s.given[k] < -x.v * x.m and (s.given[k] div x.m) * {cycle} div -x.v <= t,
+               struct(cast(((s.given[k] div x.m + 1) * {cycle} - x.v - 1) div -x.v as bigint) as due, k as k),
+               struct(9223372036854775807L as due, k as k)))"""
+    one = f"""
+        aggregate(sequence({STEP} * q, least({cycle}, {STEP} * (q + 1)) - 1),
+            named_struct('given', z.given, 'went', cast(array() as array<bigint>)),
+            (s, t) -> element_at(transform(array(array_min({due}).k), p -> named_struct(
                 'given', transform(s.given, (g, k) -> if(k = p, g + 1, g)),
-                'went', concat(s.went, array(p)))), 1)).went"""
-    went = row.where("size(w) > 0").select(F.posexplode(F.expr(fold)).alias("slot", "k"))
-    return went.select("k", "slot", (F.row_number().over(Window.partitionBy("k").orderBy("slot")) - 1).alias("j"))
-
-
-def _long_pattern(slots: DataFrame, cycle: int) -> DataFrame:
-    """``_pattern`` of many sources: the same rows, in time that doesn't grow with sources times slots."""
-    weights = slots.select("k", "w").toArrow()
-    w = np.zeros(weights.num_rows, np.int64)
-    w[weights["k"].to_numpy()] = weights["w"].to_numpy()
-    w = w.tolist()
-    due = [((cycle + v - 1) // v, k) for k, v in enumerate(w)]  # released blocks: deadline, source
-    heapify(due)
-    waiting: list[tuple[int, int]] = []  # release and source of the next blocks
-    given, went, numbers = [0] * len(w), np.zeros(cycle, np.int32), np.zeros(cycle, np.int64)
-    for t in range(cycle):
-        while waiting and waiting[0][0] <= t:
-            k = heappop(waiting)[1]
-            heappush(due, (((given[k] + 1) * cycle + w[k] - 1) // w[k], k))
-        k = heappop(due)[1]
-        went[t], numbers[t] = k, given[k]
-        given[k] += 1
-        if given[k] < w[k]:
-            heappush(waiting, (given[k] * cycle // w[k], k))
-    table = pa.table({"k": went, "slot": np.arange(cycle, dtype=np.int32), "j": numbers.astype(np.int32)})
-    return stored(slots.sparkSession.createDataFrame(table), "pattern")
-
-
-def mix(docs: DataFrame, targets: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
+                'went', concat(s.went, array(-c[p].v)))), 1))"""
+    all_steps = f"""
+        aggregate(sequence(0, {(cycle - 1) // STEP}),
+            named_struct('given', transform(c, x -> 0L), 'went', cast(array() as array<array<bigint>>)),
+            (z, q) -> element_at(transform(array({one}), r -> named_struct('given', r.given, 'went', concat(z.went, array(r.went)))), 1))
+        .went"""
+    went = row.where("size(c) > 0").select(F.posexplode(F.flatten(F.expr(all_steps))).alias("slot", "w"))
+    return went.select("w", "slot", (F.row_number().over(Window.partitionBy("w").orderBy("slot")) - 1).alias("g"))
+
+
+def _weight(source: Column, targets: dict[str, int]) -> Column:
+    if any(not isinstance(v, int) or v < 1 for v in targets.values()):
+        raise ValueError("target weights are positive whole numbers")
+    weight = F.lit(1)
+    for name, value in targets.items():
+        weight = F.when(source == f"={name}", value).otherwise(weight)
+    return weight.cast("long")
+
+
+def mix(docs: DataFrame, targets: dict[str, int], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``docs`` (doc_id, source, ...) with block, place in the block, slot, release, deadline, in_mix.
 
-    ``targets``: whole-number weights by source, 1 where not named; without it, sources have
-    the weights of their numbers of blocks, so all end together. ``cycle`` is the least
-    number of slots of a cycle; more sources than that get a longer one.
+    ``targets``: whole-number weights by source, 1 where not named.
     """
-    src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.drop(*RESULT).withColumns({"src": src, "hash": hashed}).withColumn("chunk", F.substring("hash", 1, 3))
-    counts = stored(rows.groupBy("src", "chunk").agg(F.count("*").alias("n")), "mixed")
-    n_sources = counts.select("src").distinct().count()
-    many = n_sources > cycle
-    if many:
-        cycle *= -(-2 * n_sources // cycle)
-    blocks = F.ceil(F.col("rows") / block_rows)
-    if targets is None:
-        target = blocks
-    else:
-        target = F.lit(1)
-        for name, weight in targets.items():
-            target = F.when(F.col("src") == f"={name}", weight).otherwise(target)
-    sources = counts.groupBy("src").agg(F.sum("n").alias("rows")).withColumn("target", target.cast("long"))
-    slots = _slots(sources, cycle)
-    if many:
-        slots = stored(slots, "slots")
-        pattern = _long_pattern(slots, cycle)
-    else:
-        pattern = F.broadcast(_pattern(slots, cycle))  # as many rows as the cycle has slots
-    sourced = slots.withColumn("b", blocks).withColumn("j", F.expr("b % w"))
-    ends = sourced.join(pattern, ["k", "j"]).agg(F.min(F.expr(f"b div w * {cycle} + slot")).alias("horizon"))
-    before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    few = (lambda df: df) if many else F.broadcast
-    offsets = counts.select("src", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    offsets = offsets.join(few(slots.select("src", "k", "w")), "src").join(F.broadcast(ends))
-    order = Window.partitionBy("src", "chunk").orderBy("hash", "doc_id")
-    ranked = rows.join(offsets, ["src", "chunk"]).withColumn("rank", F.col("offset") + F.row_number().over(order) - 1)
+    own = [c for c in docs.columns if c not in RESULT]
+    quoted = [F.col(f"`{c}`") for c in own]
+    src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64(*[c for c, n in zip(quoted, own) if n != "doc_id"]).cast("string")))
+    # the row as one column, so that no name of its columns meets a name of ours
+    rows = docs.select(F.struct(*quoted).alias("doc"), src.alias("src"), hashed.alias("hash"))
+    total, digits = docs.count(), 1
+    while total > GROUP_ROWS * 16**digits:
+        digits += 1
+    rows = rows.withColumn("part", F.substring("hash", 1, digits))
+    counts = stored(rows.groupBy("src", "part").agg(F.count("*").alias("n")), "mixed")
+    sources = counts.groupBy("src").agg(F.sum("n").alias("rows")).withColumn("w", _weight(F.col("src"), targets))
+    cycle = sources.agg(F.sum("w")).first()[0] or 1
+    if cycle > MAX_CYCLE:
+        raise ValueError(f"the target weights sum to {cycle}, more than {MAX_CYCLE}")
+    classes = sources.groupBy("w").agg(F.count("*").alias("m"))
+    pattern = F.broadcast(_pattern(classes, cycle))  # as many rows as the cycle has slots
+    in_class = Window.partitionBy("w").orderBy("src")
+    sources = sources.select("src", "rows", "w", (F.row_number().over(in_class) - 1).alias("j"), F.count("*").over(Window.partitionBy("w")).alias("m"))
+    # the first block that a source doesn't have
+    missing = sources.withColumn("b", F.ceil(F.col("rows") / block_rows)).withColumn("g", F.expr("b % w * m + j"))
+    ends = missing.join(pattern, ["w", "g"]).agg(F.min(F.expr(f"b div w * {cycle} + slot")).alias("horizon"))
+    before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("src", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = offsets.join(sources.select("src", "w", "j", "m"), "src").join(F.broadcast(ends))
+    order = Window.partitionBy("src", "part").orderBy("hash", "doc.doc_id")
+    ranked = rows.join(offsets, ["src", "part"]).withColumn("rank", F.col("offset") + F.row_number().over(order) - 1)
     placed = ranked.withColumns({"block": F.expr(f"rank div {block_rows}"), "place": F.expr(f"cast(rank % {block_rows} as int)")})
-    placed = placed.withColumns({"j": F.expr("cast(block % w as int)"), "turn": F.expr(f"block div w * {cycle}")}).join(pattern, ["k", "j"])
-    return placed.withColumns(
-        {
-            "slot": F.col("turn") + F.col("slot"),
-            "release": F.expr(f"turn + j * {cycle} div w"),
-            "deadline": F.expr(f"turn + ((j + 1) * {cycle} + w - 1) div w"),
-            "in_mix": F.expr("turn + slot < horizon"),
-        }
-    ).drop("src", "hash", "chunk", "offset", "rank", "k", "j", "w", "turn", "horizon")
+    placed = placed.withColumns({"i": F.expr("block % w"), "turn": F.expr(f"block div w * {cycle}")}).withColumn("g", F.expr("i * m + j"))
+    return placed.join(pattern, ["w", "g"]).select(
+        "doc.*",
+        "block",
+        "place",
+        (F.col("turn") + F.col("slot")).alias("slot"),
+        F.expr(f"turn + i * {cycle} div w").alias("release"),
+        F.expr(f"turn + ((i + 1) * {cycle} + w - 1) div w").alias("deadline"),
+        F.expr("turn + slot < horizon").alias("in_mix"),
+    )
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in the mix to ``TARGETS``."""
     mixed = mix(documents(spark, sf_dir).select("doc_id", "source"), TARGETS)
-    return mixed.select("doc_id", "source", "block", "place", "slot", "release", "deadline", "in_mix")
+    return mixed.select("doc_id", "source", *RESULT)
 
 
 OP9_SQL = f"""
 WITH RECURSIVE d AS (
-    SELECT doc_id, source, coalesce('=' || source, 'null') AS src, md5(coalesce(doc_id::VARCHAR, '')) AS hash FROM documents
+    SELECT doc_id, source, coalesce('=' || source, 'null') AS src, md5(doc_id::VARCHAR) AS hash FROM documents
 ), n AS (
-    SELECT src, count(*) AS rows, ceil(count(*) / {BLOCK_ROWS})::BIGINT AS b,
-           CASE {" ".join(f"WHEN src = '={k}' THEN {v}" for k, v in TARGETS.items())} ELSE 1 END AS target
+    SELECT src, ceil(count(*) / {BLOCK_ROWS})::BIGINT AS b,
+           (CASE {" ".join(f"WHEN src = '={k}' THEN {v}" for k, v in TARGETS.items())} ELSE 1 END)::BIGINT AS w
     FROM d GROUP BY src
 ), s AS (
-    SELECT *, row_number() OVER (ORDER BY src) AS k, count(*) OVER () AS c, sum(target) OVER ()::BIGINT AS total FROM n
-), f AS (
-    SELECT *, ({CYCLE} - c) * target // total AS whole, ({CYCLE} - c) * target % total AS rest FROM s
-), g AS (
-    SELECT *, {CYCLE} - c - sum(whole) OVER () AS spare, row_number() OVER (ORDER BY rest DESC, src) AS i FROM f
-), w AS (
-    SELECT src, b, k, (1 + whole + CASE WHEN i <= spare THEN 1 ELSE 0 END)::BIGINT AS w FROM g
-), a AS (
-    SELECT list(w ORDER BY k) AS w FROM w
+    SELECT *, row_number() OVER (PARTITION BY w ORDER BY src) - 1 AS j, count(*) OVER (PARTITION BY w) AS m, sum(w) OVER ()::BIGINT AS cycle FROM n
+), c AS (
+    SELECT list(w ORDER BY w DESC) AS ws, list(m ORDER BY w DESC) AS ms, any_value(cycle) AS cycle FROM (SELECT DISTINCT w, m, cycle FROM s)
 ), edf(t, given, p) AS (
-    SELECT -1::BIGINT, list_transform(a.w, lambda x: 0::BIGINT), 0::BIGINT FROM a WHERE len(a.w) > 0
+    SELECT -1::BIGINT, list_transform(c.ws, lambda x: 0::BIGINT), 0::BIGINT FROM c WHERE len(c.ws) > 0
     UNION ALL
     SELECT t + 1, list_transform(range(1, len(given) + 1), lambda k: given[k] + CASE WHEN k = q THEN 1 ELSE 0 END), q
     FROM (
         SELECT t, given, list_min(list_transform(range(1, len(given) + 1), lambda k:
-            CASE WHEN given[k] < a.w[k] AND given[k] * {CYCLE} // a.w[k] <= t + 1
-                 THEN ((given[k] + 1) * {CYCLE} + a.w[k] - 1) // a.w[k] * 1000000 + k ELSE 9000000000000000000 END)) % 1000000 AS q
-        FROM edf, a WHERE t < {CYCLE - 1}
+            CASE WHEN given[k] < c.ws[k] * c.ms[k] AND given[k] // c.ms[k] * c.cycle // c.ws[k] <= t + 1
+                 THEN ((given[k] // c.ms[k] + 1) * c.cycle + c.ws[k] - 1) // c.ws[k] * 1000000 + k ELSE 9000000000000000000 END)) % 1000000 AS q
+        FROM edf, c WHERE t < c.cycle - 1
     )
 ), pattern AS (
-    SELECT p AS k, t AS slot, row_number() OVER (PARTITION BY p ORDER BY t) - 1 AS j FROM edf WHERE t >= 0
+    SELECT c.ws[p] AS w, t AS slot, row_number() OVER (PARTITION BY p ORDER BY t) - 1 AS g FROM edf, c WHERE t >= 0
 ), ends AS (
-    SELECT min(w.b // w.w * {CYCLE} + pattern.slot) AS horizon FROM w JOIN pattern ON w.k = pattern.k AND w.b % w.w = pattern.j
+    SELECT min(s.b // s.w * s.cycle + pattern.slot) AS horizon FROM s JOIN pattern ON s.w = pattern.w AND s.b % s.w * s.m + s.j = pattern.g
 ), r AS (
-    SELECT *, row_number() OVER (PARTITION BY src ORDER BY hash, doc_id) - 1 AS rank FROM d
+    SELECT *, (row_number() OVER (PARTITION BY src ORDER BY hash, doc_id) - 1) // {BLOCK_ROWS} AS block,
+           (row_number() OVER (PARTITION BY src ORDER BY hash, doc_id) - 1) % {BLOCK_ROWS} AS place FROM d
 )
-SELECT doc_id, source, rank // {BLOCK_ROWS} AS block, (rank % {BLOCK_ROWS})::INT AS place,
-       rank // {BLOCK_ROWS} // w.w * {CYCLE} + pattern.slot AS slot,
-       rank // {BLOCK_ROWS} // w.w * {CYCLE} + j * {CYCLE} // w.w AS release,
-       rank // {BLOCK_ROWS} // w.w * {CYCLE} + ((j + 1) * {CYCLE} + w.w - 1) // w.w AS deadline,
-       rank // {BLOCK_ROWS} // w.w * {CYCLE} + pattern.slot < horizon AS in_mix
-FROM r JOIN w USING (src) JOIN pattern ON pattern.k = w.k AND pattern.j = rank // {BLOCK_ROWS} % w.w CROSS JOIN ends
+SELECT doc_id, source, block, place::INT AS place, block // s.w * cycle + pattern.slot AS slot,
+       block // s.w * cycle + block % s.w * cycle // s.w AS release,
+       block // s.w * cycle + ((block % s.w + 1) * cycle + s.w - 1) // s.w AS deadline,
+       block // s.w * cycle + pattern.slot < horizon AS in_mix
+FROM r JOIN s USING (src) JOIN pattern ON pattern.w = s.w AND pattern.g = block % s.w * m + j CROSS JOIN ends
 """
