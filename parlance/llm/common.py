@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -66,7 +68,7 @@ _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[2])[_LOWER]
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
         base = int(MULTIPLIERS[3])
@@ -83,7 +85,7 @@ def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.r_[False, ~_SPACE[text], False]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    power, inverse = _powers(len(text))
+    power, inverse = powers(len(text))
     total = np.r_[np.uint64(0), np.cumsum(_VALUES[text] * power[: len(text)], dtype=np.uint64)]
     return mix((total[ends] - total[starts]) * inverse[starts]), starts
 
