@@ -1,11 +1,14 @@
 """Similarity operators against brute force."""
 
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from parlance.llm import line_dedup
 from parlance.llm.embedding_dedup import op2_embedding_dedup
 from parlance.llm.jaccard_join import jaccard_components
 from parlance.llm.line_dedup import removed_lines
@@ -72,27 +75,64 @@ def test_jaccard_of_nothing(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+LINES = [
+    (5, "one line that is here\nother words in this one", 1),
+    (5, "a copy of nothing else\none line that is here", 1),
+    (6, "one line that is here too", 2),
+    (6, "", 2),
+    (None, "shared line of three\nonly once", 3),
+    (None, "shared line of three", 3),
+    (None, "shared line of three", 4),
+    (None, None, 4),
+    (1 << 62, "shared line of three\nLine SHARED of three", 5),
+    (-(1 << 62), "first of all lines", 5),
+    (7, "first of all lines", 5),
+    (8, " ".join(f"v{i}" for i in range(30_000)), 6),
+    (9, " ".join(f"v{i}" for i in range(29_000)), 6),
+    (9, " ".join(f"v{i}" for i in range(29_000)), 6),
+]
+
+
 def brute_lines(rows):
-    seen, sets, gone = set(), [], set()
-    for r in sorted({(r.doc_id or 0, r.text) for r in rows if r.text is not None}):
-        for i, line in enumerate(r[1].split("\n")):
+    """(doc_id, line_no, occurrence) of lines that an earlier one is similar to."""
+    seen, sets, gone, times = set(), [], [], Counter()
+    keyed = sorted({(r.doc_id is not None, r.doc_id or 0, r.h, r.text) for r in rows if r.text is not None})
+    times = Counter((r.doc_id, r.text) for r in rows)
+    for some, doc_id, _, text in keyed:
+        doc_id = doc_id if some else None
+        for i, line in enumerate(text.split("\n")):
             words = frozenset(w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", line))
             if not words:
                 continue
+            gone += [(doc_id, i, k) for k in range(1, times[doc_id, text])]
             if words in seen or any(100 * len(words & s) >= 80 * len(words | s) for s in sets):
-                gone.add((r[0], i))
+                gone.append((doc_id, i, 0))
             if words not in seen:
                 seen.add(words)
                 sets.append(words)
-    return gone
-
-
-@pytest.mark.parametrize("edges", [False, True])
-def test_removed_lines(spark, edges):
-    rows = [r for r in EDGES if r[0] is not None] if edges else None
-    docs = spark.createDataFrame(rows, SCHEMA) if edges else spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 100")
-    got = {(r.doc_id, r.line_no) for r in removed_lines(docs).collect()}
-    assert got == brute_lines(docs.collect())
+    return sorted(gone, key=str)
+
+
+@pytest.mark.parametrize("source", ["edges", "lines", "table", "shuffled"])
+def test_removed_lines(spark, source, monkeypatch):
+    if source == "edges":
+        docs = spark.createDataFrame(EDGES, SCHEMA)
+    elif source == "lines":
+        docs = spark.createDataFrame(LINES, "doc_id long, text string, at int")
+    else:
+        docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 100")
+        monkeypatch.setattr(line_dedup, "EARLIEST", 1)  # more lines in the second round
+    if source == "shuffled":
+        monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    found = removed_lines(docs, broadcast_lines=0 if source == "shuffled" else 1_000_000).collect()
+    got = sorted(((r.doc_id, r.line_no, r.occurrence) for r in found), key=str)
+    assert got == brute_lines(docs.select("doc_id", F.col("text"), F.xxhash64("text").alias("h")).collect())
+
+
+def test_removed_lines_in_any_order_of_rows(spark):
+    columns = ("doc_id", "line_no", "occurrence", "copy", "text_hash")
+    rows = [removed_lines(spark.createDataFrame(x, "doc_id long, text string, at int")).select(*columns).collect() for x in (LINES, LINES[::-1])]
+    assert sorted(rows[0], key=str) == sorted(rows[1], key=str)
 
 
 def test_no_lines(spark):
