@@ -57,26 +57,6 @@ def tracks(segments: DataFrame) -> DataFrame:
     return union(segments, ("meeting_id", "side", "label"), strict=True)
 
 
-def scored_regions(activity: DataFrame, collar: int = 0, duration: int | None = None, skip_overlap: bool = False) -> DataFrame:
-    """meeting_id, lo, hi of the time that is scored.
-
-    From 0 to ``duration``, or else the extent of both sides; without ``collar`` centred on
-    the reference's boundaries, and without overlapped reference time if asked.
-    """
-    if duration is None:
-        whole = activity.groupBy("meeting_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    else:
-        whole = activity.select("meeting_id", F.lit(0).cast("long").alias("lo"), F.lit(duration).cast("long").alias("hi")).distinct()
-    reference = activity.where("side = 'R'").select("meeting_id", "lo", "hi")
-    edges = reference.select("meeting_id", F.explode(F.array("lo", "hi")).alias("t"))
-    half = collar // 2
-    collars = edges.select("meeting_id", (F.col("t") - half).alias("lo"), (F.col("t") + half).alias("hi")).where("hi > lo")
-    cells = sweep({"whole": whole, "collars": collars, "active": reference}).where("whole > 0 and collars = 0")
-    if skip_overlap:
-        cells = cells.where("active < 2")
-    return cells.select("meeting_id", "lo", "hi")
-
-
 def crop(spans: DataFrame, regions: DataFrame) -> DataFrame:
     return overlap_join(spans, regions)
 

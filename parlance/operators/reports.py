@@ -6,17 +6,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def finite(x):
+    """Neither null, NaN nor infinite."""
+    return x.isNotNull() & ~F.isnan(F.coalesce(x, F.lit(0.0))) & (F.abs(x) < float("inf"))
+
+
 def macro_average(metrics: DataFrame) -> DataFrame:
     """metric, value (mean over meetings that have one), meetings."""
     return metrics.groupBy("metric").agg(F.avg("value").alias("value"), F.count("value").alias("meetings"))
 
 
 def gates(checks: DataFrame, metrics: DataFrame) -> DataFrame:
-    """suite, metric, value, passed. Missing and undefined metrics fail."""
-    value = F.col("value")
-    ok = value.isNotNull() & ~F.isnan(F.coalesce(value, F.lit(0.0)))
-    ok &= F.coalesce(value <= F.col("max"), F.lit(True)) & F.coalesce(value >= F.col("min"), F.lit(True))
-    return checks.join(metrics.select("metric", "value"), "metric", "left").select("suite", "metric", "value", ok.alias("passed"))
+    """suite, metric, value, passed, reason.
+
+    checks: suite, metric, max, min and, if there, eq and tol; metrics: metric, value and, if there,
+    not_scored (a number of meetings). A metric that is missing, not finite or not scored on
+    some meeting fails.
+    """
+    checks = checks.withColumns({c: F.lit(None).cast("double") for c in ("eq", "tol") if c not in checks.columns})
+    metrics = metrics if "not_scored" in metrics.columns else metrics.withColumn("not_scored", F.lit(0))
+    value, tol = F.col("value"), F.coalesce("tol", F.lit(0.0))
+    over, under = value > F.col("max") + tol, value < F.col("min") - tol
+    off = F.abs(value - F.col("eq")) > tol
+    reason = (
+        F.when(F.col("there").isNull(), "metric not in report")
+        .when(F.coalesce("not_scored", F.lit(0)) > 0, F.concat(F.lit("not scored on "), F.col("not_scored").cast("string"), F.lit(" meetings")))
+        .when(~finite(value), "metric has no numeric value")
+        .otherwise(F.concat_ws("; ", F.when(over, "exceeds max"), F.when(under, "below min"), F.when(off, "differs")))
+    )
+    found = metrics.select("metric", F.col("value").cast("double").alias("value"), "not_scored", F.lit(True).alias("there"))
+    joined = checks.join(found, "metric", "left").withColumn("reason", reason)
+    return joined.select("suite", "metric", "value", (F.col("reason") == "").alias("passed"), F.when(F.col("reason") == "", "ok").otherwise(F.col("reason")).alias("reason"))
 
 
 def suites(checked: DataFrame) -> DataFrame:

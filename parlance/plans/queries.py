@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parlance.operators import alignment, reports, scoring, sessions, text, words
 from parlance.operators import intervals as iv
-from parlance.operators import reports, scoring, sessions, text
-from parlance.plans.tables import FRAMES_SQL, SEG_SQL, frames, segments, table, transcripts
+from parlance.plans.tables import FRAMES_SQL, SEG_SQL, SPOKEN_SQL, dialogue, frames, segments, spoken, table, transcripts
+from parlance.sources import lines
 
 COLLAR = 2_000_000
 GAP = 30_000_000
-CHECKS = [("core", "der", 5.0, None), ("core", "total", None, 1.0), ("strict", "der", 0.1, None), ("strict", "absent", 1.0, None)]
+CHECKS = [
+    ("core", "der", 5.0, None, None, None),
+    ("core", "total", None, 1.0, None, None),
+    ("strict", "der", 0.1, None, None, None),
+    ("strict", "absent", 1.0, None, None, None),
+    ("exact", "der", None, None, 2.5, 2.5),
+    ("exact", "total", None, None, 1.0, None),
+]
 
 
 def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("label").isin("view", "click"), "A").otherwise("B")
-    return iv.tracks(segments(spark, sf_dir).withColumn("label", label))
+    return segments(spark, sf_dir).withColumn("label", label)
 
 
 def der_two_label(spark, sf_dir, **how):
@@ -24,16 +32,16 @@ def der_two_label(spark, sf_dir, **how):
 
 
 def der_multi_label(spark, sf_dir):
-    return scoring.diarization_error(iv.tracks(segments(spark, sf_dir)))
+    return scoring.diarization_error(segments(spark, sf_dir))
 
 
 def overlap_der(spark, sf_dir):
-    return scoring.overlap_error(iv.tracks(segments(spark, sf_dir)))
+    return scoring.overlap_error(segments(spark, sf_dir))
 
 
 def der_per_speaker(spark, sf_dir):
-    activity = iv.tracks(segments(spark, sf_dir))
-    return scoring.per_speaker(activity, scoring.best_mapping(iv.cooccurrence(activity)))
+    whole = [F.round(c).cast("long").alias(c) for c in ("miss", "conf", "fa")]
+    return scoring.per_speaker(segments(spark, sf_dir)).select("meeting_id", "speaker", "mapped_to", "total", "correct", *whole)
 
 
 def jer(spark, sf_dir):
@@ -94,7 +102,7 @@ def micro_average(spark, sf_dir):
 
 def _checked(spark, sf_dir):
     micro = micro_average(spark, sf_dir).select(F.expr("stack(2, 'der', der, 'total', double(total)) as (metric, value)"))
-    return reports.gates(spark.createDataFrame(CHECKS, "suite string, metric string, max double, min double"), micro)
+    return reports.gates(spark.createDataFrame(CHECKS, "suite string, metric string, max double, min double, eq double, tol double"), micro)
 
 
 def gate_suite(spark, sf_dir):
@@ -121,7 +129,11 @@ def mask_runs(spark, sf_dir):
 
 
 def hangover(spark, sf_dir):
-    return sessions.hangover(mask_runs(spark, sf_dir), 20)
+    return sessions.hangover(mask_runs(spark, sf_dir), 20, frames(spark, sf_dir))
+
+
+def smooth_turns(spark, sf_dir):
+    return sessions.smooth(segments(spark, sf_dir).where("side = 'R'"), 20_000_000, GAP)
 
 
 def bridge_silence(spark, sf_dir):
@@ -160,15 +172,66 @@ def paging(spark, sf_dir):
 
 
 def seed_hash(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority"), 256).alias("digest"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.seed_number(F.col("o_orderkey").cast("string"), F.col("o_orderpriority")).alias("seed"))
 
 
 def rttm_roundtrip(spark, sf_dir):
     """Segments as lines of ten fields, and read from them."""
-    lines = segments(spark, sf_dir).select("seg_no", F.format_string("SPEAKER %d 1 %s %s <NA> <NA> %s <NA> <NA>", "meeting_id", text.time_text(F.col("lo") / 1e6), text.time_text((F.col("hi") - F.col("lo")) / 1e6), "label").alias("line"))
-    f = lines.withColumn("f", F.split("line", r"\s+")).where("size(f) = 10 and f[0] = 'SPEAKER'")
-    micro = lambda x: (F.col("f")[x].cast("decimal(18,6)") * 1_000_000).cast("long")
-    return f.select("seg_no", F.col("f")[1].cast("long").alias("meeting_id"), F.col("f")[7].alias("label"), micro(3).alias("lo"), (micro(3) + micro(4)).alias("hi"))
+    named = segments(spark, sf_dir).withColumn("meeting_id", F.col("meeting_id").cast("string"))
+    written = lines.rttm_lines(named, safe=True).select(F.lit("").alias("path"), F.lit(1).alias("line_no"), "line")
+    return lines.rttm(written).where("error is null").select(F.col("meeting_id").cast("long"), "label", "lo", "hi")
+
+
+def stm_roundtrip(spark, sf_dir):
+    named = dialogue(spark, sf_dir).where("side = 'R'").withColumn("meeting_id", F.col("meeting_id").cast("string"))
+    written = lines.stm_lines(named, safe=True).select(F.lit("").alias("path"), F.lit(1).alias("line_no"), "line")
+    return lines.stm(written).where("error is null").select(F.col("meeting_id").cast("long"), "label", "lo", "hi", "text")
+
+
+def rttm_statistics(spark, sf_dir):
+    return lines.statistics(segments(spark, sf_dir))
+
+
+def release_digest(spark, sf_dir):
+    return lines.release_digest(lines.rttm_lines(segments(spark, sf_dir), safe=True))
+
+
+def _word_errors(spark, sf_dir):
+    tokens = text.split_words(text.normalise(F.col("text")))
+    return words.word_errors(dialogue(spark, sf_dir).withColumn("tokens", tokens))
+
+
+def rate_of(kind):
+    return lambda spark, sf_dir: _word_errors(spark, sf_dir).select("meeting_id", f"{kind}.rate", f"{kind}.errors", f"{kind}.length", f"{kind}.hits")
+
+
+def word_rates(spark, sf_dir):
+    scores = _word_errors(spark, sf_dir)
+    kinds = ("literal", "concat", "cp", "tcp")
+    stacked = scores.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}.errors").alias("errors"), F.col(f"{k}.length").alias("length"), F.col(f"{k}.rate").alias("rate")) for k in kinds])).alias("x")).select("x.*")
+    return stacked.groupBy("kind").agg(F.sum("errors").alias("errors"), F.sum("length").alias("length"), F.round(F.avg("rate"), 6).alias("macro"), F.count("rate").alias("meetings"))
+
+
+def assigned(tie_break):
+    return lambda spark, sf_dir: alignment.assign(*spoken(spark, sf_dir), tie_break).select("meeting_id", "seg_no", "word_no", "label", "how")
+
+
+def assignment_stats(spark, sf_dir):
+    return alignment.assignment_stats(alignment.assign(*spoken(spark, sf_dir)))
+
+
+def speaker_runs(spark, sf_dir):
+    return alignment.speaker_runs(alignment.assign(*spoken(spark, sf_dir)))
+
+
+def word_in_turn(spark, sf_dir):
+    return alignment.contained(*spoken(spark, sf_dir)).select("meeting_id", "seg_no", "word_no", "label")
+
+
+def number_words(spark, sf_dir):
+    """Order keys and prices in words."""
+    price = F.format_number(F.col("o_totalprice").cast("decimal(15,2)"), 2)
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.integer_words(F.col("o_orderkey")).alias("key"), text.number_words(price).alias("price"))
 
 
 QUERIES = {
@@ -205,6 +268,20 @@ QUERIES = {
     "paging": paging,
     "seed_hash": seed_hash,
     "rttm_roundtrip": rttm_roundtrip,
+    "stm_roundtrip": stm_roundtrip,
+    "rttm_statistics": rttm_statistics,
+    "release_digest": release_digest,
+    "smooth_turns": smooth_turns,
+    "wer_literal": rate_of("literal"),
+    "wer_concat": rate_of("concat"),
+    "cpwer": rate_of("cp"),
+    "tcpwer": rate_of("tcp"),
+    "word_rates": word_rates,
+    **{f"word_to_turn_{t}": assigned(t) for t in alignment.TIE_BREAKS},
+    "assignment_stats": assignment_stats,
+    "speaker_runs": speaker_runs,
+    "word_in_turn": word_in_turn,
+    "number_words": number_words,
 }
 
 
@@ -253,14 +330,79 @@ _JER = f"""{_der_sql()}, sizes AS (
 )
 SELECT meeting_id, count(*) AS n_ref, avg(CASE WHEN x > 0 THEN 1 - x::DOUBLE / (r + h - x) ELSE 1 END) AS jer FROM each GROUP BY meeting_id"""
 
+_MULTI = f"""{TRACKS_SQL}, e AS (
+    SELECT meeting_id, side, label, lo AS t, 1 AS s FROM tracks UNION ALL SELECT meeting_id, side, label, hi, -1 FROM tracks
+), cells AS (
+    SELECT meeting_id, t AS lo, lead(t) OVER w AS hi, sum(r) OVER w AS r, sum(h) OVER w AS h FROM (
+        SELECT meeting_id, t, sum(CASE WHEN side = 'R' THEN s ELSE 0 END) AS r, sum(CASE WHEN side = 'H' THEN s ELSE 0 END) AS h FROM e GROUP BY 1, 2)
+    WINDOW w AS (PARTITION BY meeting_id ORDER BY t)
+), shared AS (
+    SELECT r.meeting_id, r.label AS ref, h.label AS hyp, sum(least(r.hi, h.hi) - greatest(r.lo, h.lo)) AS d
+    FROM tracks r JOIN tracks h ON r.meeting_id = h.meeting_id AND r.side = 'R' AND h.side = 'H' AND r.lo < h.hi AND h.lo < r.hi GROUP BY 1, 2, 3
+), names AS (SELECT DISTINCT label FROM tracks
+), perms AS (
+    SELECT row_number() OVER () AS p, * FROM (SELECT list(label ORDER BY label) AS refs FROM names), (
+        SELECT [a.label, b.label, c.label, d.label, e.label] AS hyps FROM names a, names b, names c, names d, names e
+        WHERE len(list_distinct([a.label, b.label, c.label, d.label, e.label])) = 5)
+), pairs AS (SELECT p, unnest(refs) AS ref, unnest(hyps) AS hyp FROM perms
+), gains AS (SELECT meeting_id, p, sum(d) AS d FROM shared JOIN pairs USING (ref, hyp) GROUP BY 1, 2
+), best AS (SELECT meeting_id, max(d) AS correct, arg_max(p, d) AS p FROM gains GROUP BY 1)"""
+
+
+def _multi_sql(where: str, correct: str) -> str:
+    return f"""{_MULTI}, right_ AS ({correct}), sums AS (
+        SELECT meeting_id, sum((hi - lo) * r)::BIGINT AS total, sum((hi - lo) * greatest(0, r - h))::BIGINT AS miss, sum((hi - lo) * greatest(0, h - r))::BIGINT AS fa, sum((hi - lo) * least(r, h))::BIGINT AS common
+        FROM cells WHERE hi IS NOT NULL AND {where} GROUP BY 1
+    ) SELECT meeting_id, total, miss, fa, common - coalesce(correct, 0)::BIGINT AS conf, coalesce(correct, 0)::BIGINT AS correct,
+             CASE WHEN total > 0 THEN (miss + fa + common - coalesce(correct, 0))::DOUBLE / total END AS der
+      FROM sums LEFT JOIN right_ USING (meeting_id) WHERE total + fa > 0"""
+
+
+_INSIDE = """SELECT c.meeting_id, sum(least(c.hi, r.hi, h.hi) - greatest(c.lo, r.lo, h.lo)) AS correct FROM cells c
+    JOIN tracks r ON c.meeting_id = r.meeting_id AND r.side = 'R' AND r.lo < c.hi AND c.lo < r.hi
+    JOIN tracks h ON c.meeting_id = h.meeting_id AND h.side = 'H' AND h.lo < c.hi AND c.lo < h.hi
+    JOIN best b ON b.meeting_id = c.meeting_id JOIN pairs ON pairs.p = b.p AND pairs.ref = r.label AND pairs.hyp = h.label
+    WHERE c.r >= 2 GROUP BY 1"""
+
+
+def _assigned_sql(pick: str) -> str:
+    return f"""WITH {SPOKEN_SQL}, met AS (
+        SELECT w.meeting_id, seg_no, word_no, label, t0, t1, least(hi, t1) - greatest(lo, t0) AS d FROM words w JOIN turns t ON w.meeting_id = t.meeting_id AND t0 <= hi AND lo <= t1
+    ), seen AS (SELECT meeting_id, label, min({{'a': t0, 'b': t1}}) AS seen FROM turns GROUP BY 1, 2
+    ), totals AS (
+        SELECT meeting_id, seg_no, word_no, label, sum(d) AS total, min(CASE WHEN d > 0 THEN {{'a': t0, 'b': t1, 'c': label}} END) AS first, max(CASE WHEN d > 0 THEN {{'a': t0, 'b': t1, 'c': label}} END) AS last
+        FROM met GROUP BY 1, 2, 3, 4
+    ), tops AS (
+        SELECT *, max(total) OVER (PARTITION BY meeting_id, seg_no, word_no) AS most FROM totals JOIN seen USING (meeting_id, label)
+    ), picks AS (
+        SELECT meeting_id, seg_no, word_no, {pick} AS label, CASE WHEN count(*) > 1 THEN 'tie' ELSE 'overlap' END AS how FROM tops WHERE total = most AND most > 0 GROUP BY 1, 2, 3
+    ), gaps AS (
+        SELECT w.meeting_id, w.seg_no, w.word_no, arg_min(label, {{'g': greatest(0, t0 - hi, lo - t1), 'a': t0, 'b': t1}}) AS label FROM words w JOIN turns t ON w.meeting_id = t.meeting_id
+        WHERE (w.meeting_id, w.seg_no, w.word_no) NOT IN (SELECT (meeting_id, seg_no, word_no) FROM picks) GROUP BY 1, 2, 3
+    ), found AS (SELECT *, lo, hi FROM (SELECT * FROM picks UNION ALL SELECT meeting_id, seg_no, word_no, label, 'nearest' FROM gaps) JOIN words USING (meeting_id, seg_no, word_no))"""
+
+
+_FLOOR = "arg_min(label, first)"
+_ONES = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
+_TENS = "['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
+
+
+def _words_sql(n: str) -> str:
+    """Words of whole numbers below 10^9."""
+    three = lambda x: f"""concat_ws(' ', CASE WHEN {x} >= 100 THEN {_ONES}[({x}) // 100 + 1] || ' hundred' END, CASE WHEN ({x}) % 100 >= 20 THEN {_TENS}[({x}) % 100 // 10 - 1] END,
+        CASE WHEN ({x}) % 100 BETWEEN 1 AND 19 THEN {_ONES}[({x}) % 100 + 1] WHEN ({x}) % 100 >= 20 AND ({x}) % 10 > 0 THEN {_ONES}[({x}) % 10 + 1] END)"""
+    parts = [f"CASE WHEN ({n}) // {s} % 1000 > 0 THEN {three(f'(({n}) // {s} % 1000)')} || '{name}' END" for s, name in ((1000000, " million"), (1000, " thousand"), (1, ""))]
+    return f"CASE WHEN ({n}) = 0 THEN 'zero' ELSE concat_ws(' ', {', '.join(parts)}) END"
+
+
 _RUNS = f"""{FRAMES_SQL}, runs AS (
     SELECT meeting_id, min(frame) AS first, max(frame) AS last, count(*) AS n FROM (
         SELECT *, frame - row_number() OVER (PARTITION BY meeting_id ORDER BY frame) AS island FROM frames WHERE level >= 50) GROUP BY meeting_id, island
 )"""
 
 
-def _joined_sql(extra: int, gap: int) -> str:
-    return f"""WITH {_RUNS}, grown AS (SELECT meeting_id, first, last + {extra} AS last FROM runs), j AS (
+def _joined_sql(last: str, gap: int) -> str:
+    return f"""WITH {_RUNS}, grown AS (SELECT meeting_id, first, {last} AS last FROM runs), j AS (
     SELECT meeting_id, min(first) AS first, max(last) AS last, max(last) - min(first) + 1 AS n FROM (
         SELECT *, sum(new) OVER (PARTITION BY meeting_id ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM (
             SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY meeting_id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {1 + gap}
@@ -269,12 +411,15 @@ def _joined_sql(extra: int, gap: int) -> str:
 
 
 _W = r"[\p{L}\p{N}_]"
-_TOKENS = r"[!-/:-@\[-`{-~]+"
+_EDGE = r"""[.,;:!?"\'()\[\]{}<>-]+""".replace("\\'", "''")
 _TIME = lambda x: f"CASE WHEN regexp_replace(printf('%.6f', {x}), '0+$', '') LIKE '%.' THEN regexp_replace(printf('%.6f', {x}), '0+$', '') || '0' ELSE regexp_replace(printf('%.6f', {x}), '0+$', '') END"
 _MICRO = f"{_der_sql()}, micro AS (SELECT sum(total)::BIGINT AS total, sum(miss)::BIGINT AS miss, sum(fa)::BIGINT AS fa, sum(conf)::BIGINT AS conf, CASE WHEN sum(total) > 0 THEN (sum(miss) + sum(fa) + sum(conf))::DOUBLE / sum(total)::DOUBLE END AS der FROM der)"
 _GATES = f"""{_MICRO}, checks(suite, metric, max, min) AS (VALUES ('core', 'der', 5.0::DOUBLE, NULL::DOUBLE), ('core', 'total', NULL, 1.0), ('strict', 'der', 0.1, NULL), ('strict', 'absent', 1.0, NULL)
+), eqs(suite, metric, eq, tol) AS (VALUES ('exact', 'der', 2.5::DOUBLE, 2.5::DOUBLE), ('exact', 'total', 1.0, 0.0)
 ), m AS (SELECT 'der' AS metric, der AS value FROM micro UNION ALL SELECT 'total', total::DOUBLE FROM micro
-), g AS (SELECT suite, metric, value, value IS NOT NULL AND coalesce(value <= max, TRUE) AND coalesce(value >= min, TRUE) AS passed FROM checks LEFT JOIN m USING (metric))"""
+), g AS (SELECT suite, metric, value, value IS NOT NULL AND coalesce(value <= max, TRUE) AND coalesce(value >= min, TRUE) AS passed,
+        CASE WHEN value IS NULL THEN 'metric not in report' WHEN value > max THEN 'exceeds max' WHEN value < min THEN 'below min' ELSE 'ok' END AS reason FROM checks LEFT JOIN m USING (metric)
+    UNION ALL SELECT suite, metric, value, abs(value - eq) <= tol, CASE WHEN abs(value - eq) <= tol THEN 'ok' ELSE 'differs' END FROM eqs LEFT JOIN m USING (metric))"""
 
 ORACLE_SQL = {
     "der_two_label": f"{_der_sql()} SELECT * FROM der",
@@ -294,34 +439,54 @@ ORACLE_SQL = {
         SELECT *, n_hyp - n_ref AS error, abs(n_hyp - n_ref) AS abs_error FROM n""",
     "turn_diff": f"""WITH {SEG_SQL}, r AS (SELECT label, lo // 1000000 AS sec FROM seg WHERE side = 'R'), h AS (SELECT label, lo // 1000000 AS sec FROM seg WHERE side = 'H')
         SELECT 'R' AS side, label, count(*) AS n FROM (FROM r EXCEPT ALL FROM h) GROUP BY 2 UNION ALL SELECT 'H', label, count(*) FROM (FROM h EXCEPT ALL FROM r) GROUP BY 2""",
-    "merge_gap": f"""WITH {SEG_SQL}, m AS (
-        SELECT *, CASE WHEN lag(label) OVER w = label AND lo - lag(hi) OVER w <= {GAP} THEN 0 ELSE 1 END AS new FROM seg WHERE side = 'R' WINDOW w AS (PARTITION BY meeting_id ORDER BY lo, hi, label, seg_no)
-    ), i AS (SELECT *, sum(new) OVER (PARTITION BY meeting_id ORDER BY lo, hi, label, seg_no ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM m)
-    SELECT meeting_id, island, label, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM i GROUP BY 1, 2, 3""",
+    "merge_gap": f"""WITH {SEG_SQL}, o AS (
+        SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY lo, hi, label, seg_no) AS i FROM seg WHERE side = 'R'
+    ), k AS (
+        SELECT *, i - row_number() OVER (PARTITION BY meeting_id, label ORDER BY i) AS run FROM o
+    ), m AS (
+        SELECT *, CASE WHEN lo - max(hi) OVER (PARTITION BY meeting_id, label, run ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {GAP} THEN 0 ELSE 1 END AS new FROM k
+    ), g AS (SELECT *, sum(new) OVER (PARTITION BY meeting_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM m)
+    SELECT meeting_id, island, label, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM g GROUP BY 1, 2, 3""",
     "first_appearance_relabel": f"""WITH {SEG_SQL}, f AS (SELECT meeting_id, label, min({{'lo': lo, 'seg_no': seg_no}}) AS f FROM seg GROUP BY 1, 2)
         SELECT meeting_id, label, 'spk' || (row_number() OVER (PARTITION BY meeting_id ORDER BY f) - 1) AS name FROM f""",
     "macro_average": f"{_der_sql()} SELECT metric, round(avg(value::DOUBLE), 3) AS value, count(value) AS meetings FROM (UNPIVOT (SELECT total, miss, fa, conf FROM der) ON total, miss, fa, conf INTO NAME metric VALUE value) GROUP BY metric",
     "micro_average": f"{_MICRO} SELECT * FROM micro",
     "gate_eval": f"{_GATES} SELECT * FROM g",
     "gate_suite": f"{_GATES} SELECT suite, bool_and(passed) AS passed, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (NOT passed), '') AS failed FROM g GROUP BY suite",
-    "normalize_text": rf"""WITH a AS (SELECT conv_id AS meeting_id, turn AS seg_no, regexp_replace(translate(regexp_replace(lower(text), '[-‐-―_/]+', ' ', 'g'), '‘’ʼ`', ''''''''''), '[^\p{{L}}\p{{N}}_\s'']', '', 'g') AS x FROM conversations
+    "normalize_text": rf"""WITH a AS (SELECT conv_id AS meeting_id, turn AS seg_no, regexp_replace(translate(regexp_replace(lower(text), '[-‐-―_/]+', ' ', 'g'), '‘’`´', ''''''''''), '[^\p{{L}}\p{{N}}_\s'']', '', 'g') AS x FROM conversations
     ), b AS (SELECT meeting_id, seg_no, regexp_replace(regexp_replace(x, '({_W})''({_W})', '\1' || chr(1) || '\2', 'g'), '({_W})''({_W})', '\1' || chr(1) || '\2', 'g') AS x FROM a)
     SELECT meeting_id, seg_no, trim(regexp_replace(translate(replace(x, '''', ''), chr(1), ''''), '\s+', ' ', 'g')) AS norm FROM b""",
-    "output_tokens": f"""WITH w AS (SELECT conv_id AS meeting_id, turn AS seg_no, list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(regexp_replace(w, '^{_TOKENS}', ''), '{_TOKENS}$', '')), lambda w: w <> '') AS l FROM conversations)
+    "output_tokens": f"""WITH w AS (SELECT conv_id AS meeting_id, turn AS seg_no, list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(regexp_replace(w, '^{_EDGE}', ''), '{_EDGE}$', '')), lambda w: w <> '') AS l FROM conversations)
         SELECT meeting_id, seg_no, (unnest(range(len(l))))::INT AS pos, unnest(l) AS token FROM w""",
     "split_words": """WITH w AS (SELECT conv_id AS meeting_id, turn AS seg_no, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS l FROM conversations),
         x AS (SELECT meeting_id, seg_no, len(l) AS k, unnest(range(len(l))) AS pos, unnest(l) AS w FROM w)
         SELECT meeting_id, seg_no, pos::INT AS pos, w, 60000000 * pos // k AS lo, 60000000 * (pos + 1) // k AS hi FROM x""",
     "mask_runs": f"WITH {_RUNS} SELECT meeting_id, first, last, n FROM runs",
-    "hangover": _joined_sql(20, 0),
-    "bridge_silence": _joined_sql(0, 60),
-    "drop_short": f"{_joined_sql(0, 60)} WHERE n >= 2",
+    "hangover": _joined_sql("least(last + 20, (SELECT max(frame) FROM frames f WHERE f.meeting_id = runs.meeting_id))", 0),
+    "bridge_silence": _joined_sql("last", 60),
+    "drop_short": f"{_joined_sql('last', 60)} WHERE n >= 2",
     "time_text": f"WITH {SEG_SQL} SELECT seg_no, {_TIME('lo / 1e6')} AS t FROM seg",
     "quantise_grid": f"WITH {SEG_SQL} SELECT seg_no, lo // 125 * 125 AS down, (lo + 124) // 125 * 125 AS up FROM seg",
     "replay_window": f"WITH {SEG_SQL} SELECT meeting_id, seg_no, seg_no > coalesce(max(seg_no) OVER (PARTITION BY meeting_id ORDER BY lo, seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS accepted FROM seg",
     "latest_state": f"WITH {SEG_SQL} SELECT meeting_id, max_by(label, seg_no) AS state, count(*) AS events FROM seg GROUP BY 1",
     "paging": """SELECT o_custkey, page, count(*) AS n, min(o_orderkey) AS first FROM (
         SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 10 AS page FROM orders) GROUP BY 1, 2""",
-    "seed_hash": "SELECT o_orderkey, sha256(o_orderkey || '|' || o_orderpriority) AS digest FROM orders",
-    "rttm_roundtrip": f"WITH {SEG_SQL} SELECT seg_no, meeting_id, label, lo, hi FROM seg",
+    "seed_hash": """SELECT o_orderkey, list_reduce(list_transform(range(8, 0, -1), lambda i: ('0x' || substr(sha256(o_orderkey || '|' || o_orderpriority), (2 * i - 1)::INT, 2))::INT::HUGEINT), lambda a, b: a * 256 + b)::VARCHAR AS seed FROM orders""",
+    "rttm_roundtrip": f"WITH {SEG_SQL} SELECT meeting_id, label, lo, hi FROM seg",
+    "stm_roundtrip": f"SELECT conv_id AS meeting_id, role AS label, turn::BIGINT * 10000000 AS lo, turn::BIGINT * 10000000 + 8000000 AS hi, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations",
+    "rttm_statistics": f"WITH {SEG_SQL} SELECT meeting_id, count(*) AS lines, count(DISTINCT label) AS speakers, sum(hi - lo)::BIGINT AS duration FROM seg GROUP BY 1",
+    "release_digest": f"""WITH {SEG_SQL}, l AS (SELECT meeting_id, lo, hi, label, 'SPEAKER ' || meeting_id || ' 1 ' || {_TIME('lo / 1e6')} || ' ' || {_TIME('(hi - lo) / 1e6')} || ' <NA> <NA> ' || label || ' <NA> <NA>' AS line FROM seg)
+        SELECT meeting_id, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY lo, hi, label)) AS digest FROM l GROUP BY 1""",
+    "der_multi_label": _multi_sql("TRUE", "SELECT meeting_id, correct FROM best"),
+    "overlap_der": _multi_sql("r >= 2", _INSIDE),
+    "word_to_turn_floor": f"{_assigned_sql(_FLOOR)} SELECT meeting_id, seg_no, word_no, label, how FROM found",
+    "word_to_turn_latest_start": f"{_assigned_sql('arg_max(label, last)')} SELECT meeting_id, seg_no, word_no, label, how FROM found",
+    "word_to_turn_first_seen": f"{_assigned_sql('arg_min(label, seen)')} SELECT meeting_id, seg_no, word_no, label, how FROM found",
+    "assignment_stats": f"""{_assigned_sql(_FLOOR)} SELECT meeting_id, count(*) AS words, count(*) FILTER (how = 'overlap') AS overlap, count(*) FILTER (how = 'tie') AS tie, count(*) FILTER (how = 'nearest') AS nearest, 0::BIGINT AS fallback FROM found GROUP BY 1""",
+    "speaker_runs": f"""{_assigned_sql(_FLOOR)}, c AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS c FROM found WINDOW w AS (PARTITION BY meeting_id, seg_no ORDER BY word_no)
+        ), r AS (SELECT *, sum(c) OVER (PARTITION BY meeting_id, seg_no ORDER BY word_no)::BIGINT AS run FROM c)
+        SELECT meeting_id, seg_no, run, label, min(lo) AS lo, greatest(max(hi), min(lo) + 10000) AS hi, string_agg(word, ' ' ORDER BY lo, hi, word_no) AS text FROM r GROUP BY 1, 2, 3, 4""",
+    "word_in_turn": f"""WITH {SPOKEN_SQL}, l AS (SELECT w.meeting_id, seg_no, word_no, any_value(hi) AS hi, max({{'a': t0, 'b': t1, 'c': label}}) AS t FROM words w LEFT JOIN turns t ON w.meeting_id = t.meeting_id AND t0 <= lo GROUP BY 1, 2, 3)
+        SELECT meeting_id, seg_no, word_no, CASE WHEN t.b >= hi THEN t.c END AS label FROM l""",
+    "number_words": f"""SELECT o_orderkey, {_words_sql('o_orderkey')} AS key, {_words_sql('(o_totalprice::DECIMAL(15,2) * 100)::BIGINT // 100')} || ' point ' || {_ONES}[(o_totalprice::DECIMAL(15,2) * 100)::BIGINT % 100 // 10 + 1] || ' ' || {_ONES}[(o_totalprice::DECIMAL(15,2) * 100)::BIGINT % 10 + 1] AS price FROM orders""",
 }
