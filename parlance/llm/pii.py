@@ -5,14 +5,16 @@ LSTM with CRF transitions learns characters' labels from labelled spans: the bas
 most ``SAMPLE`` documents of the table, those with the smallest md5 of their id, and seeded
 examples, also of written forms that the rules don't know ("name [at] host [dot] org", a
 phone number without a plus, a card number with dots). It reads every text in windows of
-``WINDOW`` characters that overlap by half. Windows without a digit, an at sign or a
-bracketed or written "at" hold none of these kinds and are not tagged. The decoded windows
-are reconciled over the whole text: each character has the label from the window in which it
-is nearer to the middle, and runs of a label become spans. A span is added if it doesn't touch
-a base span and is of its kind by a check that is laxer than the base rule.
+``WINDOW`` characters that overlap by half. The decoded windows are reconciled over the whole
+text: each character has the label from the window in which it is nearer to the middle, and
+runs of a label become spans. A span is added if it doesn't touch a base span and is of its
+kind by a check that is laxer than the base rule; of the stretches that pass, the one that fits
+the run best. Every such stretch holds a digit, an at sign or an "at" before a host and a dot,
+so windows without any of these give no span and are not decoded.
 
 Edge cases: a null or empty text has no spans; null or repeated ids don't matter, as a row's
-spans come from its text alone; very long texts are tagged in groups of windows; an empty table
+spans come from its text alone (of the rows of an id in the sample the text with the smallest
+hash is used); very long texts are tagged in groups of windows; numbers may have any length; an empty table
 gives an empty result; other columns are ignored. Offsets count code points, ends are
 exclusive.
 """
@@ -34,7 +36,7 @@ from parlance.llm.spans import SPAN, counted, digest, listed
 BASE = ("email", "ip", "card", "phone")
 ADDED = tuple(f"tagged_{k}" for k in BASE)
 KINDS = BASE + ADDED
-SAMPLE, WINDOW, ROUNDS = 1_000, 64, 160
+SAMPLE, WINDOW, ROUNDS, HIDDEN, EXAMPLES = 1_000, 64, 320, 28, 2_400
 #: Windows tagged at once.
 BATCH = 1024
 
@@ -45,10 +47,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_AT = re.compile(r"[@0-9]|[\[(]\x20?at\x20?[\])]|\x20at\x20(?=[a-z0-9-]+\x20dot\x20)", re.I)
+_AT = re.compile(r"[@0-9]|[\[(]\x20?at\x20?[\])]|\x20at\x20(?=[a-z0-9-]+\x20?(?:\.|[\[(]\x20?dot\x20?[\])]|\x20?dot\x20))", re.I)
 _DIGITS = re.compile(r"[^0-9]+")
 
 
+def _byte(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -77,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found += [("email", *x) for x in _emails(text)]
     if not _DIGIT.search(text):
         return found
-    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(_byte(x) for x in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
             digits = _DIGITS.sub("", m[0])
@@ -148,26 +155,43 @@ def tagged(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
 
 
 _LAX = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:@|[\[(]\x20?at\x20?[\])]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])]|\x20dot\x20)\x20?[A-Za-z0-9-]+)+", re.I),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:@|[\[(]\x20?at\x20?[\])]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])]|\x20?dot\x20)\x20?[A-Za-z0-9-]+)+", re.I),
     "ip": re.compile(r"[0-9]{1,3}(?:\x20?[.\[\]()]{1,3}\x20?[0-9]{1,3}){3}"),
-    "card": re.compile(r"[0-9](?:[\x20._/-]{0,2}[0-9]){11,18}"),
-    "phone": re.compile(r"(?:\+|00|\()[0-9\x20().\-/]{7,22}[0-9]"),
+    "card": re.compile(r"[0-9](?:[\x20._/-]{0,3}[0-9]){11,18}"),
+    "phone": re.compile(r"(?:\+|\(|[0-9])[0-9\x20().\-/]{7,22}[0-9]"),
 }
+#: A match doesn't begin or end inside a run of these.
+_INSIDE = {"email": re.compile(r"[A-Za-z0-9_%+]"), "ip": re.compile("[0-9]"), "card": re.compile("[0-9]"), "phone": re.compile("[0-9]")}
+MARGIN = 8
+
+
+def _holds(kind: str, found: str) -> bool:
+    if kind == "email":
+        return True
+    digits = _DIGITS.sub("", found)
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15 and found.count("(") == found.count(")")
+    return all(_byte(x) for x in re.findall("[0-9]+", found))
 
 
 def _lax(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
-    """Where in the tagged run, or a little around it, the kind is."""
-    for m in _LAX[kind].finditer(text, max(0, start - 8), min(len(text), end + 8)):
-        if m.start() < end and m.end() > start:
-            digits = _DIGITS.sub("", m[0])
-            if kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)):
-                continue
-            if kind == "phone" and not 9 <= len(digits) <= 15:
-                continue
-            if kind == "ip" and not all(int(x) <= 255 for x in re.findall("[0-9]+", m[0])):
-                continue
-            return m.span()
-    return None
+    """The stretch of the kind, in the tagged run or a little around it, that fits the run best."""
+    best, at, inside = None, None, _INSIDE[kind]
+    last = min(len(text), end + MARGIN)
+    for s in range(max(0, start - MARGIN), end):
+        if s and inside.match(text[s - 1]) and inside.match(text[s]):
+            continue
+        m = _LAX[kind].match(text, s, last)
+        while m:
+            e = m.end()
+            if e > start and not (e < len(text) and inside.match(text[e]) and inside.match(text[e - 1])) and _holds(kind, m[0]):
+                fit = min(e, end) - max(s, start) - max(0, start - s) - max(0, e - end)
+                if best is None or fit > best:
+                    best, at = fit, (s, e)
+            m = _LAX[kind].match(text, s, e - 1) if kind != "email" and e - 1 > s else None
+    return at if best is not None and 2 * best >= end - start else None
 
 
 def spans_of(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -183,7 +207,7 @@ def spans_of(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]
     return out
 
 
-def examples(n: int = 900, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def examples(n: int = EXAMPLES, seed: int = 5) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Seeded texts with labelled spans, half of them in forms the base rules don't know."""
     random = np.random.default_rng(seed)
     pick = lambda *x: x[random.integers(len(x))]
@@ -196,26 +220,26 @@ def examples(n: int = 900, seed: int = 5) -> list[tuple[str, list[tuple[str, int
 
     def one(kind: str) -> str:
         if kind == "email":
-            at, dot = pick(("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", "."), (" at ", " dot "), (" @ ", "."))
+            at, dot = pick(("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", "."), (" at ", " dot "), (" @ ", "."))
             return f"{word()}{pick('', '.' + word(), number(2))}{at}{word()}{dot}{pick('com', 'org', 'net', 'example' + dot + 'com')}"
         if kind == "ip":
-            return pick(".", ".", "[.]").join(str(x) for x in random.integers(0, 256, 4))
+            return pick(".", "[.]", "(.)", " . ").join(str(x) for x in random.integers(0, 256, 4))
         if kind == "card":
-            c, by = card(), pick("", " ", "-", ".")
+            c, by = card(), pick("", " ", "-", ".", "/", " - ")
             return by.join(c[i : i + 4] for i in range(0, 16, 4))
-        return pick("+{}{} {} {}", "+{}{}-{}-{}", "({}{}) {}-{}", "00{}{} {}{}", "+{} ({}) {}-{}").format(number(1), number(2), number(3), number(4))
+        return pick("+{}{} {} {}", "+{}{}-{}-{}", "({}{}) {}-{}", "00{}{} {}{}", "00{} {} {} {}", "({}{}) {} {}", "+{} ({}) {}-{}").format(number(1), number(2), number(3), number(4))
 
     found = []
     for _ in range(n):
         text, spans = "", []
         while len(text) < 2 * WINDOW:
-            if random.random() < 0.18:
+            if random.random() < 0.25:
                 kind = BASE[random.integers(4)]
                 value = one(kind)
                 spans.append((kind, len(text), len(text) + len(value)))
                 text += value + pick(" ", ", ", ".\n")
-            elif random.random() < 0.2:
-                text += pick(number(random.integers(1, 9)), f"{number(1)}.{number(1)}.{number(1)}", f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}", f"v{number(1)}.{number(2)}", "CC BY 4.0", f"{word()}{number(3)}") + " "
+            elif random.random() < 0.25:
+                text += pick(number(random.integers(1, 9)), f"{number(1)}.{number(1)}.{number(1)}", f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}", f"v{number(1)}.{number(2)}", "CC BY 4.0", f"{word()}{number(3)}", f"{number(2)} at {word()}", f"@{word()}", f"{number(3)}.{number(2)}") + " "
             else:
                 text += pick(word(), word().title()) + pick(" ", " ", ", ", ".\n")
         found.append((text, spans))
@@ -225,7 +249,8 @@ def examples(n: int = 900, seed: int = 5) -> list[tuple[str, list[tuple[str, int
 def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Tagger:
     """The tagger, from base spans of at most ``sample`` documents and the seeded examples."""
     ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    text = F.col("text").cast("string")
+    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the stretches around labels and numbers, a few from each document
@@ -236,14 +261,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Tagger
                 rows += [text[s : s + WINDOW] for s in starts[:: max(1, len(starts) // 8)][:8]]
             yield pa.RecordBatch.from_pydict({"text": pa.array(rows, pa.string())})
 
-    own = sorted(r["text"] for r in chosen.select(F.col("text").cast("string")).mapInArrow(cut_out, "text string").collect())
+    own = sorted(r["text"] for r in chosen.select("text").mapInArrow(cut_out, "text string").collect())
     labelled = examples() + [(t, base_spans(t)) for t in own]
     xs, ys = [], []
     for text, spans in labelled:
         starts = window_starts(text) or [0]
         xs.append(cut(codes(text), starts, 97))
         ys.append(cut(labels_of(text, spans), starts, 0))
-    model = Tagger(1 + len(BASE))
+    model = Tagger(1 + len(BASE), HIDDEN, HIDDEN)
     model.fit(np.concatenate(xs, axis=1), np.concatenate(ys, axis=1), rounds)
     return model
 
@@ -267,10 +292,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and tagged personal data of every document."""
     docs = documents(spark, sf_dir)
     spans = F.col("spans")
-    return find(docs, train(docs)).select(
+    found = find(docs, train(docs))
+    return found.select(
         "doc_id",
         *[counted(spans, k).alias(f"n_{k}") for k in BASE],
         digest(spans, BASE).alias("base_sha256"),
         listed(spans, KINDS).alias("spans"),
         *[counted(spans, k).alias(f"n_{k}") for k in ADDED],
+        F.size(spans).cast("long").alias("n_spans"),
     )

@@ -14,7 +14,7 @@ parts costs no more than its rows.
 
 Secrets complete identifiers and endpoints; identifiers and endpoints complete secrets.
 
-Edge cases: a null or empty text has no spans; documents are told apart by row, so null,
+Edge cases: a null or empty text has no spans; a very long text is scanned whole; documents are told apart by row, so null,
 repeated or equal ids keep their own spans; an empty table gives an empty result; other
 columns are ignored. Offsets count code points, ends are exclusive.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -72,11 +73,11 @@ def parts(text: str) -> list[tuple[str, str, int, int, int, bool]]:
     base = base_spans(text)
     found = [(k, "identifier" if k == "access" else "secret", s, e, False) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
-    starts = [s for s, _ in taken]
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
 
     def add(kind: str, role: str, start: int, end: int) -> None:
         i = bisect_right(starts, end - 1) - 1
-        if i < 0 or all(e <= start for _, e in taken[max(0, i - 2) : i + 1]):
+        if i < 0 or reach[i] <= start:
             found.append((kind, role, start, end, True))
 
     if _MAY_BE_WEAK.search(text) or base:
@@ -137,4 +138,5 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(spans, BASE).alias("base_sha256"),
         listed(spans, KINDS).alias("spans"),
         *[counted(spans, k).alias(f"n_{k}") for k in WEAK],
+        F.size(spans).cast("long").alias("n_spans"),
     )
