@@ -1,14 +1,18 @@
 """Embedding near-duplicates by an inverted multi-index.
 
-Vectors are scaled to unit length and cut into halves. A codebook for each half is fitted by
-k-means to at most ``SAMPLE`` vectors, those with the smallest md5 of their id; every vector
-lies in the cell of its nearest words in both books, so two books of k words give a grid of
-k x k cells (Babenko and Lempitsky 2012). A vector searches its own label's grid by
-multi-sequence traversal: cells in the order of the least distance that anything in them can
-have from it. That bound is exact, as what lies in a cell is on its word's side of the
-midplane between its word and the query's own nearest word, so the traversal ends where the
-bound passes the radius of the threshold with the target recall of 1. Candidates are verified
-by their cosine in double precision.
+Vectors are scaled to unit length, moved by the mean of their label, and cut into halves. A
+codebook for each half is fitted by k-means to at most ``SAMPLE`` vectors, those with the
+smallest md5 of their id; every vector lies in the cell of its nearest words in both books,
+so two books of k words give a grid of k x k cells (Babenko and Lempitsky 2012). k grows with
+the number of vectors a label, and is ``FEWEST`` at least.
+
+A vector searches its own label's grid by multi-sequence traversal: with a queue over the two
+orders of words it visits cells by growing bound, the least distance that anything in a cell
+can have from it. What lies in a cell is on its word's side of the midplane between its word
+and the query's own nearest word, so the bound is sound, and nothing within the threshold is
+missed where the traversal goes on to the threshold's radius. It ends earlier, at the bound
+within which the target recall of the sample's own linked pairs is found, if the sample has
+``ENOUGH`` such pairs. Candidates are verified by their cosine in double precision.
 
 Equal vectors of a label are searched for once, with their number. A cell's members and its
 queries are cut into blocks of at most ``BLOCK``, and every pair of blocks is worked on by
@@ -25,7 +29,9 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +42,9 @@ from parlance.llm.common import stored
 from parlance.llm.components import Forest, connected_components
 
 COSINE, SAMPLE, BLOCK = 0.98, 8_192, 1024
-#: Vectors that a cell should hold on average, and the most words of a codebook.
-CELL, MOST_WORDS = 512, 256
+#: Vectors of a label that a cell should hold on average; the fewest and the most words of a codebook.
+CELL, FEWEST, MOST_WORDS = 128, 4, 512
+RECALL, ENOUGH = 0.999, 1_000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -60,13 +67,37 @@ def _distances(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ words.T + (words * words).sum(1))
 
 
+def traversal(u: np.ndarray, v: np.ndarray, reach: float) -> list[tuple[int, int]]:
+    """Cells (i, j) by growing u[i] + v[j], up to ``reach``: the multi-sequence algorithm. A cell
+    waits in the queue once those before it in its row and its column were visited."""
+    rows, columns = np.argsort(u, kind="stable"), np.argsort(v, kind="stable")
+    a, b = u[rows].tolist(), v[columns].tolist()
+    done, queue, out = [0] * len(a), [(a[0] + b[0], 0, 0)], []  # done: visited cells of each row
+    while queue:
+        total, i, j = heappop(queue)
+        if total > reach:
+            break
+        out.append((int(rows[i]), int(columns[j])))
+        done[i] = j + 1
+        if i + 1 < len(a) and done[i + 1] == j:
+            heappush(queue, (a[i + 1] + b[j], i + 1, j))
+        if j + 1 < len(b) and (i == 0 or done[i - 1] > j + 1):
+            heappush(queue, (a[i] + b[j + 1], i, j + 1))
+    return out
+
+
 class MultiIndex:
     """Two codebooks; finds a vector's cell and the cells that can hold its neighbours."""
 
-    def __init__(self, one: np.ndarray, two: np.ndarray, cosine: float):
-        self.books, self.radius2 = (one, two), 2 - 2 * cosine + 1e-9
+    def __init__(self, one: np.ndarray, two: np.ndarray, cosine: float, means: dict[str, np.ndarray] | None = None):
+        self.books, self.reach, self.means = (one, two), 2 - 2 * cosine + 1e-9, means or {}
+        self.size = one.shape[1] + two.shape[1]
         self.apart = [np.sqrt(_distances(b, b)) for b in self.books]
 
+    def moved(self, x: np.ndarray, labels: list[str]) -> np.ndarray:
+        none = np.zeros(self.size)
+        return unit(x) - np.array([self.means.get(k, none) for k in labels]).reshape(-1, self.size)
+
     def _half(self, x: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Nearest word, and the least squared distance to anything of each word."""
         d = _distances(x, self.books[i])
@@ -76,51 +107,68 @@ class MultiIndex:
         bound = np.where(gap > 0, ahead / (2 * np.where(gap > 0, gap, 1)), 0)
         return near, np.square(np.maximum(0, bound - 1e-9))
 
+    def halves(self, x: np.ndarray) -> tuple[tuple, tuple]:
+        half = self.books[0].shape[1]
+        return self._half(x[:, :half], 0), self._half(x[:, half:], 1)
+
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The cell of each row, and the cells it visits, by growing bound."""
-        half = x.shape[1] // 2
-        (a, bound_a), (b, bound_b) = self._half(x[:, :half], 0), self._half(x[:, half:], 1)
+        """The cell of each (moved) row, and the cells it visits, by growing bound."""
+        (a, bound_a), (b, bound_b) = self.halves(x)
         width = len(self.books[1])
-        visits = []
-        for u, v in zip(bound_a, bound_b):
-            # the product grid in sequence: rows by the first half's bound, until it alone is beyond
-            rows = np.argsort(u, kind="stable")
-            rows = rows[u[rows] <= self.radius2]
-            columns = np.argsort(v, kind="stable")
-            columns = columns[v[columns] <= self.radius2]
-            total = u[rows][:, None] + v[columns][None, :]
-            i, j = np.nonzero(total <= self.radius2)
-            order = np.argsort(total[i, j], kind="stable")
-            visits.append((rows[i] * width + columns[j])[order])
-        return a * width + b, visits
-
-
-def fit(vectors: DataFrame, n: int, cosine: float, labels: int) -> MultiIndex | None:
-    """Codebooks from a bounded sample; their size follows the number of vectors a label."""
-    words = int(min(MOST_WORDS, max(1, math.sqrt(n / max(1, labels) / CELL))))
-    rows = vectors.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id", "label", "v").select("v").limit(SAMPLE).collect()
-    sizes = {len(r["v"]) for r in rows}
-    if len(sizes) != 1 or min(sizes) < 2:
+        return a * width + b, [np.array([i * width + j for i, j in traversal(u, v, self.reach)], np.int64) for u, v in zip(bound_a, bound_b)]
+
+    def calibrate(self, x: np.ndarray, labels: np.ndarray, cosine: float, recall: float) -> None:
+        """Let traversals end where ``recall`` of the linked pairs in the sample x are found."""
+        unmoved, moved = unit(x), self.moved(x, labels.tolist())
+        (a, u), (b, v) = self.halves(moved)
+        bounds = []
+        for label in np.unique(labels):
+            mine = np.flatnonzero(labels == label)
+            for at in range(0, len(mine), 256):
+                rows = mine[at : at + 256]
+                q, p = np.nonzero(unmoved[rows] @ unmoved[mine].T >= cosine)
+                q, p = rows[q], mine[p]
+                bounds.append((u[q, a[p]] + v[q, b[p]])[q != p])
+        found = np.concatenate(bounds) if bounds else np.empty(0)
+        if len(found) >= ENOUGH:
+            self.reach = min(self.reach, float(np.quantile(found, recall, method="higher")))
+
+
+def fit(vectors: DataFrame, n: int, cosine: float, labels: int, recall: float = RECALL) -> MultiIndex | None:
+    """Codebooks from a bounded sample; their size follows the number of vectors a label. Vectors of
+    another length than most of the sample have no index and are compared in blocks."""
+    rows = vectors.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id", "label", "v").select("label", "v").limit(SAMPLE).collect()
+    sizes = Counter(len(r["v"]) for r in rows)
+    size = min(sizes, key=lambda k: (-sizes[k], k))
+    if size < 2:
         return None
-    x = unit(np.array([r["v"] for r in rows]))
-    half = x.shape[1] // 2
-    return MultiIndex(codebook(x[:, :half], words), codebook(x[:, half:], words), cosine)
-
-
-def _postings(index: MultiIndex | None, size: int):
+    rows = [r for r in rows if len(r["v"]) == size]
+    words = int(min(MOST_WORDS, max(FEWEST, math.sqrt(n / max(1, labels) / CELL))))
+    x, names = np.array([r["v"] for r in rows]), np.array([r["label"] for r in rows], object)
+    whole = unit(x)
+    means = {k: whole[names == k].mean(0) for k in set(names.tolist())}
+    moved = whole - np.array([means[k] for k in names.tolist()])
+    half = size // 2
+    index = MultiIndex(codebook(moved[:, :half], words), codebook(moved[:, half:], words), cosine, means)
+    index.calibrate(x, names.astype(str), cosine, recall)
+    return index
+
+
+def _postings(shared):
     """For mapInArrow over vec_id, label, v, n: a row for the own cell and for each visited one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                vectors = some.column("v").to_pylist()
-                fits = [index is not None and len(v) == size for v in vectors]
+                vectors, labels = some.column("v").to_pylist(), some.column("label").to_pylist()
+                fits = [index is not None and len(v) == index.size for v in vectors]
                 own = np.full(len(vectors), -1)
                 visits: list = [np.array([-1])] * len(vectors)
                 if any(fits):
                     rows = np.flatnonzero(fits)
-                    cells, found = index.cells(unit(np.array([vectors[i] for i in rows])))
+                    cells, found = index.cells(index.moved(np.array([vectors[i] for i in rows]), [labels[i] for i in rows]))
                     own[rows] = cells
                     for i, v in zip(rows, found):
                         visits[i] = v
@@ -179,7 +227,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("vec_id", "links", "root"))})
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """``embeddings`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     # a component that is null, NaN or infinite makes the squares' sum neither finite nor positive
@@ -188,10 +236,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     valid = stored(rows.where(good), "vectors")
     equal = valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = stored(equal, "equal")
-    total, labels, size = classes.agg(F.count("*"), F.approx_count_distinct("label"), F.max(F.size("v"))).first()
-    index = fit(classes.select(F.col("rep").alias("vec_id"), "label", "v"), total, cosine, labels) if total else None
+    total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
+    index = fit(classes.select(F.col("rep").alias("vec_id"), "label", "v"), total, cosine, labels, recall) if total else None
+    shared = embeddings.sparkSession.sparkContext.broadcast(index)
     postings = classes.select(F.col("rep").alias("vec_id"), "label", "v", "n").mapInArrow(
-        _postings(index, size or 0), "vec_id long, label string, v array<double>, n long, cell long, query boolean"
+        _postings(shared), "vec_id long, label string, v array<double>, n long, cell long, query boolean"
     )
     postings = stored(postings, "postings")
     counts = postings.groupBy("label", "cell").agg(F.sum(F.when(F.col("query"), 1).otherwise(0)).alias("q"), F.sum(F.when(F.col("query"), 0).otherwise(1)).alias("m"))
