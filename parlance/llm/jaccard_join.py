@@ -33,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.common import documents, mix, shingles, stored, text_hashes
@@ -253,8 +253,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, n2: i
     reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     # signatures that different sets share; of signatures with the same sets, one
     marks = reps.select("doc_id", F.posexplode("signatures").alias("band", "found")).select("doc_id", "band", F.explode("found").alias("signature"))
-    several = F.count("*").over(Window.partitionBy("signature"))
-    shared = stored(marks.withColumn("n", several).where("n > 1").drop("n"), "shared")
+    several = stored(marks.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "several")
+    shared = stored(marks.join(several, "signature", "left_semi"), "shared")
     members = [F.bit_xor(F.xxhash64(F.lit(i), "doc_id", "band")).alias(f"m{i}") for i in range(2)]
     counts = shared.groupBy("signature").agg(F.count("*").alias("n"), *members)
     counts = stored(counts.groupBy("m0", "m1", "n").agg(F.min("signature").alias("signature")).select("signature", "n"), "signatures")
@@ -275,4 +275,4 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, n2: i
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: 3-word shingles, similarity of at least 0.9."""
-    return jaccard_components(documents(spark, sf_dir), width=3, percent=90)
+    return jaccard_components(documents(spark, sf_dir), width=3, percent=90, n2=3, k2=1)

@@ -8,9 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import line_dedup
-from parlance.llm.embedding_dedup import op2_embedding_dedup
-from parlance.llm.jaccard_join import jaccard_components
+from parlance.llm import embedding_dedup, line_dedup
+from parlance.llm.jaccard_join import PartEnum, jaccard_components
 from parlance.llm.line_dedup import removed_lines
 
 DIR = "/root/testdata/sf0.001"
@@ -53,9 +52,9 @@ def shingle_set(text, width):
     return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("width", "percent", "n2", "k2"), [(3, 90, 3, 1), (5, 80, 1, 0), (5, 80, 4, 2)])
 @pytest.mark.parametrize("edges", [False, True])
-def test_jaccard_components(spark, width, percent, edges):
+def test_jaccard_components(spark, width, percent, n2, k2, edges):
     docs = spark.createDataFrame(EDGES, SCHEMA) if edges else spark.read.parquet(f"{DIR}/documents.parquet")
     rows = [r for r in docs.collect() if r.doc_id is not None]
     sets = {r.doc_id: shingle_set(r.text, width) for r in rows}
@@ -66,7 +65,7 @@ def test_jaccard_components(spark, width, percent, edges):
             links.append((a, b))
     root = roots(sets, links)
     want = sorted((r.doc_id, len(sets[r.doc_id]), root[r.doc_id]) for r in rows)
-    got = [tuple(r) for r in jaccard_components(docs, width, percent).collect()]
+    got = [tuple(r) for r in jaccard_components(docs, width, percent, n2, k2).collect()]
     assert sorted(r for r in got if r[0] is not None) == want
     assert len(got) == docs.count()
 
@@ -139,17 +138,93 @@ def test_no_lines(spark):
     assert removed_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_embedding_dedup_is_sound_and_nearly_complete(spark):
-    rows = spark.read.parquet(f"{DIR}/embeddings.parquet").collect()
+@pytest.mark.parametrize(("n1", "n2", "k2", "percent"), [(None, 1, 0, 80), (None, 3, 1, 80), (None, 4, 2, 90), (None, 3, 2, 70)])
+def test_similar_sets_share_a_signature(n1, n2, k2, percent):
+    """Random pairs at and above the threshold, of all sizes."""
+    scheme, random = PartEnum(percent, n2, k2), np.random.default_rng(n2)
+    for size in [*range(1, 60), 200, 1000]:
+        for _ in range(6):
+            a = np.unique(random.integers(0, 1 << 63, size).astype(np.uint64))
+            most = 2 * len(a) * (100 - percent) // (100 + percent)
+            out = random.integers(0, most + 1)
+            b = np.unique(np.concatenate([a[random.permutation(len(a))[out // 2 :]], random.integers(0, 1 << 63, out - out // 2).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                assert {int(x) for s in scheme(a)[0] for x in s} & {int(x) for s in scheme(b)[0] for x in s}
+
+
+def brute_links(rows):
     vectors = {}
     for r in rows:
         v = np.array(r.embedding if r.embedding is not None else [np.nan], float)
-        if r.label is not None and np.isfinite(v).all() and np.linalg.norm(v) > 0:
+        if r.label is not None and r.vec_id is not None and np.isfinite(v).all() and np.linalg.norm(v) > 0:
             vectors[r.vec_id] = (r.label, v / np.linalg.norm(v))
-    links = [(a, b) for a, b in combinations(vectors, 2) if vectors[a][0] == vectors[b][0] and vectors[a][1] @ vectors[b][1] >= 0.98]
-    got = {r.vec_id: r for r in op2_embedding_dedup(spark, DIR).collect()}
-    assert set(got) == {r.vec_id for r in rows}
+    pairs = [(a, b) for a, b in combinations(vectors, 2) if vectors[a][0] == vectors[b][0] and len(vectors[a][1]) == len(vectors[b][1])]
+    return [(a, b) for a, b in pairs if vectors[a][1] @ vectors[b][1] >= 0.98]
+
+
+@pytest.mark.parametrize(("cell", "recall"), [(128, 0.999), (2, 0.999), (1, 1.0)])
+def test_embedding_dedup_against_brute_force(spark, monkeypatch, cell, recall):
+    """With cells of a few vectors, so grids of many words and traversals of many cells."""
+    monkeypatch.setattr(embedding_dedup, "CELL", cell)
+    x, labels = clustered(600)
+    docs = spark.createDataFrame([(i, v, f"l{k}") for i, (v, k) in enumerate(zip(x.tolist(), labels.tolist()))], "vec_id long, embedding array<double>, label string")
+    rows = docs.collect()
+    links = brute_links(rows)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(docs, recall=recall).collect()}
+    assert set(got) == {r.vec_id for r in rows} and links
     found = sum(r.n_links for r in got.values())
-    assert 0.9 * 2 * len(links) <= found <= 2 * len(links)
-    root = roots(got, links)
-    assert all(root[r.component_id] == root[v] and r.kept == (v == r.component_id) for v, r in got.items())
+    assert 0.95 * 2 * len(links) <= found <= 2 * len(links)
+    if found == 2 * len(links):
+        root = roots(got, links)
+        assert all(r.component_id == root[v] and r.kept == (v == r.component_id) for v, r in got.items())
+
+
+def clustered(n, labels=3, seed=4):
+    """Vectors around centres, at cosines of about 0.95 to 1 from each other."""
+    random = np.random.default_rng(seed)
+    centres = random.standard_normal((n // 12, 16))
+    of = random.integers(0, len(centres), n)
+    x = centres[of] + random.standard_normal((n, 16)) * random.choice([0.05, 0.12, 0.2], (n, 1))
+    return x, (of % labels)
+
+
+def test_recall_of_the_traversal():
+    """Of the index alone, 16 words a book: at the target without and with an earlier end."""
+    x, labels = clustered(3000)
+    labels = labels.astype(str)
+    units = embedding_dedup.unit(x)
+    moved = units - np.array([units[labels == k].mean(0) for k in labels])
+    means = {k: units[labels == k].mean(0) for k in set(labels)}
+    index = embedding_dedup.MultiIndex(embedding_dedup.codebook(moved[:, :8], 16), embedding_dedup.codebook(moved[:, 8:], 16), 0.98, means)
+    seen = {}
+    for recall in (None, 0.99):
+        if recall:
+            index.calibrate(x[:1500], labels[:1500], 0.98, recall)
+        own, visits = index.cells(index.moved(x, labels.tolist()))
+        near = (units @ units.T >= 0.98) & (labels[:, None] == labels[None, :]) & ~np.eye(len(x), dtype=bool)
+        pairs = np.argwhere(near)
+        sets = [set(v.tolist()) for v in visits]
+        found = sum(own[p] in sets[q] for q, p in pairs)
+        seen[recall] = (found / len(pairs), np.mean([len(v) for v in visits]))
+        assert len(pairs) > 3000 and all(len(s) == len(v) for s, v in zip(sets, visits))
+    assert seen[None][0] == 1 and seen[0.99][0] >= 0.97 and seen[0.99][1] < seen[None][1] < 256
+
+
+def test_traversal_order():
+    u, v = np.array([3.0, 0.0, 1.0]), np.array([0.0, 2.5, 0.5, 9.0])
+    cells = embedding_dedup.traversal(u, v, 4.0)
+    sums = [u[i] + v[j] for i, j in cells]
+    assert sums == sorted(sums) and sorted(cells) == sorted((i, j) for i in range(3) for j in range(4) if u[i] + v[j] <= 4)
+
+
+def test_embedding_edge_cases(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, "a"), (2, v, "a"), (3, v, "b"), (4, v, None), (5, None, "a"), (6, [], "a"), (7, [0.0, 0.0, 0.0], "a"), (8, [1.0, float("nan"), 1.0], "a")]
+    rows += [(9, [1.0, None, 1.0], "a"), (10, [float("inf"), 1.0, 1.0], "a"), (11, [1.0, 2.0], "a"), (12, [1.0, 2.0], "a"), (None, v, "a"), (2, v, "a"), (13, [2.0, 4.0, 6.1], "a")]
+    schema = "vec_id long, embedding array<double>, label string, n_links int, links int, v string"
+    docs = spark.createDataFrame([(*r, 0, 0, "x") for r in rows], schema)
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(docs).collect()), key=str)
+    lone = [(i, 0, i) for i in (3, 4, 5, 6, 7, 8, 9, 10)] + [(None, 0, None)]
+    assert got == sorted([*lone, (1, 3, 1), (2, 3, 1), (2, 3, 1), (13, 3, 1), (11, 1, 11), (12, 1, 11)], key=str)
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
