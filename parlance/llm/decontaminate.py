@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import MULTIPLIERS, documents, mix
+from parlance.llm.common import MULTIPLIERS, documents, mix, stored
 
 WIDTH, LEAST, COVERAGE = 8, 4, 0.5
 BROADCAST_WINDOWS = 1_000_000
@@ -294,7 +294,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """Pairs of a document and an item found in it: doc_id, item_id, n_windows, item_windows,
     coverage, verbatim (all slot values are the item's own).
     """
-    items = _item_windows(benchmark)
+    items = stored(_item_windows(benchmark), "windows")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = items.count()
     if n <= broadcast_windows:

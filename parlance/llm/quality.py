@@ -10,9 +10,11 @@ At most ``MAX_LABELLED`` labelled documents, those with the smallest md5 of thei
 used to fit; each is paired with ``PAIRS`` of the other class. All documents are scored.
 
 Edge cases: a null or empty text has the features of an empty text and a score of its own; a
-null id is in no fold's held-out part; rows of an id that is labelled more than once count
-once if their labels agree and not at all otherwise; without labels of both classes every
-score is 1; an empty table gives an empty result; other columns are ignored.
+null id is in no fold's held-out part; an id that is labelled more than once counts
+once if its labels agree and not at all otherwise, and of several texts of an id the one with the
+smallest features is learnt from; ties of strengths have one score; a very long text has the
+features of the whole; without labels of both classes every score is 1; an empty table gives an
+empty result; other columns are kept, but one named score is replaced.
 """
 
 from __future__ import annotations
@@ -99,7 +101,8 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3
 
 
 def score(model: dict, x: np.ndarray) -> np.ndarray:
-    s = np.clip((x - model["centre"]) / model["scale"], -8, 8) @ model["w"]
+    # a sum for each row, so that a text's score doesn't depend on the rows beside it
+    s = (np.clip((x - model["centre"]) / model["scale"], -8, 8) * model["w"]).sum(1)
     if not model["slope"]:
         return np.ones(len(x))
     at = np.log(CUT / (1 - CUT))
@@ -121,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
     known = known.groupBy(F.col("doc_id").cast("long")).agg(F.min("quality").alias("low"), F.max("quality").alias("quality")).where("low = quality")
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most).select("doc_id", "quality")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = _vectors(texts).join(chosen, "doc_id").collect()  # at most ``most`` short vectors
+    one = _vectors(texts).groupBy("doc_id").agg(F.min("x").alias("x"))  # of the rows of an id
+    rows = one.join(chosen, "doc_id").collect()  # at most ``most`` short vectors
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(-1, N_FEATURES)
     if not len(x):
