@@ -2,13 +2,18 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's ``docs``; all but the last return the columns of
-documents. Null texts and ids pass through as the operators' docstrings say.
+documents. Where a stage tells documents apart it does so by their id and the hash of their
+text, so rows without an id, and different texts of one id, are documents of their own.
+
+Edge cases of every stage: null and empty texts pass (quality scores them as empty ones); ties
+and repeated rows as said below; very long texts are worked on whole; an empty table gives an
+empty one; of other columns those of documents are returned, whatever the others are named.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.deploy import ship
@@ -22,8 +27,13 @@ from parlance.llm.token_output import read_documents, write_sequences
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def key_of() -> Column:
+    """Tells documents apart."""
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; repeated rows have one score."""
     ship(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs.select(*COLUMNS), model).where(F.col("score") >= CUT).select(*COLUMNS)
@@ -31,22 +41,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with similar sets of 5-word shingles, at 0.8 or more, the one with the
-    smallest id. Repeated ids count as copies; documents without an id stay."""
+    smallest id; one without an id stays only if there is no other, and of those of one id the one with the
+    smallest hash. Of rows that are equal in id and text one stays, by their other columns.
+    Documents without words all stay."""
     ship(spark)
-    docs = docs.select(*COLUMNS)
-    kept = jaccard_components(docs, width=5, percent=80).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\t-\r]"), F.lit(False))
+    docs = docs.select(*COLUMNS, key_of(), has_words.alias("has_words"))
+    some = docs.where("has_words").drop("has_words")
+    found = jaccard_components(some.select(F.col("key").alias("doc_id"), "text"), width=5, percent=80)
+    ids = some.select("key", "doc_id").distinct().join(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = ids.groupBy("component_id").agg(first).select("first.key")
+    rows = some.join(kept, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("doc"))
+    return rows.select("doc.*").unionByName(docs.where("not has_words").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; rows equal in id and text go or stay together."""
     ship(spark)
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS, key_of())
+    found = contaminated(docs.select(F.col("key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: by file, and by row in each file.
+    """All documents in the order of the mix: by file, and by row in each file. Repeated rows each
+    have a place; a null source is a source of its own.
 
     The target weights are op9's ``TARGETS``. Each source has its share, to within less than
     a block, wherever one stops reading before a source runs out; the documents after that
@@ -58,7 +78,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents' ids in the Arrow files that were written, in the order of ``docs``' files."""
+    """Documents' ids in the Arrow files that were written, in the order of ``docs``' files. A null or
+    empty text is one end id; rows are told apart by their place, so nulls and repeated rows stay."""
     import public_tokenizers
 
     ship(spark)
