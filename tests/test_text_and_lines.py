@@ -1,0 +1,216 @@
+"""Normalisers, number words, line formats, frames and small values."""
+
+import struct
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from parlance.functions import frames, values
+from parlance.operators import sessions, text
+from parlance.sources import lines
+
+
+def column(spark, items, f, kind="string"):
+    rows = spark.createDataFrame(list(enumerate(items)), f"i int, x {kind}")
+    return [r[0] for r in rows.orderBy("i").select(f(F.col("x"))).collect()]
+
+
+@pytest.mark.parametrize(
+    ("options", "cases"),
+    [
+        ({}, {"Well-known  o’clock!": "well known o'clock", "rock 'n' roll": "rock n roll", "it´s a/b_c — d": "it's a b c d", "$5 ½ é̀x": "5 ½ éx", "": "", "ʼx": "ʼx"}),
+        ({"contractions": True}, {"I can't, (won't)!": "i cannot will not", "They're we'll n't": "they are we will n't", "I'd've gonna": "i'd have going to", "dog's": "dog's"}),
+        ({"numbers": True}, {"1,234 and 3.50!": "one thousand two hundred thirty four and three point five zero", "-7 12th": "minus seven 12th", "0 000": "zero zero", "1000000000000": "1000000000000"}),
+        ({"lowercase": False, "strip_punctuation": False}, {" A,  b ": "A, b"}),
+    ],
+)
+def test_normalise(spark, options, cases):
+    assert dict(zip(cases, column(spark, list(cases), lambda x: text.normalise(x, **options)))) == cases
+
+
+def test_tokens(spark):
+    assert column(spark, ["<a> $5, --b-- 'c' *d*"], text.output_tokens) == [["a", "$5", "b", "c", "*d*"]]
+    assert column(spark, ["Hello, wörld 3x a1b2!"], text.letters_only) == [["hello", "wrld", "x", "ab"]]
+    assert column(spark, ["it's-a (test)"], text.corpus_words) == [["it's", "a", "test"]]
+
+
+def words_of(n):
+    """By the definition, recursively."""
+    if n < 20:
+        return text.ONES[n]
+    if n < 100:
+        return text.TENS[n // 10 - 2] + (f" {text.ONES[n % 10]}" if n % 10 else "")
+    for size, name in ((10**9, "billion"), (10**6, "million"), (1000, "thousand"), (100, "hundred")):
+        if n >= size:
+            return f"{words_of(n // size)} {name}" + (f" {words_of(n % size)}" if n % size else "")
+
+
+def test_integer_words(spark):
+    numbers = [*range(130), 999, 1000, 1001, 20_019, 100_000, 1_000_000, 1_000_001, 999_999_999, 10**9, 10**12 - 1, 12_003_000_400, 10**12, -1]
+    got = column(spark, numbers, text.integer_words, "long")
+    assert got == [words_of(n) if 0 <= n < 10**12 else None for n in numbers]
+
+
+def test_seed(spark):
+    import hashlib
+
+    got = spark.range(1).select(text.seed_number(F.lit("7"), F.lit("a b"))).first()[0]
+    assert int(got) == int.from_bytes(hashlib.sha256(b"7|a b").digest()[:8], "little")
+
+
+RTTM = """;; comment
+SPEAKER m 1 0.5 1.25 <NA> <NA> A <NA> <NA>
+
+SPEAKER m 1 x 1 <NA> <NA> A <NA> <NA>
+SPEAKER m 2 0 1 <NA> <NA> A <NA> <NA>
+SPEAKER m 1 -1 1 <NA> <NA> A <NA> <NA>
+SPEAKER m 1 1 0 <NA> <NA> A <NA> <NA>
+SPEAKER m 1 1 1 <NA> <NA> <NA> <NA> <NA>
+LEXEME m 1 1 1 <NA> <NA> A <NA> <NA>
+SPEAKER m 1 1
+SPEAKER n 1 0.1 0.2 <NA> <NA> B <NA> <NA>"""
+STM = """;; comment
+m 1 A 0.5 1.5 some   text here
+m 1 B 2 3
+m 1 B 3 2 back
+m A B 0 1 x
+m 1 B
+m 1 inter_segment_gap 0 0.5 <o,,>
+m 1 excluded_region 5 6
+m 1 C 6 7 <o,f0,female> hi there
+m 1 C 7 8 <unk> stays"""
+
+
+def test_rttm(spark, tmp_path):
+    (tmp_path / "a.rttm").write_text(RTTM)
+    read = lines.read_lines(spark, str(tmp_path))
+    rows = {r.line_no: r for r in lines.rttm(read).collect()}
+    assert {n for n, r in rows.items() if r.error is None} == {2, 11}
+    assert (rows[2].lo, rows[2].hi, rows[2].label) == (500_000, 1_750_000, "A") and (rows[11].lo, rows[11].hi) == (100_000, 300_000)
+    hints = {4: "start", 5: "channel", 6: "negative", 7: "duration", 8: "speaker", 9: "type", 10: "10 fields"}
+    assert all(hint in rows[n].error for n, hint in hints.items())
+    assert 9 not in {r.line_no for r in lines.rttm(read, ignore_other_types=True).collect()}
+    assert "meeting" in {r.line_no: r.error for r in lines.rttm(read, meeting_id="m").collect()}[11]
+    with pytest.raises(PySparkException, match="a.rttm:4"):
+        lines.rttm(read, strict=True).collect()
+    assert sum(r.error is None for r in lines.rttm_lenient(read).collect()) == 6
+
+
+def test_stm(spark, tmp_path):
+    (tmp_path / "a.stm").write_text(STM)
+    read = lines.read_lines(spark, str(tmp_path))
+    rows = {r.line_no: r for r in lines.stm(read).collect()}
+    assert {n for n, r in rows.items() if r.error is None} == {2, 3, 7, 8, 9, 10}
+    assert rows[2].text == "some text here" and rows[3].text == "" and "after" in rows[4].error and "channel" in rows[5].error
+    nist = {r.line_no: r for r in lines.stm(read, nist=True).collect()}
+    assert (nist[9].tag, nist[9].text) == ("<o,f0,female>", "hi there") and (nist[10].tag, nist[10].text) == (None, "<unk> stays")
+    segments, meetings = lines.stm_meetings(lines.stm(read, nist=True).where("line_no in (2, 3, 7, 8, 9, 10)"))
+    m = meetings.first()
+    assert (m.pseudo_rows, m.speakers, m.tagged, m.duration) == (2, ["A", "B", "C"], 1, 8_000_000) and [tuple(x) for x in m.excluded] == [(5_000_000, 6_000_000)]
+    a = segments.where("label = 'A'").first()
+    assert [tuple(w) for w in a.words] == [("some", 0.5, 0.8333), ("text", 0.8333, 1.1667), ("here", 1.1667, 1.5)]
+
+
+def test_round_trip_through_files(spark, tmp_path):
+    rows = [("m1", "Speaker 1", 0, 1_234_567, "a  b\nc"), ("m1", "Speaker_1", 5, 10, ""), ("m1", "Speaker\t1", 7, 9, "x"), ("m1", "<NA>", 8, 9, "x"), ("m1", ";;x", 9, 10, "y"), ("m2", "A", 0, 500_000, "z")]
+    segments = spark.createDataFrame(rows, "meeting_id string, label string, lo long, hi long, text string")
+    names = {(r.meeting_id, r.label): r.field for r in lines.label_fields(segments).collect()}
+    assert names == {("m1", "Speaker_1"): "Speaker_1", ("m1", "Speaker\t1"): "Speaker_1#2", ("m1", "Speaker 1"): "Speaker_1#3", ("m1", "<NA>"): "_NA_", ("m1", ";;x"): "_;;x", ("m2", "A"): "A"}
+    lines.write(lines.stm_lines(segments), f"{tmp_path}/stm")
+    back = lines.stm(lines.read_lines(spark, f"{tmp_path}/stm/*/*.txt"))
+    got = sorted((r.meeting_id, r.label, r.lo, r.hi, r.text) for r in back.collect())
+    assert got == sorted((m, names[m, x], lo, hi, " ".join(t.split())) for m, x, lo, hi, t in rows)
+    assert lines.rttm_lines(segments.where("meeting_id = 'm2'"), decimals=3).first().line == "SPEAKER m2 1 0.000 0.500 <NA> <NA> A <NA> <NA>"
+
+
+def test_agreement_of_views(spark):
+    make = lambda rows: spark.createDataFrame(rows, "meeting_id long, label string, lo long, hi long")
+    first = make([(1, "A", 0, 10), (1, "B", 10, 20)])
+    found = lines.agreement({"json": first, "rttm": make([(1, "A", 0, 11), (1, "B", 10, 20)]), "stm": make([(1, "A", 0, 10), (1, "C", 10, 20), (1, "B", 30, 40)])})
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "stm", 2), (1, "stm", 3)]
+
+
+def smoothed(spark, turns, shortest, gap):
+    df = spark.createDataFrame([(1, x, lo, hi) for lo, hi, x in turns], "meeting_id long, label string, lo long, hi long")
+    return sorted((r.lo, r.hi, r.label) for r in sessions.smooth(df, shortest, gap).collect())
+
+
+def test_smooth(spark):
+    assert smoothed(spark, [(0, 100, "A"), (100, 110, "B"), (110, 200, "A")], 20, 5) == [(0, 200, "A")]
+    assert smoothed(spark, [(0, 100, "A"), (100, 110, "B"), (110, 150, "C")], 20, 5) == [(0, 110, "A"), (110, 150, "C")]
+    assert smoothed(spark, [(0, 100, "A"), (150, 155, "B")], 20, 5) == [(0, 100, "A")]
+    assert smoothed(spark, [(0, 5, "A"), (5, 10, "B"), (10, 60, "C")], 20, 5) == [(0, 60, "C")]
+
+
+def test_merge_gap_keeps_the_running_end(spark):
+    df = spark.createDataFrame([(1, "A", 0, 100, 1), (1, "A", 10, 20, 2), (1, "A", 60, 70, 3), (1, "B", 80, 90, 4), (1, "A", 200, 210, 5)], "meeting_id long, label string, lo long, hi long, seg_no long")
+    assert sorted((r.lo, r.hi, r.label, r.n) for r in sessions.merge_gap(df, 30).collect()) == [(0, 100, "A", 3), (80, 90, "B", 1), (200, 210, "A", 1)]
+
+
+def test_hangover_ends_with_the_frames(spark):
+    runs = spark.createDataFrame([(1, 0, 3, 4), (1, 9, 10, 2)], "meeting_id long, first long, last long, n long")
+    grid = spark.range(12).selectExpr("1L as meeting_id", "id as frame")
+    assert [tuple(r)[1:3] for r in sessions.hangover(runs, 3, grid).collect()] == [(0, 6), (9, 11)]
+
+
+def test_selections(spark):
+    sizes = spark.createDataFrame([(1, "a", 3), (1, "b", 5), (1, "c", 3), (2, "d", 1)], "meeting_id long, label string, n long")
+    assert sorted((r.meeting_id, r.label) for r in sessions.largest(sizes, 2).collect()) == [(1, "a"), (1, "b"), (2, "d")]
+    rows = spark.range(10).selectExpr("1L as meeting_id", "id")
+    assert sorted(r.id for r in sessions.evenly_spaced(rows, 4, ("id",)).collect()) == [0, 3, 6, 9]
+    assert sorted(r.id for r in sessions.evenly_spaced(rows, 20, ("id",)).collect()) == list(range(10))
+
+
+def binary(spark, items):
+    return spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(items)], "i int, raw binary").orderBy("i")
+
+
+def test_file_lists(spark):
+    head = lambda start, n=3: b"\x01\x1a\x00" + struct.pack("<IHH", 0xFEDCBA98, n, start)
+    entry = struct.pack("<IIBB", 0xFFFFFFFF, 1234, 4, 9)
+    rows = frames.file_list(binary(spark, [head(2) + entry * 2 + b"rest", head(0)[:9], b"\x01", b"\x02" + head(0)[1:]])).collect()
+    assert (rows[0].stamp, rows[0].totals, rows[0].start) == (0xFEDCBA98, 3, 2)
+    assert [tuple(e) for e in rows[0].entries] == [(0xFFFFFFFF, 1234, 9, 4)] * 2 and rows[0].error is None
+    assert rows[1].start is None and rows[1].entries == [] and rows[1].error is None
+    assert rows[2].error and rows[3].error
+    old = frames.file_list(binary(spark, [head(0) + struct.pack("<IIB", 5, 6, 7)]), version=3).first()
+    assert [tuple(e) for e in old.entries] == [(5, 6, 7, 0)]
+
+
+def test_file_data(spark):
+    good = b"\x02" + struct.pack("<IIB", 7, 100, 3) + b"abc"
+    rows = frames.file_data(binary(spark, [good, good[:-1], b"\x02" + struct.pack("<II", 7, 0xFFFFFFFF) + b"\x00\x01", b"\x02\x00", b"\x01"])).collect()
+    assert (rows[0].session, rows[0].offset, rows[0].length, bytes(rows[0].payload), rows[0].code) == (7, 100, 3, b"abc", None)
+    assert bytes(rows[1].payload) == b"ab" and rows[2].code == 1 and rows[2].payload is None and rows[2].error is None
+    assert rows[3].error and rows[4].error
+    old = frames.file_data(binary(spark, [b"\x02" + struct.pack("<IB", 9, 2) + b"xy"]), version=6).first()
+    assert (old.session, old.offset, bytes(old.payload)) == (None, 9, b"xy")
+    made = spark.range(1).select(frames.data_frame(F.lit(7), F.lit(100), F.lit(b"abc")).alias("raw"))
+    assert bytes(made.first().raw) == good
+
+
+def test_control(spark):
+    code = lambda n: b"\x01" + struct.pack("<H", n)
+    rows = frames.control(binary(spark, [code(28) + struct.pack("<IB", 5, 1), code(29) + struct.pack("<IH", 5, 513), code(22) + struct.pack("<IIB", 5, 6, 0), code(22) + struct.pack("<IIBBI", 5, 6, 0, 4, 99), code(31) + struct.pack("<IB", 5, 2), code(29) + b"\x00", code(99)])).collect()
+    assert [(r.kind, r.session, r.status, r.crc, r.start, r.scene, r.start_time, r.error is None) for r in rows[:5]] == [
+        ("head", 5, 1, None, None, None, None, True),
+        ("tail", 5, None, 513, None, None, None, True),
+        ("resume", 5, 0, None, 6, 0, 0, True),
+        ("resume", 5, 0, None, 6, 4, 99, True),
+        ("deleted", 5, 2, None, None, None, None, True),
+    ]
+    assert rows[5].error and rows[6].error
+
+
+def test_values(spark):
+    docs = ['{"a": 3, "b": "4.7", "c": true, "d": null, "e": "x", "f": 1e400}', "{}"]
+    got = [column(spark, docs, lambda x, k=k: values.json_int(x, f"$.{k}", -1))[0] for k in "abcdefg"]
+    assert got == [3, 4, -1, -1, -1, -1, -1]
+    assert column(spark, docs, lambda x: values.json_text(x, "$.b", "?")) == ["4.7", "?"]
+    options = column(spark, ['{"transcribe": {"language": "de-AT"}, "diarization": {"enabled": true}}', "{}"], values.transcription_options)
+    assert (options[0].language, options[0].diarization, options[1].language, options[1].diarization) == ("de-AT", True, "auto", False)
+    assert [tuple(x) for x in column(spark, ["auto", "pt-BR"], values.languages)] == [("en", "en-US"), ("pt", "pt-BR")]
+    assert column(spark, [5, 1_700_000_000], values.file_name, "long") == ["log5", "2023-11-14_22-13-20.opus"]
+    assert column(spark, ["e30.eyJhIjoxfQ.sig", "x", "a.b!.c"], values.token_payload) == ['{"a":1}', None, None]
+    assert column(spark, ["ab-1_ü!漢"], values.serial) == ["ab-1_漢"]
