@@ -172,27 +172,33 @@ def scores_of(c: Cells) -> dict:
     }
 
 
-def _arrow_schema() -> pa.Schema:
+def _arrow_schema(text: bool) -> pa.Schema:
     pair = pa.struct([("ref", pa.string()), ("hyp", pa.string()), ("shared", pa.int64())])
     speaker = pa.struct([("speaker", pa.string()), ("mapped_to", pa.string()), ("total", pa.int64()), ("correct", pa.int64()), *[(x, pa.float64()) for x in ("miss", "conf", "fa", "jer")]])
-    kinds = {"jer": pa.float64(), "mapping": pa.list_(pair), "speakers": pa.list_(speaker)}
+    kinds = {"meeting_id": pa.string() if text else pa.int64(), "jer": pa.float64(), "mapping": pa.list_(pair), "speakers": pa.list_(speaker)}
     return pa.schema([(x.split()[0], kinds.get(x.split()[0], pa.int64())) for x in SCORES.replace(SPEAKER, "s").replace("ref:string,hyp:string,shared:bigint", "p").split(", ")])
 
 
 def meeting_scores(segments: DataFrame, collar: int = 0, duration: int | None = None, skip_overlap: bool = False) -> DataFrame:
     """One row per meeting: components of the error rate, the same inside overlapped reference
-    time under the same mapping, the Jaccard error rate, the mapping, and a row per speaker."""
+    time under the same mapping, the Jaccard error rate, the mapping, and a row per speaker.
+
+    A column ``duration`` of the segments gives each meeting its own scored region."""
     if collar < 0:
         raise ValueError("a collar is a finite number, 0 or more")
 
     def score(table: pa.Table) -> pa.Table:
         side, label = (np.array(table.column(x).to_pylist(), object) for x in ("side", "label"))
         lo, hi = (table.column(x).to_numpy() for x in ("lo", "hi"))
-        found = scores_of(cells_of(side, label, lo, hi, collar, duration, skip_overlap))
+        until = table.column("duration")[0].as_py() if own else duration
+        found = scores_of(cells_of(side, label, lo, hi, collar, until, skip_overlap))
         return pa.Table.from_pylist([{"meeting_id": table.column("meeting_id")[0].as_py()} | found], schema=schema)
 
-    schema = _arrow_schema()
-    return segments.select("meeting_id", "side", "label", "lo", "hi").where("hi > lo").groupBy("meeting_id").applyInArrow(score, SCORES)
+    own = "duration" in segments.columns
+    kind = segments.schema["meeting_id"].dataType.simpleString()
+    text = kind == "string"
+    schema = _arrow_schema(text)
+    return segments.select("meeting_id", "side", "label", "lo", "hi", *(["duration"] if own else [])).where("hi > lo").groupBy("meeting_id").applyInArrow(score, SCORES.replace("meeting_id long", "meeting_id string") if text else SCORES)
 
 
 def rates(scores: DataFrame, prefix: str = "") -> DataFrame:

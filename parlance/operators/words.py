@@ -125,7 +125,7 @@ def _result(counts, length: int) -> dict:
 _COUNTS = [("rate", pa.float64()), *[(x, pa.int64()) for x in ("errors", "length", "hits", "substitutions", "deletions", "insertions")]]
 _PLAIN = pa.struct(_COUNTS)
 _SPEAKERS = pa.struct([*_COUNTS, *[(x, pa.int64()) for x in ("missed_speakers", "false_speakers", "scored_speakers")], ("mapping", pa.list_(pa.struct([("ref", pa.string()), ("hyp", pa.string())])))])
-_SCHEMA = pa.schema([("meeting_id", pa.int64()), ("literal", _PLAIN), ("concat", _PLAIN), ("cp", _SPEAKERS), ("tcp", _SPEAKERS), ("refused", pa.string())])
+_FIELDS = [("literal", _PLAIN), ("concat", _PLAIN), ("cp", _SPEAKERS), ("tcp", _SPEAKERS), ("refused", pa.string())]
 _C = "rate:double,errors:bigint,length:bigint,hits:bigint,substitutions:bigint,deletions:bigint,insertions:bigint"
 _S = f"struct<{_C},missed_speakers:bigint,false_speakers:bigint,scored_speakers:bigint,mapping:array<struct<ref:string,hyp:string>>>"
 SCORES = f"meeting_id long, literal struct<{_C}>, concat struct<{_C}>, cp {_S}, tcp {_S}, refused string"
@@ -166,9 +166,12 @@ def word_errors(segments: DataFrame, collar: int = TCP_COLLAR) -> DataFrame:
 
     def score(table: pa.Table) -> pa.Table:
         found = scores_of(table.select(["side", "label", "lo", "hi", "tokens"]).to_pylist(), collar)
-        return pa.Table.from_pylist([{"meeting_id": table.column("meeting_id")[0].as_py()} | found], schema=_SCHEMA)
+        return pa.Table.from_pylist([{"meeting_id": table.column("meeting_id")[0].as_py()} | found], schema=schema)
 
-    return segments.select("meeting_id", "side", "label", "lo", "hi", "tokens").groupBy("meeting_id").applyInArrow(score, SCORES)
+    text = segments.schema["meeting_id"].dataType.simpleString() == "string"
+    schema = pa.schema([("meeting_id", pa.string() if text else pa.int64()), *_FIELDS])
+    rows = segments.select("meeting_id", "side", "label", "lo", "hi", "tokens").groupBy("meeting_id")
+    return rows.applyInArrow(score, SCORES.replace("meeting_id long", "meeting_id string") if text else SCORES)
 
 
 def pooled(scores: DataFrame, kind: str) -> DataFrame:
