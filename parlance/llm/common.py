@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,18 @@ def fold(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """An object that a Python worker keeps between tasks. It keeps one: another name replaces it, so
+    workers don't hold the caches of jobs that are over."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser: every bit of the result depends on every bit of ``h``."""
     h = h ^ (h >> np.uint64(29))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import MULTIPLIERS, documents, mix, stored
+from parlance.llm.common import MULTIPLIERS, documents, kept, mix, stored
 
 WIDTH, LEAST, COVERAGE = 8, 4, 0.5
 BROADCAST_WINDOWS = 1_000_000
@@ -158,13 +158,8 @@ def verbatim_windows(h: np.ndarray, width: int) -> np.ndarray:
     return mix(_sums(h, width) ^ _VERBATIM)
 
 
-_TEMPLATES: list[Templates] = []
-
-
 def _templates() -> Templates:
-    if not _TEMPLATES:
-        _TEMPLATES.append(Templates())
-    return _TEMPLATES[0]
+    return kept("templates", Templates)
 
 
 def _values(raw: list[str], slot: np.ndarray, at: int, width: int, names: int) -> list[str]:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import MULTIPLIERS, documents, mix, new_path, powers, stored
+from parlance.llm.common import MULTIPLIERS, documents, kept, mix, new_path, powers, stored
 
 LENGTH = 2048
 #: Rows of a record batch: 1,024 x 2,048 ids are 4 MB.
@@ -109,9 +109,10 @@ class TextEncoder:
         texts = [(" " if s else "") + p.decode("utf-8", "surrogatepass") for p, s in zip(pieces, spaced)]
         ids = array(self.code)
         counts = []
-        for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids.extend(found := x.ids)
-            counts.append(len(found))
+        for at in range(0, len(texts), 4096):  # what it returns is large
+            for x in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
+                ids.extend(found := x.ids)
+                counts.append(len(found))
         flat = np.frombuffer(ids, self.dtype) if ids else np.zeros(0, self.dtype)
         while self.filled + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -274,9 +275,6 @@ class SequenceFile:
         self.fs.move(self.part, self.path)
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
-
-
 def write_sequences(docs: DataFrame, path: str, tokenizer: str, length: int = LENGTH, order_by: tuple = ("doc_id",)) -> DataFrame:
     """Write the files below ``path`` and return one row per file: shard, path, n_rows, n_tokens, base.
 
@@ -290,9 +288,7 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str, length: int = LE
     keys = [f"k{i}" for i in range(len(order))]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(tokenizer)
-        if encoder is None:
-            encoder = _ENCODERS[tokenizer] = TextEncoder(tokenizer)
+        encoder = kept(tokenizer, lambda: TextEncoder(tokenizer))
         shard, out = TaskContext.get().partitionId(), None
         for batch in batches:
             if batch.num_rows and out is None:
