@@ -6,7 +6,10 @@ import os
 import duckdb
 import pytest
 
-from parlance.plans.queries import ORACLE_SQL, QUERIES
+from parlance.plans import queries, table_queries
+
+QUERIES = queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | table_queries.ORACLE_SQL
 
 DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
