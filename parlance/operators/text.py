@@ -43,41 +43,46 @@ def _one_of(chars: str) -> str:
     return "[" + "".join(f"\\{c}" for c in chars) + "]"
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _below_thousand(n: Column) -> Column:
-    """Words of 1 to 999; null for 0."""
-    ones, tens = (F.array(*map(F.lit, x)) for x in (ONES, TENS))
-    at = lambda words, i: F.get(words, i.cast("int"))
-    hundreds, rest = F.floor(n / 100), n % 100
-    return F.nullif(
-        F.concat_ws(
-            " ",
-            F.when(hundreds > 0, F.concat(at(ones, hundreds), F.lit(" hundred"))),
-            F.when(rest >= 20, at(tens, F.floor(rest / 10) - 2)),
-            F.when((rest > 0) & (rest < 20), at(ones, rest)).when((rest >= 20) & (rest % 10 > 0), at(ones, rest % 10)),
-        ),
-        F.lit(""),
-    )
+    """Words of 1 to 999; nothing for 0."""
+    ones, tens = (F.array(*map(F.lit, ["", *words])) for words in (ONES[1:], ["", *TENS]))
+    hundreds = F.when(n >= 100, F.concat(F.get(ones, F.floor(n / 100).cast("int")), F.lit(" hundred")))
+    rest = (n % 100).cast("int")
+    two = F.when(rest < 20, F.get(ones, rest)).otherwise(F.concat_ws(" ", F.get(tens, F.floor(rest / 10).cast("int")), F.nullif(F.get(ones, rest % 10), F.lit(""))))
+    return F.concat_ws(" ", hundreds, F.nullif(two, F.lit("")))
 
 
 def integer_words(n: Column) -> Column:
     """English words of whole numbers from 0 to 10^12 - 1, without "and"; null for others."""
-    parts = []
-    for scale, name in SCALES:
-        group = F.floor(n / scale) % 1000 if scale > 1 else n % 1000
-        parts.append(F.concat_ws(" ", _below_thousand(group), F.when(group > 0, F.nullif(F.lit(name), F.lit("")))))
-    whole = F.array_join(F.array_remove(F.array(*parts), ""), " ")
-    return F.when((n >= 0) & (n < 10**12), F.when(n == 0, F.lit(ONES[0])).otherwise(whole))
+
+    def words(n: Column) -> Column:
+        groups = F.transform(F.array(*[F.struct((F.floor(n / scale) % 1000).alias("n"), F.lit(name).alias("name")) for scale, name in SCALES]), lambda g: g)
+        some = F.filter(groups, lambda g: g["n"] > 0)
+        whole = F.array_join(F.transform(some, lambda g: F.rtrim(F.concat_ws(" ", _below_thousand(g["n"]), g["name"]))), " ")
+        return F.when((n >= 0) & (n < 10**12), F.when(n == 0, F.lit(ONES[0])).otherwise(whole))
+
+    return _let(n, words)
 
 
 def number_words(token: Column) -> Column:
     """Words of a plain number ("1,234", "-3.5"); null for any other token."""
-    part = lambda i: F.regexp_extract(token, r"^(-?)(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?$", i)
-    digits = F.ltrim(F.regexp_replace(part(2), ",", ""), F.lit("0"))
-    value = F.when(F.length(digits) <= 12, F.when(digits == "", F.lit("0")).otherwise(digits).cast("long"))
     ones = F.array(*map(F.lit, ONES))
-    fraction = F.array_join(F.transform(F.split(part(3), ""), lambda d: F.get(ones, d.cast("int"))), " ")
-    words = F.concat(integer_words(value), F.when(part(3) != "", F.concat(F.lit(" point "), fraction)).otherwise(F.lit("")))
-    return F.when(part(2) != "", F.concat(F.when(part(1) != "", F.lit("minus ")).otherwise(F.lit("")), words))
+    part = lambda i: F.regexp_extract(token, r"^(-?)(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?$", i)
+
+    def words(p: Column) -> Column:
+        fraction = F.array_join(F.transform(F.split(p["fraction"], ""), lambda d: F.get(ones, d.cast("int"))), " ")
+        after = F.when(p["fraction"] != "", F.concat(F.lit(" point "), fraction)).otherwise(F.lit(""))
+        value = F.when(F.length(p["whole"]) <= 12, F.when(p["whole"] == "", F.lit("0")).otherwise(p["whole"]).cast("long"))
+        return F.when(p["fits"], F.concat(p["sign"], integer_words(value), after))
+
+    whole = F.ltrim(F.regexp_replace(part(2), ",", ""), F.lit("0"))
+    sign = F.when(part(1) != "", F.lit("minus ")).otherwise(F.lit(""))
+    return _let(F.struct((part(2) != "").alias("fits"), sign.alias("sign"), whole.alias("whole"), part(3).alias("fraction")), words)
 
 
 def expand_contractions(text: Column) -> Column:

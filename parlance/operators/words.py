@@ -2,9 +2,9 @@
 speakers, with and without time constraints.
 
 Segments (meeting_id, side R or H, label, lo, hi, tokens: normalised words) are grouped by
-meeting in one shuffle; a meeting's transcripts are aligned with numpy, a row of the distance
-table at a time. A group holds one meeting's words, and of the table a byte for each pair of
-them.
+meeting in one shuffle; a meeting's transcripts are aligned a word at a time, for all words of
+the other side at once. A group holds one meeting's words, and of the distance table two bits for
+each pair of words, or a byte under time constraints.
 """
 
 from __future__ import annotations
@@ -21,24 +21,54 @@ SPEAKER_LIMIT = 20
 TCP_COLLAR = 5_000_000
 
 
-def _deltas(cost: np.ndarray) -> tuple[int, np.ndarray]:
-    """Edit distance for replacement costs (reference x hypothesis), and the table's steps down."""
-    n, m = cost.shape
-    places = np.arange(m + 1)
-    row, down = places.copy(), np.empty((n, m + 1), np.int8)
-    for i in range(n):
-        new = np.minimum(row + 1, np.r_[i + 1, row[:-1] + cost[i]])
-        new = np.minimum.accumulate(new - places) + places
-        down[i] = new - row
-        row = new
-    return int(row[-1]), down
-
-
-def _costs(ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray | None) -> np.ndarray:
-    cost = (ref[:, None] != hyp[None, :]).astype(np.int64)
-    if apart is not None:
+class _Steps:
+    """Where the distance table goes up or down by one along the reference, after each word of the
+    hypothesis, as bits of whole numbers (Myers 1999; Hyyrö 2003)."""
+
+    def __init__(self, ref: np.ndarray, hyp: np.ndarray):
+        places: dict[int, int] = {}
+        for i, w in enumerate(ref.tolist()):
+            places[w] = places.get(w, 0) | 1 << i
+        full, last = (1 << len(ref)) - 1, 1 << len(ref) - 1
+        up, down, self.distance = full, 0, len(ref)
+        self.up, self.down = [up], [down]
+        for w in hyp.tolist():
+            same = places.get(w, 0)
+            zero = (((same & up) + up) ^ up) | same | down
+            right, left = down | full & ~(zero | up), zero & up
+            self.distance += bool(right & last) - bool(left & last)
+            right, left = right << 1 | 1, left << 1
+            up, down = full & (left | ~(zero | right)), full & right & zero
+            self.up.append(up)
+            self.down.append(down)
+
+    def at(self, i: int, j: int) -> int:
+        """The step from i - 1 to i words of the reference, at j words of the hypothesis."""
+        return (self.up[j] >> i - 1 & 1) - (self.down[j] >> i - 1 & 1)
+
+
+class _TimedSteps:
+    """The same where some pairs may not be aligned, a row of the table at a time."""
+
+    def __init__(self, ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray):
+        cost = (ref[:, None] != hyp[None, :]).astype(np.int32)
         cost[apart] = 2  # as much as leaving out one and putting in the other
-    return cost
+        places = np.arange(len(hyp) + 1, dtype=np.int32)
+        row, self.steps = places.copy(), np.empty((len(ref), len(hyp) + 1), np.int8)
+        new = np.empty_like(row)
+        for i in range(len(ref)):
+            np.add(row[:-1], cost[i], out=new[1:])
+            new[0] = i + 1
+            np.minimum(new, row + 1, out=new)
+            new -= places
+            np.minimum.accumulate(new, out=new)
+            new += places
+            np.subtract(new, row, out=self.steps[i], casting="unsafe")
+            row, new = new, row
+        self.distance, self.cost = int(row[-1]), cost
+
+    def at(self, i: int, j: int) -> int:
+        return int(self.steps[i - 1, j])
 
 
 def edits(ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray | None = None) -> tuple[int, int, int, int]:
@@ -56,24 +86,25 @@ def edits(ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray | None = None) ->
         ref, hyp, same = ref[: len(ref) - tail], hyp[: len(hyp) - tail], head + tail
     if not len(ref) or not len(hyp):
         return same, 0, len(ref), len(hyp)
-    cost = _costs(ref, hyp, apart)
-    _, down = _deltas(cost)
+    steps = _Steps(ref, hyp) if apart is None else _TimedSteps(ref, hyp, apart)
     i, j, hits, subs, dels, ins = len(ref), len(hyp), same, 0, 0, 0
     while i and j:
-        if down[i - 1, j] == 1:
+        if steps.at(i, j) == 1:
             i, dels = i - 1, dels + 1
-        elif j > 1 and down[i - 1, j - 1] == -1 or cost[i - 1, j - 1] == 2:
+        elif j > 1 and steps.at(i, j - 1) == -1 or apart is not None and apart[i - 1, j - 1]:
             j, ins = j - 1, ins + 1
         else:
             i, j = i - 1, j - 1
-            hits, subs = hits + (cost[i, j] == 0), subs + (cost[i, j] != 0)
-    return int(hits), int(subs), dels + i, ins + j
+            hits, subs = hits + int(ref[i] == hyp[j]), subs + int(ref[i] != hyp[j])
+    return hits, subs, dels + i, ins + j
 
 
 def distance(ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray | None = None) -> int:
     if not len(ref) or not len(hyp):
         return len(ref) + len(hyp)
-    return _deltas(_costs(ref, hyp, apart))[0]
+    if apart is None:
+        return _Steps(ref, hyp).distance
+    return (_TimedSteps(ref, hyp, apart) if len(ref) <= len(hyp) else _TimedSteps(hyp, ref, apart.T)).distance
 
 
 def word_times(lo: int, hi: int, words: list[str], points: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +162,11 @@ _S = f"struct<{_C},missed_speakers:bigint,false_speakers:bigint,scored_speakers:
 SCORES = f"meeting_id long, literal struct<{_C}>, concat struct<{_C}>, cp {_S}, tcp {_S}, refused string"
 
 
-def scores_of(rows: list[dict], collar: int = TCP_COLLAR) -> dict:
-    """All rates of one meeting's segments (side, label, lo, hi, tokens)."""
+KINDS = ("literal", "concat", "cp", "tcp")
+
+
+def scores_of(rows: list[dict], collar: int = TCP_COLLAR, kinds: tuple[str, ...] = KINDS) -> dict:
+    """The rates of one meeting's segments (side, label, lo, hi, tokens)."""
     rows = sorted((r for r in rows if r["tokens"]), key=lambda r: (r["lo"], r["hi"], r["label"]))
     number: dict[str, int] = {}
     code = lambda words: np.array([number.setdefault(w, len(number)) for w in words], np.int64)
@@ -142,7 +176,6 @@ def scores_of(rows: list[dict], collar: int = TCP_COLLAR) -> dict:
         times.setdefault((r["side"], r["label"]), []).append(word_times(r["lo"], r["hi"], r["tokens"], r["side"] == "H"))
     refs, hyps = ({k: code(w) for k, w in words[s].items()} for s in "RH")
     none = np.empty(0, np.int64)
-    literal = sum((np.array(edits(refs.get(x, none), hyps.get(x, none))) for x in sorted({*refs, *hyps})), np.zeros(4, np.int64))
     line = {s: code([w for r in rows if r["side"] == s for w in r["tokens"]]) for s in "RH"}
     spans = {k: [np.concatenate(x) for x in zip(*t)] for k, t in times.items()}
 
@@ -155,17 +188,24 @@ def scores_of(rows: list[dict], collar: int = TCP_COLLAR) -> dict:
     refused = None
     if max(len(refs), len(hyps)) > SPEAKER_LIMIT:
         refused = f"more than {SPEAKER_LIMIT} speakers (reference {len(refs)}, hypothesis {len(hyps)})"
-    return {"literal": _result(literal, length), "concat": _result(edits(line["R"], line["H"]), length), "cp": permutation_errors(refs, hyps), "tcp": permutation_errors(refs, hyps, apart), "refused": refused}
+    ways = {
+        "literal": lambda: _result(sum((np.array(edits(refs.get(x, none), hyps.get(x, none))) for x in sorted({*refs, *hyps})), np.zeros(4, np.int64)), length),
+        "concat": lambda: _result(edits(line["R"], line["H"]), length),
+        "cp": lambda: permutation_errors(refs, hyps),
+        "tcp": lambda: permutation_errors(refs, hyps, apart),
+    }
+    return {k: way() if k in kinds else None for k, way in ways.items()} | {"refused": refused}
 
 
-def word_errors(segments: DataFrame, collar: int = TCP_COLLAR) -> DataFrame:
+def word_errors(segments: DataFrame, collar: int = TCP_COLLAR, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """One row per meeting: literal, concat, cp and tcp, each with its rate and counts; cp and tcp are
-    null, with the reason, for meetings of too many speakers. Segments without words don't count."""
+    null, with the reason, for meetings of too many speakers. Segments without words don't count.
+    Of the ``kinds`` that aren't asked for there are nulls."""
     if collar < 0:
         raise ValueError("a collar is a finite number, 0 or more")
 
     def score(table: pa.Table) -> pa.Table:
-        found = scores_of(table.select(["side", "label", "lo", "hi", "tokens"]).to_pylist(), collar)
+        found = scores_of(table.select(["side", "label", "lo", "hi", "tokens"]).to_pylist(), collar, kinds)
         return pa.Table.from_pylist([{"meeting_id": table.column("meeting_id")[0].as_py()} | found], schema=schema)
 
     text = segments.schema["meeting_id"].dataType.simpleString() == "string"

@@ -196,13 +196,13 @@ def release_digest(spark, sf_dir):
     return lines.release_digest(lines.rttm_lines(segments(spark, sf_dir), safe=True))
 
 
-def _word_errors(spark, sf_dir):
+def _word_errors(spark, sf_dir, kinds=words.KINDS):
     tokens = text.split_words(text.normalise(F.col("text")))
-    return words.word_errors(dialogue(spark, sf_dir).withColumn("tokens", tokens))
+    return words.word_errors(dialogue(spark, sf_dir).withColumn("tokens", tokens), kinds=kinds)
 
 
 def rate_of(kind):
-    return lambda spark, sf_dir: _word_errors(spark, sf_dir).select("meeting_id", f"{kind}.rate", f"{kind}.errors", f"{kind}.length", f"{kind}.hits")
+    return lambda spark, sf_dir: _word_errors(spark, sf_dir, (kind,)).select("meeting_id", f"{kind}.rate", f"{kind}.errors", f"{kind}.length", f"{kind}.hits")
 
 
 def word_rates(spark, sf_dir):
