@@ -6,11 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.values import serial
+
 # fixed values
 FRAME, DATA_FRAME = 1, 2
 FILE_LIST, SYNC_HEAD, SYNC_TAIL, RESUME, DELETED = 26, 28, 29, 22, 31
 ENTRIES_AT = 11
 EMPTY = 0xFFFFFFFF
+CURSOR_PROJECTS, LATE_PROJECTS, SHORT_SERIAL = (901, 705), (888, 881), 10
 # end of fixed values
 
 
@@ -111,3 +114,50 @@ def data_frame(session: Column, offset: Column, payload: Column) -> Column:
     """A data frame's bytes, in the modern form."""
     head = F.concat(F.lit("02"), little_endian(session, 4), little_endian(offset, 4), little_endian(F.octet_length(payload), 1))
     return F.concat(F.unhex(head), payload)
+
+
+def advertised(frames: DataFrame, raw: str = "raw") -> DataFrame:
+    """``frames`` with project, version_type, version, serial, bound, port_version and error of the data in
+    an advertisement: fields that each tell the length of the next.
+
+    A short serial number is hexadecimal and the port version stands at a fixed place; for some projects
+    it follows the serial number; other long serial numbers have none. A serial number that begins with three digits
+    gives the project.
+    """
+    r, n = F.col(raw), F.octet_length(F.col(raw))
+    byte = lambda at: unsigned(r, at, 1)
+    two = byte(0) == 2
+    f = frames.withColumns({"_at": F.when(two, 4).otherwise(1), "_size": F.when(two, byte(3)).otherwise(byte(0)), "_project": F.when(two, unsigned(r, 1, 2)).otherwise(F.lit(0))})
+    f = f.withColumn("_end", (F.col("_at") + F.col("_size")).cast("int"))
+    width, at = F.col("_size") - 1, F.col("_at") + 1
+    code = F.when(width == 1, unsigned(r, at, 1)).when(width == 2, unsigned(r, at, 2)).when(width == 3, unsigned(r, at, 3)).when(width.isin(4, 8), unsigned(r, at, 4))
+    f = f.withColumns({"_version": F.when(code >= 1 << 31, code - (1 << 32)).otherwise(code), "_len": byte(F.col("_end")).cast("int")})
+    f = f.withColumns({"_stop": F.col("_end") + 1 + F.col("_len"), "_serial": F.substring(r, F.col("_end") + 2, F.col("_len"))})
+    project, stop, length = F.col("_project"), F.col("_stop"), F.col("_len")
+    text = F.when(F.hex("_serial").rlike("[1-9A-F]"), F.col("_serial").cast("string")).otherwise("")
+    cursor, short = project.isin(*CURSOR_PROJECTS), length < SHORT_SERIAL
+    name = F.when(~cursor & short, F.hex("_serial")).otherwise(text)
+    port = F.when(cursor, unsigned(r, stop, 2)).when(short, F.when(project.isin(*LATE_PROJECTS), unsigned(r, 18, 2)).otherwise(unsigned(r, 15, 2))).otherwise(F.lit(0))
+    own = cursor | short
+    gate, size = F.when(own, n - 1).otherwise(stop + 1), F.when(own, F.lit(1)).otherwise(byte(stop))
+    bound = F.when((n >= gate + size) & (gate >= 1) & (byte(gate - 1) == 1), byte(gate))
+    head = F.substring(name, 1, 3)
+    error = _error(
+        (n > 0, "no data"),
+        (n > byte(0) + 1, "too short for the first field"),
+        (n > F.col("_at") + 1, "too short for the version's kind"),
+        (width.isin(1, 2, 3, 4, 8), "a version of an unknown width"),
+        (n > F.col("_end"), "too short for the version"),
+        (n > stop, "too short for the serial number"),
+        (port.isNotNull(), "too short for the port version"),
+    )
+    return f.select(
+        *frames.columns,
+        F.when(head.rlike("^[+-]?[0-9]+$") & (F.length(name) >= 3), head.cast("long")).otherwise(project).alias("project"),
+        F.chr(byte(F.col("_at"))).alias("version_type"),
+        F.col("_version").alias("version"),
+        serial(name).alias("serial"),
+        F.coalesce(bound, F.lit(-1)).alias("bound"),
+        port.alias("port_version"),
+        error,
+    )

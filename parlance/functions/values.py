@@ -56,8 +56,8 @@ def token_payload(token: Column) -> Column:
 
 
 def serial(text: Column) -> Column:
-    """What may stand in a serial number."""
-    return F.regexp_replace(text, r"[^a-zA-Z0-9_\-⺀-鿿]", "")
+    """What may stand in a serial number: hyphen, digits, capitals, U+005F to U+2E80, U+9FFF."""
+    return F.regexp_replace(text, "[^\\-0-9A-Z\u005f-\u2e80\u9fff]", "")
 
 
 def decibel(power: Column) -> Column:

@@ -153,3 +153,21 @@ def cluster_sizes(clusters: DataFrame, least: int, share: float) -> DataFrame:
     sizes = clusters.groupBy("group", "cluster").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("group"))
     return sizes.withColumn("kept", F.col("n") >= F.greatest(F.lit(1), F.lit(least), F.ceil(total * share)))
+
+
+def registered(objects: DataFrame, known: DataFrame) -> DataFrame:
+    """``objects`` (key, body) with the folder of the meeting that is registered (md5, folder) for their bytes."""
+    return objects.withColumn("md5", F.md5("body")).join(known.select("md5", "folder"), "md5", "left")
+
+
+def merged_parts(parts: DataFrame, asked: DataFrame) -> DataFrame:
+    """upload, body, error: the uploaded parts (upload, part, etag, body) that are asked for (upload, part, etag)
+    in the order of their numbers; a part that is asked for twice, absent or of another etag is an error."""
+    bare = lambda c: F.translate(c, '"', "")
+    own = parts.select("upload", "part", bare(F.col("etag")).alias("own"), "body")
+    pairs = asked.groupBy("upload", "part").agg(F.count("*").alias("times"), F.min(bare(F.col("etag"))).alias("want")).join(own, ["upload", "part"], "left")
+    error = F.when(F.col("times") > 1, "listed twice").when(F.col("own").isNull(), "never uploaded").when(F.col("own") != F.col("want"), "of another etag")
+    marked = pairs.withColumn("wrong", F.when(error.isNotNull(), F.struct("part", error.alias("what"))))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", F.hex("body").alias("h")))), lambda x: x["h"]), "")
+    rows = marked.groupBy("upload").agg(F.min("wrong").alias("wrong"), body.alias("h"))
+    return rows.select("upload", F.when(F.col("wrong").isNull(), F.unhex("h")).alias("body"), F.concat(F.lit("part "), F.col("wrong.part").cast("string"), F.lit(" "), F.col("wrong.what")).alias("error"))

@@ -71,3 +71,22 @@ def cooccurrence(activity: DataFrame) -> DataFrame:
     ref = activity.where("side = 'R'").select("meeting_id", F.col("label").alias("ref"), "lo", "hi")
     hyp = activity.where("side = 'H'").select("meeting_id", F.col("label").alias("hyp"), "lo", "hi")
     return overlap_join(ref, hyp).groupBy("meeting_id", "ref", "hyp").agg(F.sum(F.col("hi") - F.col("lo")).alias("shared"))
+
+
+def difference(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, lo, hi of the time of left that right lacks, in whole stretches."""
+    cells = sweep({"a": left, "b": right}, keys).where("a > 0 and b <= 0")
+    return union(cells.select(*keys, "lo", "hi"), keys)
+
+
+def cell_windows(cells: DataFrame, regions: DataFrame, width: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``cells`` with w0 and w1: a window of the width, or of the cell if that is longer, around its
+    middle, cut to the first region that ends at or after the cell's end, else the last one."""
+    ends = regions.select(*keys, F.col("hi").alias("at"), F.struct(F.col("hi").alias("hi"), F.col("lo").alias("lo")).alias("region"))
+    rows = cells.withColumns({"at": F.col("hi"), "cell": F.lit(True)}).unionByName(ends, allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    last = F.max("region").over(Window.partitionBy(*keys))
+    found = rows.withColumn("region", F.coalesce(F.min("region").over(order), last)).where("cell")
+    middle, half = (F.col("lo") + F.col("hi")) / 2, F.greatest(F.lit(width), F.col("hi") - F.col("lo")) / 2
+    w0, w1 = F.greatest(F.coalesce("region.lo", "lo"), middle - half), F.least(F.coalesce("region.hi", "hi"), middle + half)
+    return found.select(*cells.columns, w0.alias("w0"), w1.alias("w1"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.operators import reports, scoring, text, words
+from parlance.operators import alignment, reports, scoring, text, words
 from parlance.sources import documents
 
 DER_COLLAR = 250_000
@@ -145,3 +145,17 @@ def evaluate(spark: SparkSession, refs: str, hyps: str, meeting_schema: str, hyp
     refused = bad.select("meeting_id", F.lit("refused").alias("status"), "path", "errors")
     none = F.lit(None)
     return scores, status.select("meeting_id", "status", none.cast("string").alias("path"), none.cast("array<string>").alias("errors")).unionByName(refused)
+
+
+def tie_breaks(refs: DataFrame, spoken: DataFrame, turns: DataFrame) -> DataFrame:
+    """rule, micro, macro, meetings, not_scored, ties: cpWER of words (meeting_id, seg_no, word_no, word, lo,
+    hi) under each way to break ties between the labels of turns, against refs (meeting_id, label, lo, hi, tokens)."""
+    out = None
+    for rule in alignment.TIE_BREAKS:
+        assigned = alignment.assign(spoken, turns, rule)
+        runs = alignment.speaker_runs(assigned).select("meeting_id", F.lit("H").alias("side"), "label", "lo", "hi", text.split_words(text.normalise(F.col("text"))).alias("tokens"))
+        both = refs.select("meeting_id", F.lit("R").alias("side"), "label", "lo", "hi", "tokens").unionByName(runs)
+        rates = words.pooled(words.word_errors(both, kinds=("cp",)), "cp")
+        row = rates.crossJoin(assigned.agg(F.count_if(F.col("how") == "tie").alias("ties"))).select(F.lit(rule).alias("rule"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

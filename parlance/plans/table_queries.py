@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import frames, values
-from parlance.operators import catalog
+from parlance.operators import catalog, intervals, text
 from parlance.plans import evaluation
-from parlance.plans.tables import dialogue, segments, table
+from parlance.plans.tables import dialogue, segments, spoken, table
 from parlance.sources import annotated
 from parlance.streaming import state
 
@@ -144,6 +144,25 @@ def embedding_clusters(spark, sf_dir):
     return catalog.cluster_sizes(catalog.kmeans(rows.where("v is not null and group is not null"), 3), 2, 0.1)
 
 
+def interval_difference(spark, sf_dir):
+    rows = segments(spark, sf_dir)
+    return intervals.difference(rows.where("side = 'R'"), rows.where("side = 'H'"))
+
+
+def cell_windows(spark, sf_dir):
+    rows = segments(spark, sf_dir)
+    regions = intervals.union(rows.where("side = 'R'"), ("meeting_id",))
+    return intervals.cell_windows(rows.where("side = 'H'").select("meeting_id", "seg_no", "lo", "hi"), regions, 60_000_000).select("meeting_id", "seg_no", "w0", "w1")
+
+
+def tie_break_rates(spark, sf_dir):
+    said, turns = spoken(spark, sf_dir)
+    tokens = text.split_words(text.normalise(F.col("text")))
+    refs = dialogue(spark, sf_dir).where("side = 'R'").withColumn("tokens", tokens)
+    rounded = [F.round(c, 6).alias(c) for c in ("micro", "macro")]
+    return evaluation.tie_breaks(refs, said, turns).select("rule", *rounded, "meetings", "ties")
+
+
 def evaluation_macro(spark, sf_dir):
     return evaluation.macro(evaluation.flat(dialogue(spark, sf_dir))).withColumn("value", F.round("value", 6))
 
@@ -156,7 +175,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_concat, speaker_relabel, stream_ordinal, threshold_sweep, grid_selection, vocabulary, first_wins, class_counts, source_tags, unlisted, log_equality, replay_record, url_parts,
-        running_clamp, time_repair, repair_counters, missing_hypotheses, frame_decode, session_names, accepted_frames, binding_state, embedding_clusters, evaluation_macro, evaluation_micro,
+        running_clamp, time_repair, repair_counters, missing_hypotheses, frame_decode, session_names, accepted_frames, binding_state, embedding_clusters, interval_difference, cell_windows, tie_break_rates, evaluation_macro, evaluation_micro,
     )
 }
 
@@ -202,4 +221,18 @@ ORACLE_SQL = {
     "session_names": "SELECT o_orderkey, CASE WHEN o_orderkey * 100003 < 100 THEN 'log' || o_orderkey * 100003 ELSE strftime(make_timestamp(o_orderkey * 100003 * 1000000), '%Y-%m-%d_%H-%M-%S') || '.opus' END AS name FROM orders",
     "accepted_frames": f"""WITH {_SEG}, b AS (SELECT meeting_id AS stream, seg_no AS seq, max(seg_no) OVER (PARTITION BY meeting_id ORDER BY lo * 100000 + seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM seg)
         SELECT stream, seq FROM b WHERE seq > coalesce(m, -1)""",
+    "interval_difference": f"""WITH {_SEG}, e AS (SELECT meeting_id, lo AS t, CASE WHEN side = 'R' THEN 1 ELSE 0 END AS a, CASE WHEN side = 'H' THEN 1 ELSE 0 END AS b FROM seg
+        UNION ALL SELECT meeting_id, hi, CASE WHEN side = 'R' THEN -1 ELSE 0 END, CASE WHEN side = 'H' THEN -1 ELSE 0 END FROM seg
+    ), g AS (SELECT meeting_id, t, sum(a) AS a, sum(b) AS b FROM e GROUP BY 1, 2
+    ), c AS (SELECT meeting_id, t AS lo, lead(t) OVER w AS hi, sum(a) OVER w AS a, sum(b) OVER w AS b FROM g WINDOW w AS (PARTITION BY meeting_id ORDER BY t)
+    ), k AS (SELECT *, CASE WHEN lag(hi) OVER w = lo THEN 0 ELSE 1 END AS new FROM c WHERE hi IS NOT NULL AND a > 0 AND b = 0 WINDOW w AS (PARTITION BY meeting_id ORDER BY lo)
+    ), i AS (SELECT *, sum(new) OVER (PARTITION BY meeting_id ORDER BY lo ROWS UNBOUNDED PRECEDING) AS island FROM k)
+    SELECT meeting_id, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY meeting_id, island""",
+    "cell_windows": f"""WITH {_SEG}, m AS (
+        SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY meeting_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM seg WHERE side = 'R'
+    ), i AS (SELECT *, sum(new) OVER (PARTITION BY meeting_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m
+    ), r AS (SELECT meeting_id, min(lo) AS r0, max(hi) AS r1 FROM i GROUP BY meeting_id, island
+    ), h AS (SELECT * FROM seg WHERE side = 'H'
+    ), p AS (SELECT h.meeting_id, h.seg_no, h.lo, h.hi, coalesce(min({{'r1': r1, 'r0': r0}}) FILTER (r1 >= h.hi), max({{'r1': r1, 'r0': r0}})) AS g FROM h LEFT JOIN r ON r.meeting_id = h.meeting_id GROUP BY 1, 2, 3, 4)
+    SELECT meeting_id, seg_no, greatest(coalesce(g.r0, lo)::DOUBLE, (lo + hi) / 2 - greatest(60000000, hi - lo) / 2) AS w0, least(coalesce(g.r1, hi)::DOUBLE, (lo + hi) / 2 + greatest(60000000, hi - lo) / 2) AS w1 FROM p""",
 }

@@ -177,3 +177,39 @@ def checksums(lines: DataFrame) -> DataFrame:
     """digest, name of lines ``hex  name`` or ``hex *name``."""
     part = lambda i: F.regexp_extract("line", r"^([0-9a-fA-F]{32,128})\s[\s*](.+?)\s*$", i)
     return lines.select(F.lower(part(1)).alias("digest"), part(2).alias("name")).where("digest <> ''")
+
+
+def audio_meetings(audio: DataFrame, files: DataFrame, name: str = "meeting.json") -> DataFrame:
+    """``audio`` (path) with the document beside it, or one or two folders up, as ``meeting``; else null."""
+    parts = F.split("path", "/")
+    up = lambda k: F.concat_ws("/", F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - k)), F.lit(name))
+    asked = audio.select("path", F.posexplode(F.array(*[up(k) for k in (1, 2, 3)])).alias("rank", "meeting"))
+    found = asked.join(files.select(F.col("path").alias("meeting")).distinct(), "meeting").groupBy("path").agg(F.min_by("meeting", "rank").alias("meeting"))
+    return audio.join(found, "path", "left")
+
+
+def audio_path(audio: Column, key: str) -> Column:
+    """The path of a meeting's audio (JSON text) for a key: mix, device, device.<name>, stem:<speaker>, or a
+    path itself; null if there is none or it leaves the meeting's folder."""
+    get = lambda p: F.get_json_object(audio, p)
+    devices = F.from_json(get("$.device"), "map<string,string>")
+    if key == "mix":
+        found = get("$.mix_wav")
+    elif key == "device":
+        primary = get("$.device_primary")
+        found = F.when(primary.isNotNull(), F.try_element_at(devices, primary)).otherwise(F.coalesce(F.try_element_at(devices, F.lit("ogg_opus")), F.get(F.map_values(devices), F.lit(0))))
+    elif key.startswith("device."):
+        found = F.try_element_at(devices, F.lit(key.split(".", 1)[1]))
+    elif key.startswith("stem:"):
+        found = F.try_element_at(F.from_json(get("$.stems"), "map<string,string>"), F.lit(key.split(":", 1)[1]))
+    else:
+        return F.lit(key)
+    return F.when(~found.startswith("/") & ~found.rlike(r"(^|/)\.\.(/|$)"), found)
+
+
+def raw_turns(docs: DataFrame) -> DataFrame:
+    """meeting_id, label, lo, hi of the turns that hypotheses keep beside their segments."""
+    turns = F.from_json(F.get_json_object("extra", "$.diarization.turns"), "array<array<string>>")
+    each = docs.select("meeting_id", F.explode(turns).alias("t"))
+    micro = lambda i: F.round(F.col("t")[i].cast("double") * 1e6).cast("long")
+    return each.select("meeting_id", F.col("t")[2].alias("label"), micro(0).alias("lo"), micro(1).alias("hi"))

@@ -218,3 +218,24 @@ def test_clustering(spark):
     centres = spark.createDataFrame([("o", [0.0, 0.0]), ("p", [5.0, 5.0]), ("q", [0.0, 5.0])], "label string, c array<double>")
     near = {r.id: r.label for r in catalog.nearest(points.select("id", "v"), centres).collect()}
     assert [near[i] for i in (0, 20, 40)] == ["o", "p", "q"]
+
+
+def test_audio_of_meetings(spark):
+    there = spark.createDataFrame([("/a/b/meeting.json",), ("/a/meeting.json",)], "path string")
+    audio = spark.createDataFrame([("/a/b/mix.wav",), ("/a/b/stems/x.wav",), ("/a/c/x.ogg",), ("/z/x.ogg",)], "path string")
+    assert {r.path: r.meeting for r in documents.audio_meetings(audio, there).collect()} == {"/a/b/mix.wav": "/a/b/meeting.json", "/a/b/stems/x.wav": "/a/b/meeting.json", "/a/c/x.ogg": "/a/meeting.json", "/z/x.ogg": None}
+    doc = json.dumps({"mix_wav": "mix.wav", "device": {"a": "d/a.bin", "ogg_opus": "d/o.ogg"}, "stems": {"A": "../a.wav"}})
+    row = spark.createDataFrame([(doc, doc.replace('"mix_wav"', '"device_primary": "a", "mix_wav"'))], "x string, y string")
+    got = row.select(*[documents.audio_path(F.col(c), k).alias(f"{c}{k}") for c in "xy" for k in ("mix", "device", "device.a", "stem:A", "own.wav")]).first()
+    assert list(got) == ["mix.wav", "d/o.ogg", "d/a.bin", None, "own.wav", "mix.wav", "d/a.bin", "d/a.bin", None, "own.wav"]
+    hyp = documents.hypotheses(files(spark, [hypothesis(extra={"diarization": {"turns": [[0.5, 1.25, "A"]]}})]), HYP)
+    assert [tuple(r) for r in documents.raw_turns(hyp).collect()] == [("m1", "A", 500_000, 1_250_000)]
+
+
+def test_parts_and_registered_objects(spark):
+    parts = spark.createDataFrame([("u", 2, '"b"', bytearray(b"B")), ("u", 1, "a", bytearray(b"A")), ("v", 1, "a", bytearray(b"A"))], "upload string, part int, etag string, body binary")
+    asked = spark.createDataFrame([("u", 1, '"a"'), ("u", 2, "b"), ("v", 1, "x"), ("w", 1, "a"), ("v", 2, "a")], "upload string, part int, etag string")
+    got = {r.upload: (bytes(r.body) if r.body else None, r.error) for r in catalog.merged_parts(parts, asked).collect()}
+    assert got == {"u": (b"AB", None), "v": (None, "part 1 of another etag"), "w": (None, "part 1 never uploaded")}
+    known = spark.createDataFrame([("7fc56270e7a70fa81a5935b72eacbe29", "/m")], "md5 string, folder string")
+    assert {r.part: r.folder for r in catalog.registered(parts.where("upload = 'u'"), known).collect()} == {1: "/m", 2: None}

@@ -213,4 +213,14 @@ def test_values(spark):
     assert [tuple(x) for x in column(spark, ["auto", "pt-BR"], values.languages)] == [("en", "en-US"), ("pt", "pt-BR")]
     assert column(spark, [5, 1_700_000_000], values.file_name, "long") == ["log5", "2023-11-14_22-13-20.opus"]
     assert column(spark, ["e30.eyJhIjoxfQ.sig", "x", "a.b!.c"], values.token_payload) == ['{"a":1}', None, None]
-    assert column(spark, ["ab-1_ü!漢"], values.serial) == ["ab-1_漢"]
+    assert column(spark, ["ab-1_ü!漢"], values.serial) == ["ab-1_ü"]
+
+
+def test_advertisements(spark):
+    head = lambda project, serial: b"\x02" + struct.pack("<H", project) + b"\x03" + b"V" + struct.pack("<H", 513) + bytes([len(serial)]) + serial
+    long_ = head(1, b"8801234567ab") + b"\x01\x05"
+    short = head(888, b"\x0a\x0b\x0c") + b"\x00" * 7 + struct.pack("<H", 20) + b"\x01\x03"
+    cursor = head(901, b"xyz-1!") + struct.pack("<H", 7) + b"\x01\x02"
+    rows = frames.advertised(binary(spark, [long_, short, cursor, head(1, b"abc")[:-2], b"", b"\x02\x01"])).collect()
+    assert [(r.project, r.version_type, r.version, r.serial, r.port_version, r.bound) for r in rows[:3]] == [(880, "V", 513, "8801234567ab", 0, 5), (888, "V", 513, "0A0B0C", 20, 3), (901, "V", 513, "xyz-1", 7, 2)]
+    assert [r.error is None for r in rows] == [True, True, True, False, False, False]
