@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -59,11 +61,22 @@ def kept(name: str, make: Callable[[], object]):
     """An object that a Python worker keeps between tasks. It keeps one: another name replaces it, so
     workers don't hold the caches of jobs that are over."""
     if name not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            _POWERS.clear()
+            give_back()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
+def give_back() -> None:
+    """Let the C library return freed memory to the system, where it can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser: every bit of the result depends on every bit of ``h``."""
     h = h ^ (h >> np.uint64(29))

@@ -44,7 +44,7 @@ LENGTH = 2048
 BATCH_ROWS = 1024
 END_ID = 0
 #: Bytes of text worked on at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 #: White space beside white space or at an end, where pieces don't stand alone.
 _ODD = re.compile(r"^\s|\s$|\s\s")
