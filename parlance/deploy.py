@@ -21,6 +21,9 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(top.rglob("*.py")):
             out.write(p, p.relative_to(top.parent))
     context.addPyFile(path)
-    # rows may hold long texts: keep the batches that Python workers get small
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # rows may hold long texts: keep the batches that Python workers get small, in rows and in bytes,
+    # unless the session has limits of its own
+    for key, default, small in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "16m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", small)
     context.parlance_shipped = True
