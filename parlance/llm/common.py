@@ -61,16 +61,18 @@ def kept(name: str, make: Callable[[], object]):
     """An object that a Python worker keeps between tasks. It keeps one: another name replaces it, so
     workers don't hold the caches of jobs that are over."""
     if name not in _KEPT:
-        if _KEPT:
-            _KEPT.clear()
-            _POWERS.clear()
-            give_back()
+        release()
         _KEPT[name] = make()
     return _KEPT[name]
 
 
-def give_back() -> None:
-    """Let the C library return freed memory to the system, where it can."""
+def release() -> None:
+    """Drop what the worker keeps, and let the C library return freed memory to the system, where it
+    can. Tasks that keep nothing themselves begin with it, as Spark uses workers again."""
+    if not _KEPT and not _POWERS:
+        return
+    _KEPT.clear()
+    _POWERS.clear()
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

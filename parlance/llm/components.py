@@ -8,9 +8,6 @@ with very many links costs little) and one join that adaptive execution may spli
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +42,6 @@ class Forest:
         return [(x, r) for x in self.up if (r := self.root(x)) != x]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a batch as stars around local roots: same components, no more links than nodes."""
-    for batch in batches:
-        forest = Forest()
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            forest.join(a, b)
-        pairs = forest.stars()
-        yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
-
-
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
@@ -64,8 +51,7 @@ def connected_components(links: DataFrame, name: str, most: int = 60) -> DataFra
     to another; ``component`` is the smallest node reachable. Null and self links are
     dropped; no links give an empty result.
     """
-    edges = links.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long")
-    edges = stored(edges.distinct(), name)
+    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     was = _state(edges)
     for _ in range(most):
         # large star: larger neighbours of u go to the smallest near u

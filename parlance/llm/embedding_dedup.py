@@ -265,3 +265,24 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all vectors at a cosine of at least 0.98."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same by all pairs of vectors of a label.
+OP2_SQL = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+    SELECT *, sqrt(list_inner_product(e, e)) AS norm FROM v
+    WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {COSINE}
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT a, y FROM reach JOIN links ON x = b
+), c AS (
+    SELECT a, min(b) AS b FROM reach GROUP BY 1
+), n AS (
+    SELECT x, count(*) AS n FROM links GROUP BY 1
+)
+SELECT a AS vec_id, coalesce(n, 0)::BIGINT AS n_links, b AS component_id, a = b AS kept FROM c LEFT JOIN n ON x = a
+"""

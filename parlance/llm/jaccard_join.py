@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import documents, mix, shingles, stored, text_hashes
+from parlance.llm.common import documents, mix, release, shingles, stored, text_hashes
 from parlance.llm.components import Forest, connected_components
 
 #: Sets compared in one task: blocks of this many against blocks of this many.
@@ -121,6 +121,7 @@ def _sets(docs: DataFrame, width: int, scheme: PartEnum) -> DataFrame:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), inner)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -276,3 +277,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, n2: i
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: 3-word shingles, similarity of at least 0.9."""
     return jaccard_components(documents(spark, sf_dir), width=3, percent=90, n2=3, k2=1)
+
+
+#: The same by all pairs of documents that share a shingle.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+    FROM documents
+), sh AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) ELSE [array_to_string(ws, ' ')] END) AS s
+    FROM w WHERE len(ws) > 0
+), n AS (
+    SELECT doc_id, count(*) AS n FROM sh GROUP BY 1
+), pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)
+), reach(a, b) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT a, y FROM reach JOIN links ON x = b
+)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a
+"""

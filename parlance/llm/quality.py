@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import documents, fold
+from parlance.llm.common import documents, fold, release
 
 MAX_LABELLED, PAIRS, CUT = 20_000, 8, 0.7
 FOLDS, HELD_OUT = 4, 2
@@ -111,6 +111,7 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
 
 def _vectors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             x = [features(t).tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "x": pa.array(x, pa.list_(pa.float64()))})
@@ -138,6 +139,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with a score; its other columns are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             x = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, N_FEATURES)
             yield batch.append_column("score", pa.array(score(model, x)))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from parlance.llm.brown_lm import op10_brown_lm
 from parlance.llm.decontaminate import op8_decontamination
-from parlance.llm.embedding_dedup import op2_embedding_dedup
-from parlance.llm.jaccard_join import op7_jaccard_join
+from parlance.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
+from parlance.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from parlance.llm.line_dedup import op4_line_dedup
 from parlance.llm.mixing import OP9_SQL, op9_source_mixing
 from parlance.llm.pii import op5_pii
@@ -28,5 +28,7 @@ QUERIES = {
 
 #: Where SQL is missing it can't express the operator (see tests/llm).
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": OP2_SQL,
+    "op7_jaccard_join": OP7_SQL,
     "op9_source_mixing": OP9_SQL,
 }

@@ -1,4 +1,4 @@
-"""Token files and secrets against plain Python; the mix against its SQL."""
+"""Token files and secrets against plain Python; queries with SQL against it."""
 
 import hashlib
 import re
@@ -6,12 +6,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 
-from parlance.llm.mixing import OP9_SQL, op9_source_mixing
+from parlance.llm.queries import ORACLE_SQL, QUERIES
 from parlance.llm.secrets import op1_secrets
 from parlance.llm.token_output import op3_token_output
 
 DIR = "/root/testdata/sf0.001"
+SQL_DIR = "/root/testdata/sf0.01"
 
 
 def texts(spark):
@@ -44,10 +46,12 @@ def test_secrets_base(spark):
         assert set(spans.split(",")) - {""} <= set(got[doc_id].spans.split(","))
 
 
-def test_mix_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DIR}/documents.parquet')")
-    df = op9_source_mixing(spark, DIR)
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SQL_DIR}/{table}.parquet')")
+    df = QUERIES[name](spark, SQL_DIR)
     columns = sorted(df.columns)
-    want = con.execute(f"SELECT {', '.join(columns)} FROM ({OP9_SQL})").fetchall()
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, (tuple(r) for r in df.select(columns).collect()))) == sorted(map(str, want))
