@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Totals closer than this are a tie; times are whole microseconds, so equal ones.
+#: Times are whole microseconds, so labels are tied if their totals are equal.
 TIE_BREAKS = ("floor", "latest_start", "first_seen", "previous_word")
 #: Shortest segment that a run of words gives.
 SHORTEST = 10_000
@@ -51,9 +51,8 @@ def nearest_turn(words: DataFrame, turns: DataFrame) -> DataFrame:
     last = F.max(F.when(F.col("before").isNotNull(), F.struct(F.col("before.t1").alias("t1"), (-F.col("before.t0")).alias("back"), F.col("before.label").alias("label")))).over(up)
     first = F.min("after").over(down)
     found = rows.withColumns({"last": last, "first": first}).where("word_no is not null")
-    gap = lambda x: F.when(x.isNotNull(), x)
     past, ahead = F.col("lo") - F.col("last.t1"), F.col("first.t0") - F.col("hi")
-    near = F.when(gap(past).isNull() | (ahead < past), F.col("first.label")).otherwise(F.col("last.label"))
+    near = F.when(past.isNull() | (ahead < past), F.col("first.label")).otherwise(F.col("last.label"))
     return found.select(*WORD, near.alias("near"))
 
 

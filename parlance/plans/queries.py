@@ -365,6 +365,27 @@ _INSIDE = """SELECT c.meeting_id, sum(least(c.hi, r.hi, h.hi) - greatest(c.lo, r
     WHERE c.r >= 2 GROUP BY 1"""
 
 
+_SPEAKERS = f"""{_MULTI}, mapped AS (
+    SELECT b.meeting_id, s.ref, s.hyp FROM best b JOIN pairs USING (p) JOIN shared s ON s.meeting_id = b.meeting_id AND s.ref = pairs.ref AND s.hyp = pairs.hyp WHERE s.d > 0
+), active AS (
+    SELECT c.meeting_id, c.lo, c.hi - c.lo AS d, c.r, c.h, t.side, t.label FROM cells c JOIN tracks t ON t.meeting_id = c.meeting_id AND t.lo <= c.lo AND c.hi <= t.hi
+), hit AS (
+    SELECT a.meeting_id, a.lo, m.ref, m.hyp FROM active a JOIN mapped m ON m.meeting_id = a.meeting_id AND m.ref = a.label AND a.side = 'R'
+    JOIN active b ON b.meeting_id = a.meeting_id AND b.lo = a.lo AND b.side = 'H' AND b.label = m.hyp
+), n AS (SELECT meeting_id, lo, count(*) AS c FROM hit GROUP BY 1, 2
+), each AS (
+    SELECT a.*, coalesce(c, 0) AS c, hit.ref IS NOT NULL AS matched FROM active a LEFT JOIN n USING (meeting_id, lo)
+    LEFT JOIN hit ON hit.meeting_id = a.meeting_id AND hit.lo = a.lo AND CASE WHEN a.side = 'R' THEN hit.ref ELSE hit.hyp END = a.label
+), said AS (
+    SELECT meeting_id, label AS speaker, d AS total, CASE WHEN matched THEN d ELSE 0 END AS correct, CASE WHEN matched THEN 0 ELSE d * greatest(0, r - h)::DOUBLE / (r - c) END AS miss,
+           CASE WHEN matched THEN 0 ELSE d * (least(r, h) - c)::DOUBLE / (r - c) END AS conf, 0 AS fa FROM each WHERE side = 'R'
+    UNION ALL SELECT e.meeting_id, coalesce(m.ref, 'hyp:' || label), 0, 0, 0, 0, CASE WHEN matched THEN 0 ELSE d * greatest(0, h - r)::DOUBLE / (h - c) END
+    FROM each e LEFT JOIN mapped m ON m.meeting_id = e.meeting_id AND m.hyp = e.label WHERE side = 'H'
+)
+SELECT s.meeting_id, speaker, any_value(m.hyp) AS mapped_to, sum(total)::BIGINT AS total, sum(correct)::BIGINT AS correct, round(sum(miss))::BIGINT AS miss, round(sum(conf))::BIGINT AS conf, round(sum(fa))::BIGINT AS fa
+FROM said s LEFT JOIN mapped m ON m.meeting_id = s.meeting_id AND m.ref = s.speaker GROUP BY 1, 2"""
+
+
 def _assigned_sql(pick: str) -> str:
     return f"""WITH {SPOKEN_SQL}, met AS (
         SELECT w.meeting_id, seg_no, word_no, label, t0, t1, least(hi, t1) - greatest(lo, t0) AS d FROM words w JOIN turns t ON w.meeting_id = t.meeting_id AND t0 <= hi AND lo <= t1
@@ -479,6 +500,7 @@ ORACLE_SQL = {
         SELECT meeting_id, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY lo, hi, label)) AS digest FROM l GROUP BY 1""",
     "der_multi_label": _multi_sql("TRUE", "SELECT meeting_id, correct FROM best"),
     "overlap_der": _multi_sql("r >= 2", _INSIDE),
+    "der_per_speaker": _SPEAKERS,
     "word_to_turn_floor": f"{_assigned_sql(_FLOOR)} SELECT meeting_id, seg_no, word_no, label, how FROM found",
     "word_to_turn_latest_start": f"{_assigned_sql('arg_max(label, last)')} SELECT meeting_id, seg_no, word_no, label, how FROM found",
     "word_to_turn_first_seen": f"{_assigned_sql('arg_min(label, seen)')} SELECT meeting_id, seg_no, word_no, label, how FROM found",

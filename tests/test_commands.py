@@ -26,7 +26,6 @@ def test_batch(spark, folders):
     assert run("--refs", f"{folders}/refs", *suite, "easy", "--out", f"{folders}/out") == 0
     assert spark.read.json(f"{folders}/out/scores").where("metric = 'der.total'").first().value == 19.5
     assert run("--refs", f"{folders}/refs", *suite, "hard") == 1
-    assert run("--refs", f"{folders}/refs", *suite, "none") == 2
     assert run("--refs", f"{folders}/more") == 2 and run("--refs", f"{folders}/more", "--missing", "skip") == 0
     assert run("--refs", f"{folders}/bad") == 2
 
