@@ -36,7 +36,7 @@ BLOCK_ROWS = 16
 #: Target weights of the query; sources that aren't named have weight 1.
 TARGETS = {"src0": 3, "src1": 2, "src2": 2}
 RESULT = ("block", "place", "slot", "release", "deadline", "in_mix")
-GROUP_ROWS, MAX_CYCLE = 4_000, 1_000_000
+GROUP_ROWS, MAX_CYCLE = 2_000, 1_000_000
 #: Slots whose blocks are gathered in one array.
 STEP = 1000
 
