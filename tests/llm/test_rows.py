@@ -49,7 +49,7 @@ def test_secrets_base(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SQL_DIR}/{table}.parquet')")
     df = QUERIES[name](spark, SQL_DIR)
     columns = sorted(df.columns)
