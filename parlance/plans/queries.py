@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import alignment, reports, scoring, sessions, text, words
 from parlance.operators import intervals as iv
+from parlance.plans.mapping_sql import MAPPING_SQL
 from parlance.plans.tables import FRAMES_SQL, SEG_SQL, SPOKEN_SQL, dialogue, frames, segments, spoken, table, transcripts
 from parlance.sources import lines
 
@@ -330,7 +331,7 @@ _JER = f"""{_der_sql()}, sizes AS (
 )
 SELECT meeting_id, count(*) AS n_ref, avg(CASE WHEN x > 0 THEN 1 - x::DOUBLE / (r + h - x) ELSE 1 END) AS jer FROM each GROUP BY meeting_id"""
 
-_MULTI = f"""{TRACKS_SQL}, e AS (
+_SHARED = f"""{TRACKS_SQL.replace("WITH", "WITH RECURSIVE", 1)}, e AS (
     SELECT meeting_id, side, label, lo AS t, 1 AS s FROM tracks UNION ALL SELECT meeting_id, side, label, hi, -1 FROM tracks
 ), cells AS (
     SELECT meeting_id, t AS lo, lead(t) OVER w AS hi, sum(r) OVER w AS r, sum(h) OVER w AS h FROM (
@@ -339,18 +340,23 @@ _MULTI = f"""{TRACKS_SQL}, e AS (
 ), shared AS (
     SELECT r.meeting_id, r.label AS ref, h.label AS hyp, sum(least(r.hi, h.hi) - greatest(r.lo, h.lo)) AS d
     FROM tracks r JOIN tracks h ON r.meeting_id = h.meeting_id AND r.side = 'R' AND h.side = 'H' AND r.lo < h.hi AND h.lo < r.hi GROUP BY 1, 2, 3
-), names AS (SELECT DISTINCT label FROM tracks
+)"""
+
+# the largest total over all permutations
+_MULTI = f"""{_SHARED}, names AS (SELECT DISTINCT label FROM tracks
 ), perms AS (
     SELECT row_number() OVER () AS p, * FROM (SELECT list(label ORDER BY label) AS refs FROM names), (
         SELECT [a.label, b.label, c.label, d.label, e.label] AS hyps FROM names a, names b, names c, names d, names e
         WHERE len(list_distinct([a.label, b.label, c.label, d.label, e.label])) = 5)
 ), pairs AS (SELECT p, unnest(refs) AS ref, unnest(hyps) AS hyp FROM perms
 ), gains AS (SELECT meeting_id, p, sum(d) AS d FROM shared JOIN pairs USING (ref, hyp) GROUP BY 1, 2
-), best AS (SELECT meeting_id, max(d) AS correct, arg_max(p, d) AS p FROM gains GROUP BY 1)"""
+), best AS (SELECT meeting_id, max(d) AS correct FROM gains GROUP BY 1)"""
+
+_MAPPED = f"{_SHARED}, {MAPPING_SQL}"
 
 
-def _multi_sql(where: str, correct: str) -> str:
-    return f"""{_MULTI}, right_ AS ({correct}), sums AS (
+def _multi_sql(mapping: str, where: str, correct: str) -> str:
+    return f"""{mapping}, right_ AS ({correct}), sums AS (
         SELECT meeting_id, sum((hi - lo) * r)::BIGINT AS total, sum((hi - lo) * greatest(0, r - h))::BIGINT AS miss, sum((hi - lo) * greatest(0, h - r))::BIGINT AS fa, sum((hi - lo) * least(r, h))::BIGINT AS common
         FROM cells WHERE hi IS NOT NULL AND {where} GROUP BY 1
     ) SELECT meeting_id, total, miss, fa, common - coalesce(correct, 0)::BIGINT AS conf, coalesce(correct, 0)::BIGINT AS correct,
@@ -361,12 +367,11 @@ def _multi_sql(where: str, correct: str) -> str:
 _INSIDE = """SELECT c.meeting_id, sum(least(c.hi, r.hi, h.hi) - greatest(c.lo, r.lo, h.lo)) AS correct FROM cells c
     JOIN tracks r ON c.meeting_id = r.meeting_id AND r.side = 'R' AND r.lo < c.hi AND c.lo < r.hi
     JOIN tracks h ON c.meeting_id = h.meeting_id AND h.side = 'H' AND h.lo < c.hi AND c.lo < h.hi
-    JOIN best b ON b.meeting_id = c.meeting_id JOIN pairs ON pairs.p = b.p AND pairs.ref = r.label AND pairs.hyp = h.label
+    JOIN mapping m ON m.meeting_id = c.meeting_id AND m.ref = r.label AND m.hyp = h.label
     WHERE c.r >= 2 GROUP BY 1"""
 
 
-_SPEAKERS = f"""{_MULTI}, mapped AS (
-    SELECT b.meeting_id, s.ref, s.hyp FROM best b JOIN pairs USING (p) JOIN shared s ON s.meeting_id = b.meeting_id AND s.ref = pairs.ref AND s.hyp = pairs.hyp WHERE s.d > 0
+_SPEAKERS = f"""{_MAPPED}, mapped AS (SELECT meeting_id, ref, hyp FROM mapping
 ), active AS (
     SELECT c.meeting_id, c.lo, c.hi - c.lo AS d, c.r, c.h, t.side, t.label FROM cells c JOIN tracks t ON t.meeting_id = c.meeting_id AND t.lo <= c.lo AND c.hi <= t.hi
 ), hit AS (
@@ -498,8 +503,8 @@ ORACLE_SQL = {
     "rttm_statistics": f"WITH {SEG_SQL} SELECT meeting_id, count(*) AS lines, count(DISTINCT label) AS speakers, sum(hi - lo)::BIGINT AS duration FROM seg GROUP BY 1",
     "release_digest": f"""WITH {SEG_SQL}, l AS (SELECT meeting_id, lo, hi, label, 'SPEAKER ' || meeting_id || ' 1 ' || {_TIME('lo / 1e6')} || ' ' || {_TIME('(hi - lo) / 1e6')} || ' <NA> <NA> ' || label || ' <NA> <NA>' AS line FROM seg)
         SELECT meeting_id, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY lo, hi, label)) AS digest FROM l GROUP BY 1""",
-    "der_multi_label": _multi_sql("TRUE", "SELECT meeting_id, correct FROM best"),
-    "overlap_der": _multi_sql("r >= 2", _INSIDE),
+    "der_multi_label": _multi_sql(_MULTI, "TRUE", "SELECT meeting_id, correct FROM best"),
+    "overlap_der": _multi_sql(_MAPPED, "r >= 2", _INSIDE),
     "der_per_speaker": _SPEAKERS,
     "word_to_turn_floor": f"{_assigned_sql(_FLOOR)} SELECT meeting_id, seg_no, word_no, label, how FROM found",
     "word_to_turn_latest_start": f"{_assigned_sql('arg_max(label, last)')} SELECT meeting_id, seg_no, word_no, label, how FROM found",

@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -45,7 +45,11 @@ def folded(rows: DataFrame, keys: list[str], output: str, step: Step) -> DataFra
 
 def accepted(rows: DataFrame, key: str = "stream") -> DataFrame:
     """Frames (stream, seq, ordinal) whose number is above all before it in their stream; repeated and
-    late ones are dropped."""
+    late ones are dropped, as are those without a number. Over a table it is a running maximum."""
+    rows = rows.where("seq is not null")
+    if not rows.isStreaming:
+        before = F.max("seq").over(Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("before", before).where(F.col("seq") > F.coalesce("before", F.lit(-1))).select(key, F.col("seq").cast("long").alias("seq"))
 
     def step(held: dict, row: dict) -> list[tuple]:
         if row["seq"] <= held.get("last", -1):
@@ -81,31 +85,35 @@ def listed(rows: DataFrame) -> DataFrame:
     return folded(rows.select("stream", "stamp", "totals", "start", "n", "ordinal"), ["stream"], "stream string, ordinal long, how string, n long, complete boolean", step)
 
 
+def transferred(held: dict, row: dict) -> list[tuple]:
+    """What a frame (offset, payload, code) does to a transfer: ``received`` says how."""
+    cursor = held.setdefault("cursor", 0)
+    if held.get("done"):
+        return []
+    if not pd.isna(row["code"]):
+        if row["code"] == 1:
+            held["done"] = True
+            return [("end", cursor, None)]
+        waiting, held["gap"] = held.get("gap", False), False
+        return [("restart", cursor, None)] if waiting else []
+    if pd.isna(row["offset"]):
+        return []
+    if row["offset"] != cursor:
+        if row["offset"] < cursor or held.get("gap"):
+            return []
+        held["gap"] = True
+        return [("restart", cursor, None)]
+    held["gap"], held["cursor"] = False, cursor + len(row["payload"] or b"")
+    return [("data", cursor, bytes(row["payload"] or b""))]
+
+
 def received(rows: DataFrame) -> DataFrame:
     """Transfers (stream, session, offset, payload, code, ordinal): the payloads that continue what is
     there, a restart (``restart``, from the cursor) at each gap, and ``end`` at an empty package of code 1.
 
-    What lies before the cursor is dropped; after a gap nothing counts until the cursor's offset comes."""
-
-    def step(held: dict, row: dict) -> list[tuple]:
-        cursor = held.setdefault("cursor", 0)
-        if held.get("done"):
-            return []
-        if not pd.isna(row["code"]):
-            if row["code"] == 1:
-                held["done"] = True
-                return [("end", cursor, None)]
-            waiting, held["gap"] = held.get("gap", False), False
-            return [("restart", cursor, None)] if waiting else []
-        if row["offset"] != cursor:
-            if row["offset"] < cursor or held.get("gap"):
-                return []
-            held["gap"] = True
-            return [("restart", cursor, None)]
-        held["gap"], held["cursor"] = False, cursor + len(row["payload"])
-        return [("data", cursor, bytes(row["payload"]))]
-
-    return folded(rows.select("stream", "offset", "payload", "code", "ordinal"), ["stream"], "stream string, what string, at long, payload binary", step)
+    What lies before the cursor is dropped, as is a frame without an offset and a code; after a gap nothing
+    counts until the cursor's offset comes."""
+    return folded(rows.select("stream", "offset", "payload", "code", "ordinal"), ["stream"], "stream string, what string, at long, payload binary", transferred)
 
 
 def assembled(rows: DataFrame) -> DataFrame:
@@ -139,12 +147,15 @@ def assembled(rows: DataFrame) -> DataFrame:
 
 def bindings(rows: DataFrame) -> DataFrame:
     """Devices (device, kind: bind or unbind, owner, ordinal): the answer to each request, is_bind, and
-    the number of bind events so far. A device of one owner is refused to others."""
+    the number of bind events so far. A device of one owner is refused to others, and one that was never
+    bound can't be unbound."""
 
     def step(held: dict, row: dict) -> list[tuple]:
         owner = held.get("owner")
         if owner is not None and owner != row["owner"]:
             return [(row["ordinal"], 403, True, held.get("n", 0))]
+        if row["kind"] == "unbind" and not held.get("n"):
+            return [(row["ordinal"], 404, False, 0)]
         if row["kind"] == "bind":
             held["owner"], held["n"] = row["owner"], held.get("n", 0) + 1
         else:
