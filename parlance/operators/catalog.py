@@ -1,11 +1,9 @@
-"""Small table operators: selections, tags, deduplication, grids, listings, clustering."""
+"""Small table operators: selections, tags, deduplication, grids, listings."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +28,7 @@ EVIDENCE = (
     ("CLAIM", "CLAIM"),
     ("PLAUSIBLE", "INFERRED"),
 )
+CUT_HEADER = "X-Mock-Body-Truncated"
 # end of fixed values
 
 
@@ -65,9 +64,19 @@ def numbered_speakers(segments: DataFrame, prefix: str = "Speaker ") -> DataFram
     return first.select("meeting_id", "label", F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy("meeting_id").orderBy("f"))).alias("name"))
 
 
+#: Rows of a grid or of a list of centres, each of which meets every row.
+FEW = 10_000
+
+
+def _few(rows: DataFrame, what: str) -> DataFrame:
+    if rows.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} {what}")
+    return F.broadcast(rows)
+
+
 def sweep(rows: DataFrame, grid: DataFrame) -> DataFrame:
     """Every row under every threshold of a small grid (threshold)."""
-    return rows.crossJoin(F.broadcast(grid.select("threshold")))
+    return rows.crossJoin(_few(grid.select("threshold"), "thresholds"))
 
 
 def selected(scores: DataFrame, *by: str) -> DataFrame:
@@ -100,7 +109,7 @@ def replay_record(requests: DataFrame, separator: str = "\n") -> DataFrame:
         "\r\n",
         F.concat_ws(" ", "method", target, F.lit("HTTP/1.1")),
         F.concat(F.lit("Host: "), F.coalesce("host", F.lit("localhost"))),
-        F.when(F.col("body_size").isNotNull(), F.concat(F.lit("X-Mock-Body-Truncated: "), F.col("body_size").cast("string"))),
+        F.when(F.col("body_size").isNotNull(), F.concat(F.lit(CUT_HEADER + ": "), F.col("body_size").cast("string"))),
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     )
     nano = lambda x, scale: F.floor(x * scale).cast("long").cast("string")
@@ -112,42 +121,10 @@ def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
     """``points`` (id, v) with the label of the nearest of a few centres (label, c), ties to the
     smaller label."""
     apart = F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = points.crossJoin(F.broadcast(centres))
+    pairs = points.crossJoin(_few(centres, "centres"))
     return pairs.groupBy("id").agg(F.min_by("label", F.struct(apart.alias("d"), "label")).alias("label"), F.sqrt(F.min(apart)).alias("distance"))
 
 
-def kmeans_labels(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
-    """Lloyd's method from centres that are each the farthest point from those before; the first is
-    the point nearest the mean. No chance is involved."""
-    k = max(1, min(k, len(x)))
-    apart = lambda c: ((x - c) ** 2).sum(1)
-    chosen = [int(apart(x.mean(0)).argmin())]
-    while len(chosen) < k:
-        chosen.append(int(np.min([apart(x[i]) for i in chosen], axis=0).argmax()))
-    centres, of = x[chosen].copy(), None
-    for _ in range(rounds):
-        new = np.argmin([apart(c) for c in centres], axis=0)
-        if of is not None and (new == of).all():
-            break
-        of = new
-        for j in np.unique(of):
-            centres[j] = x[of == j].mean(0)
-    return of
-
-
-def kmeans(points: DataFrame, k: int) -> DataFrame:
-    """group, id, cluster: k clusters of the points (group, id, v) of each group, which is worked on whole
-    (one meeting's voices)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        of = kmeans_labels(np.array(table.column("v").to_pylist(), float), k)
-        return table.select(["group", "id"]).append_column("cluster", pa.array(of, pa.int32()))
-
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    return points.select("group", "id", "v").groupBy("group").applyInArrow(run, f"group {kinds['group']}, id {kinds['id']}, cluster int")
-
-
 def cluster_sizes(clusters: DataFrame, least: int, share: float) -> DataFrame:
     """group, cluster, n, kept: a cluster is kept if it has ``least`` members and the share of its group."""
     sizes = clusters.groupBy("group", "cluster").agg(F.count("*").alias("n"))

@@ -35,8 +35,8 @@ WORD = r"[\p{L}\p{N}_]"
 
 
 def split_words(text: Column) -> Column:
-    """Words between white space, no empty ones."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    """Words between white space, no empty ones; the information separators U+001C to U+001F are white space."""
+    return F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
 
 
 def _one_of(chars: str) -> str:

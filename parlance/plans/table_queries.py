@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import frames, values
-from parlance.operators import catalog, intervals, text
+from parlance.operators import catalog, intervals, kmeans, text
 from parlance.plans import evaluation
 from parlance.plans.tables import dialogue, segments, spoken, table
 from parlance.sources import annotated
@@ -141,7 +141,7 @@ def binding_state(spark, sf_dir):
 
 def embedding_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return catalog.cluster_sizes(catalog.kmeans(rows.where("v is not null and group is not null"), 3), 2, 0.1)
+    return catalog.cluster_sizes(kmeans.kmeans(rows.where("v is not null and group is not null"), 3), 2, 0.1)
 
 
 def interval_difference(spark, sf_dir):

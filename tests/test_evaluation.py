@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import alignment, catalog
+from parlance.operators import alignment, catalog, kmeans
 from parlance.plans import evaluation
 from parlance.sources import annotated, documents
 
@@ -211,7 +211,7 @@ def test_clustering(spark):
     random = np.random.default_rng(5)
     x = np.concatenate([random.normal(c, 0.1, (20, 2)) for c in ((0, 0), (5, 5), (0, 5))])
     points = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "group long, id long, v array<double>")
-    clusters = catalog.kmeans(points, 3)
+    clusters = kmeans.kmeans(points, 3)
     of = [r.cluster for r in clusters.orderBy("id").collect()]
     assert [len(set(of[a : a + 20])) for a in (0, 20, 40)] == [1, 1, 1] and len(set(of)) == 3
     assert {(r.n, r.kept) for r in catalog.cluster_sizes(clusters, 1, 0.3).collect()} == {(20, True)}
@@ -220,6 +220,17 @@ def test_clustering(spark):
     assert [near[i] for i in (0, 20, 40)] == ["o", "p", "q"]
 
 
+def test_clusters_of_large_groups(spark):
+    """Groups of many blocks are clustered as those of one are."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(rng.integers(0, 4, (400, 1)) * 3.0, 0.6, (400, 3))
+    x[350:] = x[0]
+    rows = [(g, i, v) for g, n in (("p", 400), ("q", 90), ("r", 2)) for i, v in enumerate(x[:n].tolist())]
+    points = spark.createDataFrame(rows, "group string, id long, v array<double>")
+    of = lambda block: {(r.group, r.id): r.cluster for r in kmeans.kmeans(points, 4, block=block).collect()}
+    assert of(64) == of(1000) and len(of(64)) == len(rows)
+
+
 def test_audio_of_meetings(spark):
     there = spark.createDataFrame([("/a/b/meeting.json",), ("/a/meeting.json",)], "path string")
     audio = spark.createDataFrame([("/a/b/mix.wav",), ("/a/b/stems/x.wav",), ("/a/c/x.ogg",), ("/z/x.ogg",)], "path string")
