@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from parlance.deploy import ship
 from parlance.plans import evaluation
-from parlance.sources import annotated, documents, gates, lines
+from parlance.sources import annotated, bundles, documents, gates, lines
 
 GOOD, FAILED, WRONG, NOTHING = range(4)
 
@@ -28,7 +28,8 @@ def _show(df: DataFrame, out: str | None) -> None:
 
 def batch(spark: SparkSession, a: argparse.Namespace) -> int:
     """Scores of all pairs below two folders; ``score`` is the same of one pair."""
-    scores, status = evaluation.evaluate(spark, a.refs, a.hyps, a.meeting_schema, a.hypothesis_schema)
+    reader = bundles.documents_of if a.bundles else documents.read
+    scores, status = evaluation.evaluate(spark, a.refs, a.hyps, a.meeting_schema, a.hypothesis_schema, reader=reader)
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     _show(status, a.out and f"{a.out}/status")
     if counts.get("refused") or (counts.get("missing") and a.missing == "fail"):
@@ -42,15 +43,33 @@ def batch(spark: SparkSession, a: argparse.Namespace) -> int:
     if not a.gates:
         return GOOD
     averages = {"macro": evaluation.macro, "micro": evaluation.micro}
-    chosen = averages if a.gate_on == "both" else {a.gate_on: averages[a.gate_on]}
+    chosen = averages if a.gate_on == "both" else {k: v for k, v in averages.items() if k == a.gate_on}
     checks, good = gates.read(spark, a.gates, a.suite), True
-    for name, average in chosen.items():
-        found = evaluation.reports.gates(checks, average(scores))
+    tables = {name: evaluation.reports.gates(checks, average(scores)) for name, average in chosen.items()}
+    if a.gate_on == "each":
+        tables["each"] = evaluation.gated_each(scores, checks)
+    for name, found in tables.items():
         _show(found, a.out and f"{a.out}/gates-{name}")
         good &= found.where("not passed").isEmpty()
     return GOOD if good else FAILED
 
 
+def suites(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The checks of a file of gates."""
+    _show(gates.read(spark, a.path).orderBy("suite", "metric"), a.out)
+    return GOOD
+
+
+def selfcheck(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Scores references against themselves: every rate must be 0."""
+    refs = documents.good(documents.meetings(documents.read(spark, a.path), a.meeting_schema))
+    both = documents.segments(refs, "R").unionByName(documents.segments(refs, "H"))
+    rates = [m for _, m in evaluation.HEADLINE] + ["speaker_count.abs_error"]
+    off = evaluation.long(evaluation.flat(both)).where(F.col("metric").isin(rates) & (F.abs("value") > 1e-9))
+    _show(off, a.out)
+    return NOTHING if refs.isEmpty() else GOOD if off.isEmpty() else FAILED
+
+
 def validate(spark: SparkSession, a: argparse.Namespace) -> int:
     docs = documents.read(spark, a.path)
     found = documents.hypotheses(docs, a.hypothesis_schema) if a.hypotheses else documents.meetings(docs, a.meeting_schema)
@@ -86,7 +105,7 @@ def import_stm(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> int:
     """Word files of an annotated corpus (meeting.label.words.xml) to turns as RTTM and STM."""
-    found = annotated.tokens(documents.read(spark, a.path))
+    found = annotated.tokens(documents.read(spark, a.path, "*.xml"))
     if not found.where("error is not null").isEmpty():
         _show(found.where("error is not null"), None)
         return WRONG
@@ -107,10 +126,12 @@ def parser() -> argparse.ArgumentParser:
         for flag, how in (*options, ("--out", {}), ("--meeting-schema", {"default": "meeting/1"}), ("--hypothesis-schema", {"default": "hypothesis/1"})):
             c.add_argument(flag, **how)
 
-    pair = (("--refs", {"required": True}), ("--hyps", {"required": True}), ("--gates", {}), ("--suite", {}), ("--gate-on", {"default": "macro", "choices": ["macro", "micro", "both"]}), ("--missing", {"default": "fail", "choices": ["fail", "skip"]}))
+    pair = (("--refs", {"required": True}), ("--hyps", {"required": True}), ("--gates", {}), ("--suite", {}), ("--gate-on", {"default": "macro", "choices": ["macro", "micro", "both", "each"]}), ("--missing", {"default": "fail", "choices": ["fail", "skip"]}), ("--bundles", {"action": "store_true"}))
     command("score", batch, *pair)
     command("batch", batch, *pair)
     command("validate", validate, ("path", {}), ("--hypotheses", {"action": "store_true"}))
+    command("suites", suites, ("path", {}))
+    command("selfcheck", selfcheck, ("path", {}))
     command("stats", stats, ("path", {}))
     command("crosscheck", crosscheck, ("path", {}), ("other", {}))
     command("import-stm", import_stm, ("path", {}))

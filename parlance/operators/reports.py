@@ -23,8 +23,13 @@ def gates(checks: DataFrame, metrics: DataFrame) -> DataFrame:
     not_scored (a number of meetings). A metric that is missing, not finite or not scored on
     some meeting fails.
     """
-    checks = checks.withColumns({c: F.lit(None).cast("double") for c in ("eq", "tol") if c not in checks.columns})
     metrics = metrics if "not_scored" in metrics.columns else metrics.withColumn("not_scored", F.lit(0))
+    return judged(checks.join(metrics.select("metric", "value", "not_scored", F.lit(True).alias("there")), "metric", "left"))
+
+
+def judged(met: DataFrame) -> DataFrame:
+    """The same of checks that met their metrics: ``there`` is null where there is none; other columns come along."""
+    met = met.withColumns({c: F.lit(None).cast("double") for c in ("eq", "tol") if c not in met.columns}).withColumn("value", F.col("value").cast("double"))
     value, tol = F.col("value"), F.coalesce("tol", F.lit(0.0))
     over, under = value > F.col("max") + tol, value < F.col("min") - tol
     off = F.abs(value - F.col("eq")) > tol
@@ -34,9 +39,9 @@ def gates(checks: DataFrame, metrics: DataFrame) -> DataFrame:
         .when(~finite(value), "metric has no numeric value")
         .otherwise(F.concat_ws("; ", F.when(over, "exceeds max"), F.when(under, "below min"), F.when(off, "differs")))
     )
-    found = metrics.select("metric", F.col("value").cast("double").alias("value"), "not_scored", F.lit(True).alias("there"))
-    joined = checks.join(found, "metric", "left").withColumn("reason", reason)
-    return joined.select("suite", "metric", "value", (F.col("reason") == "").alias("passed"), F.when(F.col("reason") == "", "ok").otherwise(F.col("reason")).alias("reason"))
+    others = [c for c in met.columns if c not in ("suite", "metric", "value", "max", "min", "eq", "tol", "not_scored", "there")]
+    told = met.withColumn("reason", reason)
+    return told.select(*others, "suite", "metric", "value", (F.col("reason") == "").alias("passed"), F.when(F.col("reason") == "", "ok").otherwise(F.col("reason")).alias("reason"))
 
 
 def suites(checked: DataFrame) -> DataFrame:

@@ -91,15 +91,19 @@ POOLED = {
 
 
 def micro(scores: DataFrame) -> DataFrame:
-    """metric, value: pooled over meetings; refused meetings have no part in the pools of permutations."""
+    """metric, value, meetings, not_scored: pooled over meetings; refused meetings have no part in the pools of
+    permutations. Sums of errors, lengths and times are metrics of their own."""
     total = lambda c: F.sum(F.col(f"`{c}`"))
     wrong = total("der.miss") + total("der.false_alarm") + total("der.confusion")
     values = {"der.der": F.try_divide(wrong, total("der.total"))} | {k: F.try_divide(total(a), total(b)) for k, (a, b) in POOLED.items()}
     sums = sorted({c for ab in POOLED.values() for c in ab if c != "der.overlap.error"} | {"cpwer.missed_speaker", "cpwer.falarm_speaker", "der.correct", "der.overlap.overlap_time"})
     values |= {c: total(c) for c in sums}
     values |= {f"speaker_count.{c}": F.avg(F.col(f"`speaker_count.{c}`")) for c in ("error", "abs_error")}
-    row = scores.agg(*[v.cast("double").alias(k) for k, v in values.items()])
-    each = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"`{k}`").alias("value")) for k in values])
+    values |= {c: total(c) for c in ("der.miss", "der.false_alarm", "der.confusion", "der.overlap.error") if c not in values}
+    permuted = lambda k: k.startswith(("cpwer.", "tcpwer."))
+    scored = {"all": F.count("*"), "permuted": F.count_if(F.col("refused").isNull())}
+    row = scores.agg(*[v.cast("double").alias(k) for k, v in values.items()], *[v.alias(k) for k, v in scored.items()])
+    each = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(f"`{k}`").alias("value"), F.col("permuted" if permuted(k) else "all").alias("meetings"), (F.col("all") - F.col("permuted") if permuted(k) else F.lit(0)).cast("long").alias("not_scored")) for k in values])
     return row.select(F.explode(each).alias("x")).select("x.*")
 
 
@@ -108,12 +112,41 @@ def gated(scores: DataFrame, checks: DataFrame) -> DataFrame:
     return reports.gates(checks, macro(scores))
 
 
-def summary(scores: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys (say dataset, system, variant), metric, value, meetings of scores with those columns."""
-    names = [m for _, m in HEADLINE]
-    each = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").cast("double").alias("value")) for n in names])
-    rows = scores.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
-    return rows.groupBy(*keys, "metric").agg(F.avg("value").alias("value"), F.count("value").alias("meetings"))
+def gated_each(scores: DataFrame, checks: DataFrame) -> DataFrame:
+    """``reports.gates`` of every meeting on its own, with meeting_id; a meeting without a metric fails its check."""
+    values = long(scores)
+    refused = F.col("refused").isNotNull() & (F.col("metric").startswith("cpwer.") | F.col("metric").startswith("tcpwer."))
+    each = values.select("meeting_id", "metric", "value", F.when(refused, 1).otherwise(0).cast("long").alias("not_scored"))
+    asked = scores.select("meeting_id").crossJoin(F.broadcast(checks))  # a list that a person wrote
+    return reports.judged(asked.join(each.withColumn("there", F.lit(True)), ["meeting_id", "metric"], "left"))
+
+
+#: Rolled up per dataset and system, per system, and over all.
+ROLLUPS = (("dataset", "system", "variant"), ("dataset", "system"), ("system",), ())
+#: A rate, and the columns whose sums give it over meetings.
+SUMS = {
+    "der.der": (("der.miss", "der.false_alarm", "der.confusion"), "der.total"),
+    "jer.jer": (("jer.speaker_error",), "jer.speaker_count"),
+    "cpwer.error_rate": (("cpwer.errors",), "cpwer.length"),
+    "tcpwer.error_rate": (("tcpwer.errors",), "tcpwer.length"),
+    "wer_concat.wer": (("wer_concat.errors",), "wer_concat.reference_words"),
+}
+
+
+def summary(scores: DataFrame, keys: tuple[str, ...] = ROLLUPS[0], sets: tuple[tuple[str, ...], ...] = ROLLUPS) -> DataFrame:
+    """keys, level, metric, macro, micro, meetings of scores with the columns ``keys``: the mean over meetings and
+    the rate of their sums, for every set of keys in ``sets``; level is the number of keys left out.
+
+    One pass: the metrics of a meeting are rows of value, errors and length, and the sets are grouping sets.
+    A key that is null itself is told from one left out by ``level``.
+    """
+    column = lambda n: F.col(f"`{n}`").cast("double")
+    parts = [F.struct(F.lit(m).alias("metric"), column(m).alias("value"), sum(map(column, a), F.lit(0.0)).alias("errors"), column(b).alias("length")) for m, (a, b) in SUMS.items()]
+    rows = scores.select(*keys, F.explode(F.array(*parts)).alias("x")).select(*keys, "x.*")
+    grouped = rows.groupingSets([[F.col(k) for k in (*s, "metric")] for s in sets], *keys, "metric")
+    pooled = F.try_divide(F.sum(F.when(F.col("value").isNotNull(), F.col("errors"))), F.sum(F.when(F.col("value").isNotNull(), F.col("length"))))
+    level = F.bit_count(F.grouping_id())
+    return grouped.agg(level.cast("int").alias("level"), F.avg("value").alias("macro"), pooled.alias("micro"), F.count("value").alias("meetings"))
 
 
 def markdown(scores: DataFrame) -> DataFrame:
@@ -131,11 +164,11 @@ def report(scores: DataFrame, kind: str) -> DataFrame:
     return scores.select("meeting_id", F.to_json(F.struct(F.lit(kind).alias("kind"), F.col("meeting_id").cast("string").alias("meeting_id"), body.alias("metrics"))).alias("value"))
 
 
-def evaluate(spark: SparkSession, refs: str, hyps: str, meeting_schema: str, hypothesis_schema: str, **options) -> tuple[DataFrame, DataFrame]:
+def evaluate(spark: SparkSession, refs: str, hyps: str, meeting_schema: str, hypothesis_schema: str, reader=documents.read, **options) -> tuple[DataFrame, DataFrame]:
     """Scores of all meetings below a folder, and a status row for each document: scored, missing, unknown,
-    or refused with its errors."""
-    r = documents.meetings(documents.read(spark, refs), meeting_schema)
-    h = documents.hypotheses(documents.read(spark, hyps), hypothesis_schema)
+    or refused with its errors. ``reader`` gives the documents of a folder: its JSON files, or those of bundles."""
+    r = documents.meetings(reader(spark, refs), meeting_schema)
+    h = documents.hypotheses(reader(spark, hyps), hypothesis_schema)
     good_r, good_h = documents.good(r), documents.good(h)
     both, status = pairs(good_r, good_h)
     duration = good_r.select("meeting_id", F.round(F.col("duration_s") * 1e6).cast("long").alias("duration"))

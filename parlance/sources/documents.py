@@ -7,6 +7,8 @@ whole microseconds in ``segments``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,10 @@ HYPOTHESIS = f"schema string, meeting_id string, system string, segments array<{
 TOLERANCE = 1e-6
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """path, value of whole files below a folder."""
-    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+def read(spark: SparkSession, path: str, kind: str = "*.json") -> DataFrame:
+    """path, value of whole files of a kind (a pattern of names) below a folder, or of one file."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", kind)
+    return files.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def field_problem(value: Column) -> Column:
@@ -66,7 +69,7 @@ def _word_errors(s: Column) -> Column:
         )
 
     words = F.coalesce(s["words"], F.array().cast(f"array<{WORD}>"))
-    spelled = s["words"].isNull() | (F.size(words) == 0) | (F.transform(words, lambda w: w["w"]) == split_words(s["text"]))
+    spelled = s["words"].isNull() | (F.transform(words, lambda w: w["w"]) == split_words(s["text"]))
     bad = F.filter(F.transform(words, one), lambda e: e.isNotNull())
     return F.coalesce(F.get(bad, F.lit(0)), _broken(spelled, "words don't spell the text"))
 
@@ -89,9 +92,25 @@ def _segment_errors(segments: Column, speakers: Column | None, duration: Column
     return F.filter(F.transform(segments, one), lambda e: e.isNotNull())
 
 
+#: What a field is, in the names of variant types, if it isn't as asked for.
+TEXTS, LISTS = r"(?<![\w`])(speaker|text|w)`?: (?!STRING\b|VOID\b)(\w+)", r"(?<![\w`])(words)`?: (?!ARRAY\b|VOID\b)(\w+)"
+
+
+def _types(value: Column) -> list[Column]:
+    """Errors of fields of another type than they should have, which a parser with a schema would cast. The
+    types of all segments' fields are merged, so that one that isn't text shows."""
+    tree = F.try_parse_json(value)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(tree, path, "variant"))
+    segments = kind("$.segments")
+    wrong = lambda pattern, what: F.when(F.regexp_extract(segments, pattern, 1) != "", F.concat(F.lit("segments: "), F.regexp_extract(segments, pattern, 1), F.lit(f" isn't {what}")))
+    text = lambda name: F.when(~F.coalesce(kind(f"$.{name}"), F.lit("STRING")).isin("STRING", "VOID"), F.lit(f"{name} isn't text"))
+    return [F.when(tree.isNull(), F.lit("isn't JSON")), text("meeting_id"), text("system"), wrong(TEXTS, "text"), wrong(LISTS, "a list")]
+
+
 def _checked(docs: DataFrame, kind: str, schema: str, rules, segment_errors) -> DataFrame:
     parsed = docs.withColumn("d", F.from_json("value", kind)).select("path", "value", "d.*")
-    errors = F.filter(F.array(_broken(F.col("schema") == schema, F.lit(f"schema isn't {schema}")), *rules(F.col)), lambda e: e.isNotNull())
+    all_rules = F.array(_broken(F.col("schema") == schema, F.lit(f"schema isn't {schema}")), *_types(F.col("value")), *rules(F.col))
+    errors = F.filter(all_rules, lambda e: e.isNotNull())
     more = F.when(F.col("segments").isNotNull(), segment_errors(F.col)).otherwise(F.array(F.lit("no segments")))
     return parsed.withColumn("errors", F.concat(errors, more)).drop("value")
 
@@ -173,6 +192,12 @@ def hypothesis_paths(meetings: DataFrame, files: DataFrame) -> DataFrame:
     return meetings.select("meeting_id").join(found, "meeting_id", "left")
 
 
+def below(path: Column, top: str) -> Column:
+    """What of a file's path lies below the folder ``top``."""
+    bare = F.regexp_replace(path, "^file:/+", "/")
+    return F.regexp_replace(bare, F.lit("^" + re.escape(re.sub("^file:/+", "/", top).rstrip("/")) + "/"), F.lit(""))
+
+
 def checksums(lines: DataFrame) -> DataFrame:
     """digest, name of lines ``hex  name`` or ``hex *name``."""
     part = lambda i: F.regexp_extract("line", r"^([0-9a-fA-F]{32,128})\s[\s*](.+?)\s*$", i)

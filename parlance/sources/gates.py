@@ -1,4 +1,5 @@
-"""Gate suites from a JSON file: {"suite": [{"metric": ..., "max": ..., "min": ..., "eq": ..., "tol": ...}, ...]}."""
+"""Gate suites from a JSON file: {"suite": [{"metric": ..., "max": ..., "min": ..., "eq": ..., "tol": ...}, ...]}, or
+{"schema": ..., "suites": {"suite": {"description": ..., "gates": [...]}}}."""
 
 from __future__ import annotations
 
@@ -31,14 +32,37 @@ def checks_of(suites: dict) -> list[tuple]:
                 raise ValueError(f"{where}: no max, min or eq")
             if "max" in c and "min" in c and c["min"] > c["max"]:
                 raise ValueError(f"{where}: min is above max")
-            if c.get("tol", 0) < 0:
+            tol = c.get("tol", 0)
+            if tol < 0:
                 raise ValueError(f"{where}: tol is negative")
+            if "eq" in c and (c["eq"] + tol < c.get("min", -math.inf) - tol or c["eq"] - tol > c.get("max", math.inf) + tol):
+                raise ValueError(f"{where}: eq is outside of min and max")
             rows.append((suite, c["metric"], *(float(c[k]) if k in c else None for k in BOUNDS)))
     return rows
 
 
+def suites_of(data: dict, schema: str | None = None) -> dict:
+    """The lists of checks of either layout, and of ``schema`` if it is given."""
+    if not isinstance(data, dict) or not data:
+        raise ValueError("suites are an object that isn't empty")
+    if schema is not None and data.get("schema") != schema:
+        raise ValueError(f"the schema is {data.get('schema')}, not {schema}")
+    if "suites" not in data:
+        return data
+    if unknown := set(data) - {"schema", "suites"}:
+        raise ValueError(f"unknown {', '.join(sorted(unknown))}")
+    if not isinstance(data["suites"], dict) or not data["suites"]:
+        raise ValueError("suites are an object that isn't empty")
+    found = {}
+    for name, body in data["suites"].items():
+        if not isinstance(body, dict) or set(body) - {"description", "gates"}:
+            raise ValueError(f"{name}: a suite has gates and a description")
+        found[name] = body.get("gates")
+    return found
+
+
 def read(spark: SparkSession, path: str, suite: str | None = None) -> DataFrame:
-    suites = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    suites = suites_of(json.loads(spark.read.text(path, wholetext=True).first()[0]))
     if suite is not None and suite not in suites:
         raise ValueError(f"no suite {suite}; there are {', '.join(sorted(suites))}")
     return spark.createDataFrame(checks_of(suites if suite is None else {suite: suites[suite]}), CHECK)

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from parlance.__main__ import main
-from parlance.sources import gates
+from parlance.sources import bundles, documents, gates
 from tests.test_evaluation import WORDS, hypothesis, meeting
 
 
@@ -30,6 +30,30 @@ def test_batch(spark, folders):
     assert run("--refs", f"{folders}/bad") == 2
 
 
+def test_each_meeting_and_bundles(spark, folders):
+    run = lambda *more: main(["batch", "--refs", f"{folders}/refs", "--hyps", f"{folders}/hyps", "--gates", f"{folders}/gates.json", "--gate-on", "each", *more], spark)
+    assert run("--suite", "easy", "--out", f"{folders}/each") == 0 and run("--suite", "hard") == 1
+    assert [r.meeting_id for r in spark.read.json(f"{folders}/each/gates-each").collect()] == ["m1"]
+    (folders / "refs" / "ref.rttm").write_text("SPEAKER m1 1 0 1 <NA> <NA> A <NA> <NA>\n")  # other kinds beside documents
+    assert run("--suite", "easy") == 0
+    for side, kind, schema in (("refs", documents.meetings, "meeting/1"), ("hyps", documents.hypotheses, "hypothesis/1")):
+        docs = documents.read(spark, f"{folders}/{side}")
+        good = documents.good(kind(docs, schema))
+        bundles.write(docs.join(good.select("path", "meeting_id"), "path").select("meeting_id", "value"), documents.segments(good, "R"), f"{folders}/bundles-{side}")
+    assert main(["batch", "--refs", f"{folders}/bundles-refs", "--hyps", f"{folders}/bundles-hyps", "--bundles"], spark) == 0
+    assert main(["selfcheck", f"{folders}/refs"], spark) == 0 and main(["suites", f"{folders}/gates.json"], spark) == 0
+
+
+def test_layouts_of_gates():
+    body = {"schema": "gates/1", "suites": {"s": {"description": "d", "gates": [{"metric": "x", "eq": 0.0, "tol": 1e-9}]}}}
+    assert gates.checks_of(gates.suites_of(body, "gates/1")) == [("s", "x", None, None, 0.0, 1e-9)]
+    for wrong in ({}, [], body | {"more": 1}, body | {"suites": {}}, body | {"suites": {"s": []}}, {"suites": {"s": {"gates": [], "x": 1}}}):
+        with pytest.raises(ValueError):
+            gates.checks_of(gates.suites_of(wrong))
+    with pytest.raises(ValueError):
+        gates.suites_of(body, "gates/2")
+
+
 def test_validate(spark, folders):
     assert main(["validate", f"{folders}/refs"], spark) == 0 and main(["validate", f"{folders}/bad"], spark) == 2
     assert main(["validate", f"{folders}/hyps", "--hypotheses"], spark) == 0
@@ -50,7 +74,7 @@ def test_lines_and_corpora(spark, folders):
     assert main(["stats", f"{folders}/bad.rttm"], spark) == 2
 
 
-@pytest.mark.parametrize("check", [{"metric": "x"}, {"metric": "x", "max": float("nan")}, {"metric": "x", "max": 1, "min": 2}, {"metric": "x", "most": 1}, {"max": 1}, {"metric": "x", "eq": True}, {"metric": "x", "max": 1, "tol": -1}])
+@pytest.mark.parametrize("check", [{"metric": "x"}, {"metric": "x", "max": float("nan")}, {"metric": "x", "max": 1, "min": 2}, {"metric": "x", "most": 1}, {"max": 1}, {"metric": "x", "eq": True}, {"metric": "x", "max": 1, "tol": -1}, {"metric": "x", "eq": 5, "max": 1}, {"metric": "x", "eq": 0, "min": 1, "tol": 0.4}])
 def test_refused_gates(check):
     with pytest.raises(ValueError):
         gates.checks_of({"s": [check]})

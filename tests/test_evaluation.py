@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import alignment, catalog, kmeans
 from parlance.plans import evaluation
-from parlance.sources import annotated, documents
+from parlance.sources import annotated, bundles, documents, lines
 
 REF, HYP = "ref/1", "hyp/1"
 
@@ -58,6 +58,13 @@ def bad_segment(**changes):
         (bad_segment(words=[{"w": "one", "start": 0, "end": 11}]), "outside"),
         (bad_segment(text="one two", words=[{"w": "one", "start": 2, "end": 3}, {"w": "two", "start": 1, "end": 2}]), "words[1]: not sorted"),
         (bad_segment(text="one", words=[{"w": "one", "start": 2, "end": 1}]), "before its start"),
+        (bad_segment(words=[]), "spell"),
+        (bad_segment(text=5, words=None), "text isn't text"),
+        (bad_segment(speaker=7), "speaker isn't text"),
+        (bad_segment(words="one"), "words isn't a list"),
+        (bad_segment(text="5", words=[{"w": 5, "start": 0, "end": 1}]), "w isn't text"),
+        (meeting(7), "meeting_id isn't text"),
+        ("{'schema': 'ref/1'}", "isn't JSON"),
     ],
 )
 def test_broken_meetings(spark, doc, hint):
@@ -93,6 +100,36 @@ def test_evaluation_of_folders(spark, tmp_path):
     assert {r.metric: r.passed for r in evaluation.gated(scores, checks).collect()} == {"der.der": True, "cpwer.error_rate": False}
 
 
+def test_bundles(spark, tmp_path):
+    docs = files(spark, [hypothesis(), hypothesis("m 2"), hypothesis("m3")])
+    good = documents.good(documents.hypotheses(docs, HYP))
+    rows = documents.segments(good, "H")
+    values = docs.join(good.select("path", "meeting_id"), "path").select("meeting_id", "value")
+    bundles.write(values, rows, f"{tmp_path}/b")
+    back = documents.hypotheses(bundles.documents_of(spark, f"{tmp_path}/b"), HYP)
+    assert {r.meeting_id for r in back.where("size(errors) = 0").collect()} == {"m1", "m3"}
+    rttm, stm = lines.rttm(bundles.lines_of(spark, f"{tmp_path}/b", "rttm")), lines.stm(bundles.lines_of(spark, f"{tmp_path}/b", "stm"))
+    named = documents.segments(documents.good(back), "H").join(lines.label_fields(rows), ["meeting_id", "label"]).select("meeting_id", F.col("field").alias("label"), "lo", "hi")
+    assert lines.agreement({"json": named, "rttm": rttm, "stm": stm}).count() == 0 and rttm.count() == 8
+    assert bundles.damaged(spark, f"{tmp_path}/b").count() == 0
+    file = next((tmp_path / "b/data/meeting_id=m1/kind=rttm").glob("part*"))
+    file.write_text(file.read_text().replace("9.0", "8.0", 1) + "more\n")
+    file.with_name("." + file.name + ".crc").unlink(missing_ok=True)
+    (next((tmp_path / "b/data/meeting_id=m3/kind=stm").glob("part*"))).unlink()
+    assert sorted(tuple(r) for r in bundles.damaged(spark, f"{tmp_path}/b").collect()) == [("m1", "rttm", "differs"), ("m3", "stm", "absent")]
+
+
+def test_summary_of_grouping_sets(spark):
+    rows = [("d1", "s", None, 0.5, 1.0, 2.0), ("d1", "s", None, 0.1, 1.0, 10.0), ("d2", "s", "v", None, 0.0, 0.0), ("d2", "t", "v", 0.3, 3.0, 10.0)]
+    zero = {c: F.lit(0.0) for a, b in evaluation.SUMS.values() for c in (*a, b)} | {m: F.lit(None).cast("double") for m in evaluation.SUMS}
+    scores = spark.createDataFrame(rows, "dataset string, system string, variant string, rate double, errors double, length double")
+    scores = scores.select("dataset", "system", "variant", *[v.alias(k) for k, v in (zero | {"der.der": F.col("rate"), "der.miss": F.col("errors"), "der.total": F.col("length")}).items()])
+    got = {(r.dataset, r.system, r.variant, r.level): (r.macro and round(r.macro, 6), r.micro and round(r.micro, 6), r.meetings) for r in evaluation.summary(scores).where("metric = 'der.der'").collect()}
+    assert got[("d1", "s", None, 0)] == (0.3, 0.166667, 2) == got[("d1", "s", None, 1)]
+    assert got[("d2", "s", "v", 0)] == (None, None, 0) and got[(None, "s", None, 2)] == (0.3, 0.166667, 2) and got[(None, None, None, 3)] == (0.3, 0.227273, 3)
+    assert len(got) == 3 + 3 + 2 + 1
+
+
 def test_refused_meetings_fail_gates(spark):
     rows = [("m", "R", f"s{i}", i * 10, i * 10 + 5, "a") for i in range(21)] + [("m", "H", "x", 0, 5, "a")]
     scores = evaluation.flat(spark.createDataFrame(rows, "meeting_id string, side string, label string, lo long, hi long, text string"))
