@@ -20,8 +20,8 @@ CURSOR_PROJECTS, LATE_PROJECTS, SHORT_SERIAL = (901, 705), (888, 881), 10
 def unsigned(raw: Column, at: Column | int, size: int) -> Column:
     """The little-endian whole number of ``size`` bytes at a place (from 0); null beyond the end."""
     at = F.lit(at) if isinstance(at, int) else at
-    digits = F.hex(raw)
-    turned = F.concat(*[F.substring(digits, (at + i) * 2 + 1, F.lit(2)) for i in range(size - 1, -1, -1)])
+    digits = F.hex(F.substring(raw, at + 1, F.lit(size)))
+    turned = F.concat(*[F.substring(digits, F.lit(i * 2 + 1), F.lit(2)) for i in range(size - 1, -1, -1)])
     return F.when(F.octet_length(raw) >= at + size, F.conv(turned, 16, 10).cast("long"))
 
 
