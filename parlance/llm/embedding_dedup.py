@@ -9,10 +9,12 @@ the number of vectors a label, and is ``FEWEST`` at least.
 A vector searches its own label's grid by multi-sequence traversal: with a queue over the two
 orders of words it visits cells by growing bound, the least distance that anything in a cell
 can have from it. What lies in a cell is on its word's side of the midplane between its word
-and the query's own nearest word, so the bound is sound, and nothing within the threshold is
-missed where the traversal goes on to the threshold's radius. It ends earlier, at the bound
-within which the target recall of the sample's own linked pairs is found, if the sample has
-``ENOUGH`` such pairs. Candidates are verified by their cosine in double precision.
+and the query's own nearest word, so the bound is sound, and the traversal goes on to the
+threshold's radius: the target recall is 1, nothing within the threshold is missed. If a lower
+``recall`` is asked for, it ends at the bound within which that share of the sample's own linked
+pairs is found, if the sample has ``ENOUGH`` such pairs. Candidates are verified by their
+cosine in double precision. Vectors whose squares would leave the range of doubles are first
+divided by a power of two, which changes no cosine.
 
 Equal vectors of a label are searched for once, with their number. A cell's members and its
 queries are cut into blocks of at most ``BLOCK``, and every pair of blocks is worked on by
@@ -41,10 +43,12 @@ from pyspark.sql import functions as F
 from parlance.llm.common import stored
 from parlance.llm.components import Forest, connected_components
 
-COSINE, SAMPLE, BLOCK = 0.98, 8_192, 1024
+COSINE, LOWER, SAMPLE, BLOCK = 0.98, 0.35, 8_192, 1024
 #: Vectors of a label that a cell should hold on average; the fewest and the most words of a codebook.
 CELL, FEWEST, MOST_WORDS = 128, 4, 512
-RECALL, ENOUGH = 0.999, 1_000
+ENOUGH = 1_000
+#: Norms whose squares stay well inside of doubles.
+SMALL, LARGE = 1e-140, 1e140
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -134,7 +138,7 @@ class MultiIndex:
             self.reach = min(self.reach, float(np.quantile(found, recall, method="higher")))
 
 
-def fit(vectors: DataFrame, n: int, cosine: float, labels: int, recall: float = RECALL) -> MultiIndex | None:
+def fit(vectors: DataFrame, n: int, cosine: float, labels: int, recall: float | None = None) -> MultiIndex | None:
     """Codebooks from a bounded sample; their size follows the number of vectors a label. Vectors of
     another length than most of the sample have no index and are compared in blocks."""
     rows = vectors.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id", "label", "v").select("label", "v").limit(SAMPLE).collect()
@@ -150,7 +154,8 @@ def fit(vectors: DataFrame, n: int, cosine: float, labels: int, recall: float =
     moved = whole - np.array([means[k] for k in names.tolist()])
     half = size // 2
     index = MultiIndex(codebook(moved[:, :half], words), codebook(moved[:, half:], words), cosine, means)
-    index.calibrate(x, names.astype(str), cosine, recall)
+    if recall is not None:
+        index.calibrate(x, names.astype(str), cosine, recall)
     return index
 
 
@@ -227,13 +232,16 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("vec_id", "links", "root"))})
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
-    """``embeddings`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float | None = None) -> DataFrame:
+    """``embeddings`` (vec_id, embedding, label): vec_id, n_links, component_id, kept; without ``recall`` all links."""
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
-    # a component that is null, NaN or infinite makes the squares' sum neither finite nor positive
-    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    good = F.coalesce((squares > 0) & (squares < float("inf")), F.lit(False)) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
-    valid = stored(rows.where(good), "vectors")
+    # null if a component is, NaN or infinite if one is
+    largest = F.aggregate("v", F.lit(0.0), lambda s, x: F.when(s.isNull() | x.isNull(), F.lit(None).cast("double")).when(F.abs(x) <= s, s).otherwise(F.abs(x)))
+    finite = (largest > 0) & (largest < float("inf"))
+    good = F.coalesce(finite, F.lit(False)) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
+    power = F.pow(F.lit(2.0), F.floor(F.log2("largest")))
+    scaled = F.when(F.col("largest").between(SMALL, LARGE), F.col("v")).otherwise(F.transform("v", lambda x: x / power))
+    valid = stored(rows.where(good).withColumn("largest", largest).withColumn("v", scaled).drop("largest"), "vectors")
     equal = valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = stored(equal, "equal")
     total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
@@ -267,8 +275,14 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-#: The same by all pairs of vectors of a label.
-OP2_SQL = f"""
+def embedding_links_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at ``LOWER``, where the given vectors have links."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), LOWER)
+
+
+def _sql(cosine: float) -> str:
+    """The same by all pairs of vectors of a label."""
+    return f"""
 WITH RECURSIVE v AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
 ), ok AS (
@@ -276,7 +290,7 @@ WITH RECURSIVE v AS (
     WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
     SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
-    WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {COSINE}
+    WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= {cosine}
 ), reach(a, b) AS (
     SELECT vec_id, vec_id FROM v UNION SELECT a, y FROM reach JOIN links ON x = b
 ), c AS (
@@ -286,3 +300,6 @@ WITH RECURSIVE v AS (
 )
 SELECT a AS vec_id, coalesce(n, 0)::BIGINT AS n_links, b AS component_id, a = b AS kept FROM c LEFT JOIN n ON x = a
 """
+
+
+OP2_SQL, LOWER_SQL = _sql(COSINE), _sql(LOWER)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from parlance.llm.brown_lm import op10_brown_lm
 from parlance.llm.centroid_clusters import OP11_SQL, op11_centroid_clusters
 from parlance.llm.decontaminate import op8_decontamination
-from parlance.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
+from parlance.llm.embedding_dedup import LOWER_SQL, OP2_SQL, embedding_links_lower, op2_embedding_dedup
 from parlance.llm.html_text import OP13_SQL, op13_html_text
 from parlance.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from parlance.llm.line_dedup import op4_line_dedup
@@ -30,6 +30,7 @@ QUERIES = {
     "op11_centroid_clusters": op11_centroid_clusters,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_html_text": op13_html_text,
+    "embedding_links_lower": embedding_links_lower,
 }
 
 #: Where SQL is missing it can't express the operator (see tests/llm). op13's SQL reads pages of one
@@ -41,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op11_centroid_clusters": OP11_SQL,
     "op12_spelling_variants": OP12_SQL,
     "op13_html_text": OP13_SQL,
+    "embedding_links_lower": LOWER_SQL,
 }

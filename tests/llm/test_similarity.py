@@ -189,6 +189,16 @@ def clustered(n, labels=3, seed=4):
     return x, (of % labels)
 
 
+def test_norms_beyond_doubles(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=16)
+    rows = [(i, (x * s).tolist(), 1) for i, s in enumerate((1.0, 1e200, 1e-200, 3e307 / np.abs(x).max(), 1e-320, -1e200))]
+    rows += [(10, [0.0] * 16, 1), (11, [1e200] * 15 + [float("inf")], 1), (12, (x * 1e200).tolist(), None), (13, [None] * 16, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i] for i in (0, 1, 2, 3)] == [(3, 0)] * 4 or [got[i] for i in (0, 1, 2, 3)] == [(4, 0)] * 4  # 1e-320 keeps few bits
+    assert all(got[i] == (0, i) for i in (5, 10, 11, 12, 13))
+
+
 def test_recall_of_the_traversal():
     """Of the index alone, 16 words a book: at the target without and with an earlier end."""
     x, labels = clustered(3000)
