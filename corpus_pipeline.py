@@ -2,8 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's ``docs``; all but the last return the columns of
-documents. Where a stage tells documents apart it does so by their id and the hash of their
-text, so rows without an id, and different texts of one id, are documents of their own.
+documents. Where a stage tells documents apart it does so by 128 bits of their id and text, so rows without an id, and different texts of one id, are documents of their own.
 
 Edge cases of every stage: null and empty texts pass (quality scores them as empty ones); ties
 and repeated rows as said below; very long texts are worked on whole; an empty table gives an
@@ -24,12 +23,29 @@ from parlance.llm.mixing import TARGETS, mix
 from parlance.llm.quality import CUT, scored, train
 from parlance.llm.token_output import read_documents, write_sequences
 
+#: Keys that different documents may share: some are at 10^11 documents.
+SHARED = 10_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def key_of() -> Column:
-    """Tells documents apart."""
-    return F.xxhash64("doc_id", "text").alias("key")
+    """64 bits of a document."""
+    return F.xxhash64("doc_id", "text")
+
+
+def check_of() -> Column:
+    """64 other bits of it."""
+    return F.xxhash64(F.lit(1), "text", "doc_id")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``, a number that tells documents apart by 128 bits: its 64 bits, or where documents
+    share these and differ in the 64 others, those. Few do (n squared / 2^65), so they are listed."""
+    seen = docs.groupBy(key_of().alias("key")).agg(F.min(check_of()).alias("least"), F.max(check_of()).alias("most"))
+    shared = [r.key for r in seen.where("least <> most").select("key").limit(SHARED + 1).collect()]
+    if len(shared) > SHARED:
+        raise RuntimeError(f"more than {SHARED} keys are shared by different documents")
+    return docs.withColumn("key", F.when(key_of().isin(shared), check_of()).otherwise(key_of()) if shared else key_of())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words all stay."""
     ship(spark)
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\t-\r]"), F.lit(False))
-    docs = docs.select(*COLUMNS, key_of(), has_words.alias("has_words"))
+    docs = keyed(docs.select(*COLUMNS)).withColumn("has_words", has_words)
     some = docs.where("has_words").drop("has_words")
     found = jaccard_components(some.select(F.col("key").alias("doc_id"), "text"), width=5, percent=80)
     ids = some.select("key", "doc_id").distinct().join(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "key")
@@ -59,7 +75,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark; rows equal in id and text go or stay together."""
     ship(spark)
-    docs = docs.select(*COLUMNS, key_of())
+    docs = keyed(docs.select(*COLUMNS))
     found = contaminated(docs.select(F.col("key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
