@@ -48,6 +48,16 @@ def test_near_duplicates_edges(spark):
     assert plain(out) == sorted(want, key=str)
 
 
+def test_documents_that_share_a_key(spark, monkeypatch):
+    """Where 64 bits are the same, the other 64 tell documents apart."""
+    want = plain(pipeline.near_duplicates(spark, frame(spark, ROWS), DIR))
+    monkeypatch.setattr(pipeline, "key_of", lambda: F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)))
+    assert plain(pipeline.near_duplicates(spark, frame(spark, ROWS), DIR)) == want
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    rows = [*ROWS, (77, f"before it {item} and after it", "en", "a")]
+    assert plain(pipeline.decontamination(spark, frame(spark, rows), DIR)) == sorted(ROWS, key=str)
+
+
 def test_near_duplicates_of_the_table(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
