@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from parlance.plans import queries, table_queries
+from parlance.plans import event_queries, frame_queries, queries, table_queries
 
-QUERIES = queries.QUERIES | table_queries.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | table_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | table_queries.QUERIES | frame_queries.QUERIES | event_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | table_queries.ORACLE_SQL | frame_queries.ORACLE_SQL | event_queries.ORACLE_SQL
 
 DIR = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 
