@@ -43,8 +43,25 @@ BROADCAST_WINDOWS = 1_000_000
 #: Words after which the windows of texts are made, of several short ones at once.
 TOGETHER = 20_000
 
-NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
-UNITS = frozenset("% percent mm cm m km meter meters metre metres inch inches foot feet yard yards mile miles mg g kg gram grams tonne tonnes pound pounds lb ounce ounces ml l liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur gbp watt watts kw volt volts kb mb gb tb degree degrees celsius fahrenheit mph".split())
+#: Number words of English, German, French and Spanish, without those that are also articles or other common words.
+NUMBER_WORDS = frozenset(
+    (
+        "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+        " null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen milliarde milliarden"
+        " deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante soixante mille millions milliard milliards"
+        " cero dos tres cuatro cinco seis siete ocho nueve diez doce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones"
+    ).split()
+)
+#: Units, as they count after a number alone.
+UNITS = frozenset(
+    (
+        "% percent mm cm m km meter meters metre metres inch inches foot feet yard yards mile miles mg g kg gram grams tonne tonnes pound pounds lb ounce ounces ml l liter liters litre litres"
+        " second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur gbp watt watts kw volt volts kb mb gb tb degree degrees celsius fahrenheit mph"
+        " prozent metern kilometer zoll fuß meile meilen gramm kilogramm tonnen pfund litern sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren grad"
+        " pour-cent mètre mètres kilomètre kilomètres pouce pouces pied pieds gramme grammes kilogramme kilogrammes livre livres seconde secondes heure heures jour jours semaine semaines mois année années ans degré degrés"
+        " metro metros kilómetro kilómetros pulgada pulgadas pie pies gramo gramos kilogramo kilogramos tonelada toneladas litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años dólar dólares grado grados kmh"
+    ).split()
+)
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"\d[\d.,:/]*")
