@@ -33,27 +33,27 @@ def _touching(words: DataFrame, turns: DataFrame, bucket: int) -> DataFrame:
 
 
 def nearest_turn(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """words' key and ``near``: label of the turn at the smallest gap, for words that touch none.
+    """``words`` with ``near``: label of the turn at the smallest gap, for words that touch none.
 
     Of equal gaps the earliest turn. The last turn to end before the word, and the first to start
     after it, are carried along the meeting's times.
     """
-    turn = F.struct("t0", "t1", "label")
+    kind = turn_type(turns)
+    none, turn = F.lit(None).cast(kind), F.struct("t0", "t1", "label")
     t = turns.select("meeting_id", F.col("lo").alias("t0"), F.col("hi").alias("t1"), "label")
-    ends = t.select("meeting_id", F.col("t1").alias("at"), turn.alias("before"), F.lit(None).cast(turn_type(turns)).alias("after"))
-    starts = t.select("meeting_id", F.col("t0").alias("at"), F.lit(None).cast(turn_type(turns)).alias("before"), turn.alias("after"))
-    none = F.lit(None).cast(turn_type(turns))
-    w = words.select(*WORD, "lo", "hi", F.col("lo").alias("at"), none.alias("before"), none.alias("after"))
+    ends = t.select("meeting_id", F.col("t1").alias("at"), turn.alias("before"), none.alias("after"))
+    starts = t.select("meeting_id", F.col("t0").alias("at"), none.alias("before"), turn.alias("after"))
+    w = words.select("meeting_id", F.col("lo").alias("at"), none.alias("before"), none.alias("after"), F.struct(*words.columns).alias("own"))
     rows = w.unionByName(ends, allowMissingColumns=True).unionByName(starts, allowMissingColumns=True)
     up = Window.partitionBy("meeting_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     down = Window.partitionBy("meeting_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # the latest end, of equal ones the earliest turn; the earliest start
     last = F.max(F.when(F.col("before").isNotNull(), F.struct(F.col("before.t1").alias("t1"), (-F.col("before.t0")).alias("back"), F.col("before.label").alias("label")))).over(up)
     first = F.min("after").over(down)
-    found = rows.withColumns({"last": last, "first": first}).where("word_no is not null")
-    past, ahead = F.col("lo") - F.col("last.t1"), F.col("first.t0") - F.col("hi")
+    found = rows.withColumns({"last": last, "first": first}).where("own is not null")
+    past, ahead = F.col("own.lo") - F.col("last.t1"), F.col("first.t0") - F.col("own.hi")
     near = F.when(past.isNull() | (ahead < past), F.col("first.label")).otherwise(F.col("last.label"))
-    return found.select(*WORD, near.alias("near"))
+    return found.select("own.*", near.alias("near"))
 
 
 def turn_type(turns: DataFrame) -> str:
@@ -71,34 +71,39 @@ def assign(words: DataFrame, turns: DataFrame, tie_break: str = "floor", bucket:
         raise ValueError(f"tie_break is one of {', '.join(TIE_BREAKS)}, not {tie_break!r}")
     turns = turns.where("hi >= lo")
     met = _touching(words, turns, bucket)
-    shared = F.least("hi", "t1") - F.greatest("lo", "t0")
-    turn = F.struct("t0", "t1", "label")
-    by_label = met.groupBy(*WORD, "label").agg(
-        F.sum(shared).alias("total"), F.min(F.when(shared > 0, turn)).alias("first"), F.max(F.when(shared > 0, turn)).alias("last"), F.min(turn).alias("touched")
+    if tie_break == "first_seen":
+        seen = turns.groupBy("meeting_id", "label").agg(F.min(F.struct("lo", "hi")).alias("seen"))
+        met = met.join(seen, ["meeting_id", "label"])
+    # words and what they meet are grouped by word once: label by label, then over labels
+    met = met.select(*WORD, "label", (F.least("hi", "t1") - F.greatest("lo", "t0")).alias("shared"), F.struct("t0", "t1", "label").alias("turn"), *(["seen"] if tie_break == "first_seen" else []))
+    rows = words.select(*WORD, F.struct(*words.columns).alias("own")).unionByName(met, allowMissingColumns=True).repartition(*WORD)
+    key = {"latest_start": F.max(F.when(F.col("shared") > 0, F.col("turn"))), "first_seen": F.min(F.struct("seen", "label")) if tie_break == "first_seen" else None}
+    by_label = rows.groupBy(*WORD, "label").agg(
+        F.max("own").alias("own"), F.sum("shared").alias("total"), key.get(tie_break, F.min(F.when(F.col("shared") > 0, F.col("turn")))).alias("key"), F.min("turn").alias("touched")
     )
-    seen = turns.groupBy("meeting_id", "label").agg(F.min(F.struct("lo", "hi")).alias("seen"))
-    by_label = by_label.join(seen, ["meeting_id", "label"])
-    order = {"latest_start": (F.max, "last"), "first_seen": (F.min, F.struct("seen", "label"))}.get(tie_break, (F.min, "first"))
-    most = F.max("total").over(Window.partitionBy(*WORD))
-    tied = (F.col("total") == most) & (most > 0)
-    key = F.col(order[1]) if isinstance(order[1], str) else order[1]
-    picked = by_label.withColumns({"tied": tied, "most": most, "key": key}).groupBy(*WORD).agg(
-        order[0](F.when(F.col("tied"), F.col("key"))).alias("pick"),
-        F.array_sort(F.collect_list(F.when(F.col("tied"), F.col("label")))).alias("labels"),
-        F.max("most").alias("most"),
-        F.min("touched").alias("touched"),
-    )
-    rest = words.join(picked.select(*WORD), [*WORD], "left_anti")
-    near = nearest_turn(rest, turns)
-    known = words.join(picked, [*WORD], "left").join(near, [*WORD], "left")
-    label = F.when(F.col("most") > 0, F.col("pick.label")).otherwise(F.coalesce("touched.label", "near", F.lit(fallback)))
-    how = (
-        F.when((F.col("most") > 0) & (F.size("labels") > 1), "tie").when(F.col("most") > 0, "overlap").when(F.coalesce("touched.label", "near").isNotNull(), "nearest").otherwise("fallback")
-    )
-    found = known.select(*[words[c] for c in words.columns], label.alias("label"), how.alias("how"), "labels")
+    found = by_label.groupBy(*WORD).agg(F.max("own").alias("own"), F.max("total").alias("most"), F.min("touched").alias("touched"), F.collect_list(F.when(F.col("total") > 0, F.struct("total", "key", "label"))).alias("met"))
+    tied = F.filter("met", lambda x: x["total"] == F.col("most"))
+    keys = F.array_sort(F.transform("tied", lambda x: x["key"]))
+    pick = (F.element_at(keys, -1) if tie_break == "latest_start" else F.element_at(keys, 1))["label"]
+    told = found.withColumn("tied", tied).select("own.*", F.when(F.size("tied") > 0, pick).alias("pick"), F.array_sort(F.transform("tied", lambda x: x["label"])).alias("labels"), "touched")
+    columns = [F.col(c) for c in words.columns]
+    label = F.coalesce("pick", "touched.label")
+    how = F.when(F.size("labels") > 1, "tie").when(F.size("labels") == 1, "overlap").otherwise("nearest")
+    near = nearest_turn(told.where("touched is null").select(*columns), turns)
+    near = near.select(*columns, F.coalesce("near", F.lit(fallback)).alias("label"), F.when(F.col("near").isNull(), "fallback").otherwise("nearest").alias("how"), F.array().cast("array<string>").alias("labels"))
+    found = told.where("touched is not null").select(*columns, label.alias("label"), how.alias("how"), "labels").unionByName(near)
     return _previous(found) if tie_break == "previous_word" else found.drop("labels")
 
 
+def assign_whole(segments: DataFrame, words: DataFrame, turns: DataFrame, tie_break: str = "floor", shortest: int = SHORTEST) -> DataFrame:
+    """meeting_id, seg_no, label, lo, hi, text, how of the segments (meeting_id, seg_no, lo, hi, text) that have a text but no
+    words: each takes a label as a word would. No word comes before it, so ``previous_word`` is ``floor``."""
+    bare = segments.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(words.select("meeting_id", "seg_no").distinct(), ["meeting_id", "seg_no"], "left_anti")
+    as_words = bare.select("meeting_id", "seg_no", F.lit(0).alias("word_no"), F.col("text").alias("word"), "lo", "hi")
+    found = assign(as_words, turns, "floor" if tie_break == "previous_word" else tie_break)
+    return found.select("meeting_id", "seg_no", "label", "lo", F.greatest("hi", F.col("lo") + shortest).alias("hi"), F.col("word").alias("text"), "how")
+
+
 def _previous(found: DataFrame) -> DataFrame:
     """A tied word follows the word before it, which may itself have followed: one pass in order."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != "labels")
@@ -114,10 +119,15 @@ def _previous(found: DataFrame) -> DataFrame:
     return found.groupBy("meeting_id").applyInArrow(follow, kinds)
 
 
-def assignment_stats(assigned: DataFrame) -> DataFrame:
-    """meeting_id and how many words came by each way."""
+def assignment_stats(assigned: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """meeting_id and how many words came by each way; with ``whole`` (``assign_whole``) the segments without words, too."""
     ways = [F.count_if(F.col("how") == x).alias(x) for x in ("overlap", "tie", "nearest", "fallback")]
-    return assigned.groupBy("meeting_id").agg(F.count("*").alias("words"), *ways)
+    found = assigned.groupBy("meeting_id").agg(F.count("*").alias("words"), *ways)
+    if whole is None:
+        return found
+    bare = whole.groupBy("meeting_id").agg(F.count("*").alias("segments_without_words"))
+    both = found.join(bare, "meeting_id", "full_outer")
+    return both.select("meeting_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in both.columns if c != "meeting_id"])
 
 
 def speaker_runs(assigned: DataFrame, shortest: int = SHORTEST) -> DataFrame:

@@ -183,7 +183,8 @@ def meeting_scores(segments: DataFrame, collar: int = 0, duration: int | None =
     """One row per meeting: components of the error rate, the same inside overlapped reference
     time under the same mapping, the Jaccard error rate, the mapping, and a row per speaker.
 
-    A column ``duration`` of the segments gives each meeting its own scored region."""
+    A column ``duration`` of the segments gives each meeting its own scored region. Segments without a side,
+    a label or a length aren't scored."""
     if collar < 0:
         raise ValueError("a collar is a finite number, 0 or more")
 
@@ -198,14 +199,15 @@ def meeting_scores(segments: DataFrame, collar: int = 0, duration: int | None =
     kind = segments.schema["meeting_id"].dataType.simpleString()
     text = kind == "string"
     schema = _arrow_schema(text)
-    return segments.select("meeting_id", "side", "label", "lo", "hi", *(["duration"] if own else [])).where("hi > lo").groupBy("meeting_id").applyInArrow(score, SCORES.replace("meeting_id long", "meeting_id string") if text else SCORES)
+    return segments.select("meeting_id", "side", "label", "lo", "hi", *(["duration"] if own else [])).where("hi > lo and side in ('R', 'H') and label is not null").groupBy("meeting_id").applyInArrow(score, SCORES.replace("meeting_id long", "meeting_id string") if text else SCORES)
 
 
-def rates(scores: DataFrame, prefix: str = "") -> DataFrame:
+def rates(scores: DataFrame, prefix: str = "", silent: bool = False) -> DataFrame:
     """meeting_id, total, miss, fa, conf, correct, der of ``meeting_scores``; with the prefix
-    ``overlap_`` those of overlapped time. Meetings without any speech in the scored time are left out."""
+    ``overlap_`` those of overlapped time. Meetings without any speech in the scored time are left out, or
+    with ``silent`` have zeros and a null rate."""
     parts = {x: F.col(f"{prefix}{x}").alias(x) for x in ("total", "miss", "fa", "conf", "correct")}
-    rows = scores.select("meeting_id", *parts.values()).where("total + fa > 0")
+    rows = scores.select("meeting_id", *parts.values()).where(F.lit(silent) | (F.col("total") + F.col("fa") > 0))
     return rows.withColumn("der", F.try_divide(F.col("miss") + F.col("fa") + F.col("conf"), "total"))
 
 

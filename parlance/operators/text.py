@@ -48,23 +48,23 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _below_thousand(n: Column) -> Column:
+def _below_thousand(n: int) -> str:
     """Words of 1 to 999; nothing for 0."""
-    ones, tens = (F.array(*map(F.lit, ["", *words])) for words in (ONES[1:], ["", *TENS]))
-    hundreds = F.when(n >= 100, F.concat(F.get(ones, F.floor(n / 100).cast("int")), F.lit(" hundred")))
-    rest = (n % 100).cast("int")
-    two = F.when(rest < 20, F.get(ones, rest)).otherwise(F.concat_ws(" ", F.get(tens, F.floor(rest / 10).cast("int")), F.nullif(F.get(ones, rest % 10), F.lit(""))))
-    return F.concat_ws(" ", hundreds, F.nullif(two, F.lit("")))
+    hundreds = [f"{ONES[n // 100]} hundred"] if n >= 100 else []
+    rest = n % 100
+    small = [ONES[rest]] if 0 < rest < 20 else [TENS[rest // 10 - 2], *([ONES[rest % 10]] if rest % 10 else [])] if rest else []
+    return " ".join(hundreds + small)
 
 
 def integer_words(n: Column) -> Column:
-    """English words of whole numbers from 0 to 10^12 - 1, without "and"; null for others."""
+    """English words of whole numbers from 0 to 10^12 - 1, without "and"; null for others. The words of each group
+    of three digits stand in one literal array."""
+    groups = F.array(*[F.lit(_below_thousand(i)) for i in range(1000)])
 
     def words(n: Column) -> Column:
-        groups = F.transform(F.array(*[F.struct((F.floor(n / scale) % 1000).alias("n"), F.lit(name).alias("name")) for scale, name in SCALES]), lambda g: g)
-        some = F.filter(groups, lambda g: g["n"] > 0)
-        whole = F.array_join(F.transform(some, lambda g: F.rtrim(F.concat_ws(" ", _below_thousand(g["n"]), g["name"]))), " ")
-        return F.when((n >= 0) & (n < 10**12), F.when(n == 0, F.lit(ONES[0])).otherwise(whole))
+        group = lambda scale: (F.floor(n / scale) % 1000).cast("int")
+        parts = [F.when(group(scale) > 0, F.concat(F.get(groups, group(scale)), F.lit(f" {name}" if name else ""))) for scale, name in SCALES]
+        return F.when((n >= 0) & (n < 10**12), F.when(n == 0, F.lit(ONES[0])).otherwise(F.concat_ws(" ", *parts)))
 
     return _let(n, words)
 

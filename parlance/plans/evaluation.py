@@ -150,12 +150,14 @@ def summary(scores: DataFrame, keys: tuple[str, ...] = ROLLUPS[0], sets: tuple[t
 
 
 def markdown(scores: DataFrame) -> DataFrame:
-    """One row, text: the headline table, a line per meeting."""
+    """part, meeting_id, line: the headline table, its two first lines and one for each meeting; to be written in the
+    order of part and meeting_id."""
     cell = lambda m: F.coalesce(F.format_string("%.4f", F.col(f"`{m}`").cast("double")), F.lit("–"))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("meeting_id").cast("string"), *[cell(m) for _, m in HEADLINE]), F.lit(" |"))
-    head = "| meeting | " + " | ".join(n for n, _ in HEADLINE) + " |\n|---|" + "---:|" * len(HEADLINE)
-    lines = scores.select("meeting_id", line.alias("line")).agg(F.array_sort(F.collect_list(F.struct("meeting_id", "line"))).alias("x"))
-    return lines.select(F.concat_ws("\n", F.lit(head), F.transform("x", lambda x: x["line"])).alias("text"))
+    head = ["| meeting | " + " | ".join(n for n, _ in HEADLINE) + " |", "|---|" + "---:|" * len(HEADLINE)]
+    kind = scores.schema["meeting_id"].dataType.simpleString()
+    first = scores.sparkSession.createDataFrame(list(enumerate(head)), "part int, line string").select("part", F.lit(None).cast(kind).alias("meeting_id"), "line")
+    return first.unionByName(scores.select(F.lit(len(head)).alias("part"), "meeting_id", line.alias("line")))
 
 
 def report(scores: DataFrame, kind: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import catalog
+from parlance.operators import alignment, catalog
 from parlance.plans import evaluation
 from parlance.plans import queries as annotations
-from parlance.plans.tables import SEG_SQL, dialogue, micros, segments, table
+from parlance.plans.tables import SEG_SQL, SLOT, dialogue, micros, segments, spoken, table
 from parlance.sources import lines
 from parlance.streaming import timers
 
@@ -80,11 +80,23 @@ def rate_summary(spark, sf_dir):
     return found.select("dataset", "system", "variant", "level", F.round("macro", 6).alias("macro"), F.round("micro", 6).alias("micro"), "meetings")
 
 
-QUERIES = {f.__name__: f for f in (request_sessions, accepted_in_time, stalled_transfers, nearest_centroid, rttm_lenient, stm_nist, view_agreement, rate_summary)}
+def whole_segments(spark, sf_dir):
+    """Every third turn of the conversations has no words and takes a label as a whole."""
+    words, turns = spoken(spark, sf_dir)
+    rows = dialogue(spark, sf_dir).where("side = 'R'").select("meeting_id", "seg_no", "lo", "hi", "text")
+    return alignment.assign_whole(rows, words.where("seg_no % 3 <> 0"), turns, "latest_start").select("meeting_id", "seg_no", "label", "how")
+
+
+QUERIES = {f.__name__: f for f in (whole_segments, request_sessions, accepted_in_time, stalled_transfers, nearest_centroid, rttm_lenient, stm_nist, view_agreement, rate_summary)}
 
 _PLACED = lambda name, label, hi: f"{name} AS (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY lo, {hi}, {label}) AS place, {label} AS label, lo, {hi} AS hi FROM ref)"
 
+_WHOLE = annotations._assigned_sql("arg_max(label, last)").replace(
+    "WITH ", f"WITH whole AS (SELECT conv_id AS meeting_id, turn::BIGINT AS seg_no, 0 AS word_no, text AS word, turn::BIGINT * {SLOT} AS lo, turn::BIGINT * {SLOT} + 8000000 AS hi FROM conversations WHERE turn % 3 = 0 AND trim(text) <> ''), ", 1
+).replace("FROM words w", "FROM whole w").replace("JOIN words USING", "JOIN whole USING")
+
 ORACLE_SQL = {
+    "whole_segments": f"{_WHOLE} SELECT meeting_id, seg_no, label, how FROM found",
     "request_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_type FROM events
     ), m AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 21600000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)
     ), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM m)

@@ -111,15 +111,17 @@ def missing_hypotheses(spark, sf_dir):
 
 
 def _frames(spark, sf_dir):
-    """Data frames of parts' names, as bytes; some are cut."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("session"), (F.col("p_partkey") * 7).alias("offset"), F.encode(F.substring("p_name", 1, 7), "utf-8").alias("body"))
+    """Data frames of parts' names, as bytes; some are cut, some end before their offset, some are of another type."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("session"), (F.col("p_partkey") * 7).alias("offset"), F.encode("p_name", "utf-8").alias("body"))
     whole = frames.data_frame(F.col("session"), F.col("offset"), F.col("body"))
-    return rows.select("session", "offset", "body", F.when(F.col("session") % 5 == 0, F.substring(whole, F.lit(1), F.octet_length(whole) - 2)).otherwise(whole).alias("raw"))
+    size = F.octet_length(whole)
+    raw = F.when(F.col("session") % 13 == 0, F.substring(whole, F.lit(1), F.lit(7))).when(F.col("session") % 11 == 0, F.concat(F.lit(b"\x01"), F.substring(whole, F.lit(2), size)))
+    return rows.select("session", "offset", "body", raw.when(F.col("session") % 5 == 0, F.substring(whole, F.lit(1), size - 2)).otherwise(whole).alias("raw"))
 
 
 def frame_decode(spark, sf_dir):
     found = frames.file_data(_frames(spark, sf_dir).select("raw"))
-    return found.select("session", F.col("offset").alias("place"), "length", F.decode("payload", "utf-8").alias("payload"), F.col("error").isNull().alias("good"))
+    return found.select("session", F.col("offset").alias("place"), "length", F.decode("payload", "utf-8").alias("payload"), F.col("error").isNull().alias("good"), F.coalesce("error", F.lit("")).alias("error"))
 
 
 def session_names(spark, sf_dir):
@@ -216,8 +218,10 @@ ORACLE_SQL = {
         count(*) FILTER (a < 450 AND greatest(a, b) > 450) AS clipped FROM u GROUP BY 1""",
     "missing_hypotheses": f"""WITH {_SEG}, r AS (SELECT DISTINCT meeting_id FROM seg WHERE side = 'R' AND label = 'view' AND lo % 3 = 0), h AS (SELECT DISTINCT meeting_id FROM seg WHERE side = 'H' AND lo % 7 = 0 AND meeting_id % 5 > 0)
         SELECT coalesce(r.meeting_id, h.meeting_id) AS meeting_id, CASE WHEN h.meeting_id IS NULL THEN 'missing' WHEN r.meeting_id IS NULL THEN 'unknown' ELSE 'scored' END AS status FROM r FULL JOIN h ON r.meeting_id = h.meeting_id""",
-    "frame_decode": """SELECT p_partkey AS session, p_partkey * 7 AS place, length(left(p_name, 7))::BIGINT AS length,
-        CASE WHEN p_partkey % 5 = 0 THEN left(p_name, greatest(0, length(left(p_name, 7)) - 2)) ELSE left(p_name, 7) END AS payload, TRUE AS good FROM part""",
+    "frame_decode": """WITH p AS (SELECT p_partkey AS session, p_partkey % 13 = 0 AS short, p_name AS n, p_partkey FROM part)
+        SELECT session, CASE WHEN NOT short THEN p_partkey * 7 END AS place, CASE WHEN NOT short THEN length(n)::BIGINT END AS length,
+        CASE WHEN short THEN NULL WHEN p_partkey % 11 <> 0 AND p_partkey % 5 = 0 THEN left(n, greatest(0, length(n) - 2)) ELSE n END AS payload,
+        NOT short AND p_partkey % 11 <> 0 AS good, CASE WHEN short THEN 'too short for the offset' WHEN p_partkey % 11 = 0 THEN 'not a data frame' ELSE '' END AS error FROM p""",
     "session_names": "SELECT o_orderkey, CASE WHEN o_orderkey * 100003 < 100 THEN 'log' || o_orderkey * 100003 ELSE strftime(make_timestamp(o_orderkey * 100003 * 1000000), '%Y-%m-%d_%H-%M-%S') || '.opus' END AS name FROM orders",
     "accepted_frames": f"""WITH {_SEG}, b AS (SELECT meeting_id AS stream, seg_no AS seq, max(seg_no) OVER (PARTITION BY meeting_id ORDER BY lo * 100000 + seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM seg)
         SELECT stream, seq FROM b WHERE seq > coalesce(m, -1)""",
