@@ -383,7 +383,7 @@ _SPEAKERS = f"""{_MAPPED}, mapped AS (SELECT meeting_id, ref, hyp FROM mapping
     LEFT JOIN hit ON hit.meeting_id = a.meeting_id AND hit.lo = a.lo AND CASE WHEN a.side = 'R' THEN hit.ref ELSE hit.hyp END = a.label
 ), said AS (
     SELECT meeting_id, label AS speaker, d AS total, CASE WHEN matched THEN d ELSE 0 END AS correct, CASE WHEN matched THEN 0 ELSE d * greatest(0, r - h)::DOUBLE / (r - c) END AS miss,
-           CASE WHEN matched THEN 0 ELSE d * (least(r, h) - c)::DOUBLE / (r - c) END AS conf, 0 AS fa FROM each WHERE side = 'R'
+           CASE WHEN matched THEN 0 ELSE d * (least(r, h) - c)::DOUBLE / (r - c) END AS conf, 0::DOUBLE AS fa FROM each WHERE side = 'R'
     UNION ALL SELECT e.meeting_id, coalesce(m.ref, 'hyp:' || label), 0, 0, 0, 0, CASE WHEN matched THEN 0 ELSE d * greatest(0, h - r)::DOUBLE / (h - c) END
     FROM each e LEFT JOIN mapped m ON m.meeting_id = e.meeting_id AND m.hyp = e.label WHERE side = 'H'
 )
