@@ -45,11 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As ``stored``, with the path, for tables that a later one replaces."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    # shuffle files of plans that nothing refers to go when the driver's JVM collects them
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def tidy(spark: SparkSession) -> None:
+    """Shuffle files of plans that nothing refers to go when the driver's JVM collects them: let it do so now."""
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
