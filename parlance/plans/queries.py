@@ -509,6 +509,12 @@ ORACLE_SQL = {
     "word_to_turn_floor": f"{_assigned_sql(_FLOOR)} SELECT meeting_id, seg_no, word_no, label, how FROM found",
     "word_to_turn_latest_start": f"{_assigned_sql('arg_max(label, last)')} SELECT meeting_id, seg_no, word_no, label, how FROM found",
     "word_to_turn_first_seen": f"{_assigned_sql('arg_min(label, seen)')} SELECT meeting_id, seg_no, word_no, label, how FROM found",
+    "word_to_turn_previous_word": f"""{_assigned_sql(_FLOOR).replace("WITH", "WITH RECURSIVE", 1)}, ties AS (SELECT meeting_id, seg_no, word_no, list(label) AS labels FROM tops WHERE total = most AND most > 0 GROUP BY 1, 2, 3
+        ), placed AS (SELECT meeting_id, seg_no, word_no, label, how, labels, row_number() OVER (PARTITION BY meeting_id ORDER BY seg_no, word_no) AS i FROM found LEFT JOIN ties USING (meeting_id, seg_no, word_no)
+        ), walk AS (
+            SELECT meeting_id, seg_no, word_no, label, how, i FROM placed WHERE i = 1
+            UNION ALL SELECT p.meeting_id, p.seg_no, p.word_no, CASE WHEN p.how = 'tie' AND list_contains(p.labels, w.label) THEN w.label ELSE p.label END, p.how, p.i FROM walk w JOIN placed p ON p.meeting_id = w.meeting_id AND p.i = w.i + 1
+        ) SELECT meeting_id, seg_no, word_no, label, how FROM walk""",
     "assignment_stats": f"""{_assigned_sql(_FLOOR)} SELECT meeting_id, count(*) AS words, count(*) FILTER (how = 'overlap') AS overlap, count(*) FILTER (how = 'tie') AS tie, count(*) FILTER (how = 'nearest') AS nearest, 0::BIGINT AS fallback FROM found GROUP BY 1""",
     "speaker_runs": f"""{_assigned_sql(_FLOOR)}, c AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS c FROM found WINDOW w AS (PARTITION BY meeting_id, seg_no ORDER BY word_no)
         ), r AS (SELECT *, sum(c) OVER (PARTITION BY meeting_id, seg_no ORDER BY word_no)::BIGINT AS run FROM c)

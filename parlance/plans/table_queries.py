@@ -222,6 +222,14 @@ ORACLE_SQL = {
         SELECT session, CASE WHEN NOT short THEN p_partkey * 7 END AS place, CASE WHEN NOT short THEN length(n)::BIGINT END AS length,
         CASE WHEN short THEN NULL WHEN p_partkey % 11 <> 0 AND p_partkey % 5 = 0 THEN left(n, greatest(0, length(n) - 2)) ELSE n END AS payload,
         NOT short AND p_partkey % 11 <> 0 AS good, CASE WHEN short THEN 'too short for the offset' WHEN p_partkey % 11 = 0 THEN 'not a data frame' ELSE '' END AS error FROM p""",
+    "binding_state": """WITH RECURSIVE e AS (
+        SELECT event_type || (user_id // 3) AS device, CASE WHEN event_id % 3 = 0 THEN 'unbind' ELSE 'bind' END AS kind, (user_id % 3)::VARCHAR AS owner,
+               row_number() OVER (PARTITION BY event_type || (user_id // 3) ORDER BY event_id) AS i FROM events
+    ), walk AS (
+        SELECT device, 0::BIGINT AS i, NULL::VARCHAR AS holder, 0::INT AS binds, NULL::VARCHAR AS last FROM (SELECT DISTINCT device FROM e)
+        UNION ALL SELECT device, i, CASE WHEN NOT good THEN holder WHEN kind = 'bind' THEN owner END, (binds + CASE WHEN good AND kind = 'bind' THEN 1 ELSE 0 END)::INT, CASE WHEN good THEN kind ELSE last END
+        FROM (SELECT e.*, holder, binds, last, (holder IS NULL OR holder = owner) AND (kind = 'bind' OR binds > 0) AS good FROM walk w JOIN e ON e.device = w.device AND e.i = w.i + 1)
+    ) SELECT device, last = 'bind' AS is_bind, binds FROM (SELECT *, row_number() OVER (PARTITION BY device ORDER BY i DESC) AS back FROM walk) WHERE back = 1 AND last IS NOT NULL""",
     "session_names": "SELECT o_orderkey, CASE WHEN o_orderkey * 100003 < 100 THEN 'log' || o_orderkey * 100003 ELSE strftime(make_timestamp(o_orderkey * 100003 * 1000000), '%Y-%m-%d_%H-%M-%S') || '.opus' END AS name FROM orders",
     "accepted_frames": f"""WITH {_SEG}, b AS (SELECT meeting_id AS stream, seg_no AS seq, max(seg_no) OVER (PARTITION BY meeting_id ORDER BY lo * 100000 + seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM seg)
         SELECT stream, seq FROM b WHERE seq > coalesce(m, -1)""",
