@@ -43,7 +43,7 @@ def languages(language: Column) -> Column:
 
 def file_name(session: Column) -> Column:
     """A recording's name: its number is a time in seconds, but for small ones. In the session's time zone."""
-    time = F.date_format(F.timestamp_seconds(session), "yyyy-MM-dd_HH-mm-ss")
+    time = F.date_format(F.timestamp_seconds(session), "y-MM-dd_HH-mm-ss")  # "yyyy" puts a sign before years of five digits
     return F.when(session < 100, F.concat(F.lit("log"), session.cast("string"))).otherwise(F.concat(time, F.lit(".opus")))
 
 
