@@ -16,10 +16,13 @@ pairs is found, if the sample has ``ENOUGH`` such pairs. Candidates are verified
 cosine in double precision. Vectors whose squares would leave the range of doubles are first
 divided by a power of two, which changes no cosine.
 
-Equal vectors of a label are searched for once, with their number. A cell's members and its
-queries are cut into blocks of at most ``BLOCK``, and every pair of blocks is worked on by
-itself as a matrix product, so no cell is collected in one place. It gives a count for each
-query and a spanning forest of links, never a row a pair.
+Equal vectors of a label are searched for once, with their number. A label's vectors, in the
+order of their cells, are cut into blocks, whose size grows with the label, so that there
+are about ``BLOCKS`` of them (each of ``BLOCK`` vectors at least and ``LARGEST`` at most). Two blocks meet if
+a vector of one visits a cell of the other, in one task and as matrix products of a few rows each.
+So a vector is sent once for each block that its own block meets, not once for each cell that it
+visits, and no cell is collected in one place. A pair of blocks gives a count for each vector and a
+spanning forest of links, never a row a pair.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, and
 null labels, link with nothing and are kept; vectors of different lengths link with nothing of
@@ -37,13 +40,16 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import stored
-from parlance.llm.components import Forest, connected_components
+from parlance.llm.components import connected_components
 
-COSINE, LOWER, SAMPLE, BLOCK = 0.98, 0.35, 8_192, 1024
+COSINE, LOWER, SAMPLE = 0.98, 0.35, 8_192
+#: Blocks of a label; the fewest and the most vectors of one; products that are looked at in one go.
+BLOCKS, BLOCK, LARGEST, PRODUCTS = 16, 1024, 32_768, 1 << 21
 #: Vectors of a label that a cell should hold on average; the fewest and the most words of a codebook.
 CELL, FEWEST, MOST_WORDS = 128, 4, 512
 ENOUGH = 1_000
@@ -159,77 +165,124 @@ def fit(vectors: DataFrame, n: int, cosine: float, labels: int, recall: float |
     return index
 
 
-def _postings(shared):
-    """For mapInArrow over vec_id, label, v, n: a row for the own cell and for each visited one."""
+def _fits(index: MultiIndex | None, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a batch (v) that the index has cells for, and their vectors."""
+    lengths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths == (index.size if index else -1))
+    return rows, _matrix(batch.column("v").take(pa.array(rows)))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def _cells(shared):
+    """For mapInArrow over vec_id, label, v, n: the same with a vector's cell, -1 without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                vectors, labels = some.column("v").to_pylist(), some.column("label").to_pylist()
-                fits = [index is not None and len(v) == index.size for v in vectors]
-                own = np.full(len(vectors), -1)
-                visits: list = [np.array([-1])] * len(vectors)
-                if any(fits):
-                    rows = np.flatnonzero(fits)
-                    cells, found = index.cells(index.moved(np.array([vectors[i] for i in rows]), [labels[i] for i in rows]))
-                    own[rows] = cells
-                    for i, v in zip(rows, found):
-                        visits[i] = v
-                take = np.concatenate([np.arange(len(vectors)), np.repeat(np.arange(len(vectors)), [len(v) for v in visits])])
-                cell = np.concatenate([own, *visits])
-                query = np.concatenate([np.zeros(len(vectors), bool), np.ones(len(take) - len(vectors), bool)])
-                picked = some.take(pa.array(take))
-                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cell, pa.int64()), pa.array(query)], names=[*picked.schema.names, "cell", "query"])
+            cell = np.full(batch.num_rows, -1)
+            rows, x = _fits(index, batch)
+            if len(rows):
+                (a, _), (b, _) = index.halves(index.moved(x, batch.column("label").take(pa.array(rows)).to_pylist()))
+                cell[rows] = a * len(index.books[1]) + b
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=[*batch.schema.names, "cell"])
 
     return run
 
 
-def _found(cosine: float):
-    """For mapInArrow over sorted blocks: per query its links, and a forest of them."""
-
-    def work(rows: list) -> list[tuple]:
-        queries, members = [r for r in rows if r[1]], [r for r in rows if not r[1]]
-        out, forest = [], Forest()
-        by_size: dict[int, list] = {}
-        for r in members:
-            by_size.setdefault(len(r[2]), []).append(r)
-        for size, own in by_size.items():
-            asked = [r for r in queries if len(r[2]) == size]
-            if not asked:
-                continue
-            x, y = np.array([r[2] for r in asked]), np.array([r[2] for r in own])
-            ids, n = np.array([r[0] for r in own]), np.array([r[3] for r in own])
-            norms = np.sqrt((y * y).sum(1))
-            dots = x @ y.T / (np.sqrt((x * x).sum(1))[:, None] * norms)
-            for i, r in enumerate(asked):
-                hit = dots[i] >= cosine
-                hit &= ids != r[0]
-                if hit.any():
-                    out.append((r[0], int(n[hit].sum()), None))
-                    for j in ids[hit].tolist():
-                        forest.join(r[0], j)
-        return out + [(x, 0, root) for x, root in forest.stars()]
+def _visits(shared):
+    """For mapInArrow over label, block, v: the cells that the vectors of a block visit; once for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        index = shared.value
         for batch in batches:
-            out = []
-            values = [batch.column(c).to_pylist() for c in ("label", "cell", "qb", "mb", "vec_id", "query", "v", "n")]
-            for label, cell, qb, mb, *row in zip(*values):
-                if (label, cell, qb, mb) != key:
-                    out += work(held) if held else []
-                    held, key = [], (label, cell, qb, mb)
-                held.append(row)
-            yield _rows(out)
-        yield _rows(work(held) if held else [])
+            labels, blocks = batch.column("label").to_pylist(), batch.column("block").to_pylist()
+            seen: dict[tuple, set] = {}
+            rows, x = _fits(index, batch)
+            for i in set(range(batch.num_rows)) - set(rows.tolist()):
+                seen.setdefault((labels[i], blocks[i]), set()).add(-1)
+            every = len(index.books[0]) * len(index.books[1]) if index else 0
+            for at in range(0, len(rows), 500):
+                some = rows[at : at + 500].tolist()
+                (_, u), (_, v) = index.halves(index.moved(x[at : at + 500], [labels[i] for i in some]))
+                for i, one, two in zip(some, u, v):
+                    cells = seen.setdefault((labels[i], blocks[i]), set())
+                    if len(cells) < every:
+                        cells.update(r * len(index.books[1]) + c for r, c in traversal(one, two, index.reach))
+            out = [(label, block, cell) for (label, block), cells in seen.items() for cell in cells]
+            kinds = (("label", pa.string()), ("block", pa.int64()), ("cell", pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     return run
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(("vec_id", "links", "root"))})
+def _merged(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Roots after the places p and q are linked; a root is the smallest place of its set."""
+    while (root[p] != root[q]).any():
+        low = np.minimum(root[p], root[q])
+        for side in (p, q):
+            np.minimum.at(root, root[side], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _pair(table: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two blocks (``second``: not of the first), or of one block with itself: ids with their links, ids with
+    a linked id that stands for their set."""
+    table = table.take(pa.compute.sort_indices(table, [("second", "ascending"), ("vec_id", "ascending")]))
+    ids, n, second = (table.column(c).to_numpy() for c in ("vec_id", "n", "second"))
+    column = table.column("v").combine_chunks()
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for size in np.unique(lengths):
+        mine = np.flatnonzero(lengths == size)
+        x = _matrix(column.take(pa.array(mine)))
+        norms = np.sqrt((x * x).sum(1))
+        own, others = (np.flatnonzero(second[mine] == k) for k in (False, True))
+        alone = not len(others) and not table.column("two")[0].as_py()
+        others = own if alone else others
+        step = max(1, PRODUCTS // max(1, len(others)))
+        for at in range(0, len(own) if len(others) else 0, step):
+            some = own[at : at + step]
+            hit = x[some] @ x[others].T / (norms[some][:, None] * norms[others]) >= cosine
+            a, b = np.nonzero(hit)
+            a, b = mine[some[a]], mine[others[b]]
+            apart = ids[a] != ids[b]
+            a, b = a[apart], b[apart]
+            np.add.at(links, a, n[b])
+            if not alone:
+                np.add.at(links, b, n[a])
+            root = _merged(root, a, b)
+    hit, joined = links > 0, root != np.arange(len(ids))
+    return ids[hit], links[hit], ids[joined], ids[root[joined]]
+
+
+def _found(cosine: float):
+    """For mapInArrow over sorted pairs of blocks: per vector its links, and a forest of them."""
+
+    def work(held: list) -> pa.RecordBatch:
+        hit, links, joined, root = _pair(pa.Table.from_batches(held), cosine)
+        columns = np.r_[hit, joined], np.r_[links, np.zeros(len(joined), np.int64)], pa.array([*[None] * len(hit), *root.tolist()], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["vec_id", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "one", "other"))))
+            ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)] * bool(keys)
+            for at, end in zip([0, *ends], ends):
+                if keys[at] != key and held:
+                    yield work(held)
+                    held = []
+                key = keys[at]
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield work(held)
+
+    return run
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float | None = None) -> DataFrame:
@@ -247,18 +300,22 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, recall: float
     total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
     index = fit(classes.select(F.col("rep").alias("vec_id"), "label", "v"), total, cosine, labels, recall) if total else None
     shared = embeddings.sparkSession.sparkContext.broadcast(index)
-    postings = classes.select(F.col("rep").alias("vec_id"), "label", "v", "n").mapInArrow(
-        _postings(shared), "vec_id long, label string, v array<double>, n long, cell long, query boolean"
-    )
-    postings = stored(postings, "postings")
-    counts = postings.groupBy("label", "cell").agg(F.sum(F.when(F.col("query"), 1).otherwise(0)).alias("q"), F.sum(F.when(F.col("query"), 0).otherwise(1)).alias("m"))
-    blocks = counts.where("q > 0 and m > 0").select("label", "cell", F.ceil(F.col("q") / BLOCK).cast("int").alias("qs"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ms"))
-    dealt = postings.join(blocks, ["label", "cell"])
-    mine = F.expr("cast(pmod(xxhash64(vec_id), if(query, qs, ms)) as int)")
-    others = F.sequence(F.lit(0), F.expr("if(query, ms, qs)") - 1)
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(others))
-    keys = ["label", "cell", "qb", "mb"]
-    dealt = dealt.select("label", "cell", F.expr("if(query, mine, other)").alias("qb"), F.expr("if(query, other, mine)").alias("mb"), "vec_id", "query", "v", "n")
+    placed = stored(classes.select(F.col("rep").alias("vec_id"), "label", "v", "n").mapInArrow(_cells(shared), "vec_id long, label string, v array<double>, n long, cell long"), "cells")
+    # a label's vectors in the order of cells; those of one cell in that of a hash
+    counts = placed.groupBy("label", "cell").agg(F.count("*").alias("m"))
+    order, whole = Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("label")
+    size = F.least(F.lit(LARGEST), F.greatest(F.lit(BLOCK), F.ceil(F.sum("m").over(whole) / BLOCKS))).cast("long")
+    counts = stored(counts.select("label", "cell", "m", (F.sum("m").over(order) - F.col("m")).alias("start"), size.alias("size")), "counts")
+    block = F.expr("(start + pmod(xxhash64(vec_id), m)) div size")
+    placed = placed.join(counts, ["label", "cell"]).select("vec_id", "label", "v", "n", block.alias("block"))
+    visits = placed.select("label", "block", "v").mapInArrow(_visits(shared), "label string, block long, cell long").distinct()
+    reached = counts.select("label", "cell", F.explode(F.sequence(F.expr("start div size"), F.expr("(start + m - 1) div size"))).alias("met"))
+    pairs = visits.join(reached, ["label", "cell"]).select("label", F.least("block", "met").alias("one"), F.greatest("block", "met").alias("other")).distinct()
+    pairs = stored(pairs, "pairs")
+    sides = pairs.select("label", F.col("one").alias("block"), "one", "other", F.lit(False).alias("second"))
+    sides = sides.unionByName(pairs.where("one <> other").select("label", F.col("other").alias("block"), "one", "other", F.lit(True).alias("second")))
+    dealt = placed.join(sides, ["label", "block"]).select("label", "one", "other", "second", (F.col("one") != F.col("other")).alias("two"), "vec_id", "v", "n")
+    keys = ["label", "one", "other"]
     found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_found(cosine), "vec_id long, links long, root long")
     found = stored(found, "found")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
