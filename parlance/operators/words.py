@@ -47,35 +47,83 @@ class _Steps:
         return (self.up[j] >> i - 1 & 1) - (self.down[j] >> i - 1 & 1)
 
 
+def _timed_costs(ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """What aligning two words costs more than leaving out that of the hypothesis: -1, 0, or 1 where they may not be
+    aligned, as much as leaving out one and putting in the other."""
+    cost = (ref[:, None] != hyp[None, :]).astype(np.int8) - np.int8(1)
+    cost[apart] = 1
+    return cost
+
+
+def _timed_rows(costs: np.ndarray, row: np.ndarray):
+    """Rows of the distance table after each word of the reference, less the places in them; ``row``: that before, zeros.
+    Its last axis is the hypothesis; what comes before it are tables side by side. Two rows are used in turn."""
+    rows, one = (row, np.empty_like(row)), np.ones((), row.dtype)
+    met, pairs = np.empty(row[..., 1:].shape, row.dtype), [(rows[i][..., :-1], rows[1 - i], rows[1 - i][..., 1:]) for i in (0, 1)]
+    for i, cost in enumerate(costs):
+        before, new, after = pairs[i % 2]
+        np.add(rows[i % 2], one, out=new)
+        np.add(before, cost, out=met)
+        np.minimum(after, met, out=after)
+        np.minimum.accumulate(new, axis=-1, out=new)
+        yield new
+
+
+def timed_distances(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 1 << 22) -> tuple[list[int], dict]:
+    """``distance`` of many (ref, hyp, apart), whose tables are filled side by side, a few million cells at once; and, of
+    pairs that fit in one go, the ``steps`` of each by its number."""
+    order = sorted((k for k, (ref, hyp, _) in enumerate(pairs) if len(ref) and len(hyp)), key=lambda k: len(pairs[k][0]))
+    found, kept, first = [len(ref) + len(hyp) for ref, hyp, _ in pairs], {}, True
+    while order:
+        rows, columns, taken = len(pairs[order[-1]][0]), 0, []
+        while order and (not taken or rows * max(columns, len(pairs[order[-1]][1])) * (len(taken) + 1) <= most):
+            columns = max(columns, len(pairs[order[-1]][1]))
+            taken.append(order.pop())
+        kind = np.int16 if rows + columns < 1 << 15 else np.int32
+        costs = np.zeros((rows, len(taken), columns), kind)
+        for at, k in enumerate(taken):
+            ref, hyp, apart = pairs[k]
+            costs[: len(ref), at, : len(hyp)] = _timed_costs(ref, hyp, apart)
+        ends: dict[int, list[int]] = {}
+        for at, k in enumerate(taken):
+            ends.setdefault(len(pairs[k][0]), []).append(at)
+        keep, first, before = first and not order, False, np.zeros((len(taken), columns + 1), kind)
+        steps = np.empty((rows, len(taken), columns + 1), np.int8) if keep else None
+        for i, row in enumerate(_timed_rows(costs, before), 1):
+            if keep:
+                np.subtract(row, before, out=steps[i - 1], casting="unsafe")
+                before = row
+            for at in ends.get(i, ()):
+                width = len(pairs[taken[at]][1])
+                found[taken[at]] = int(row[at, width]) + width
+        if keep:
+            kept = {k: steps[:, at] for at, k in enumerate(taken)}
+    return found, kept
+
+
 class _TimedSteps:
     """The same where some pairs may not be aligned, a row of the table at a time."""
 
-    def __init__(self, ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray):
-        cost = (ref[:, None] != hyp[None, :]).astype(np.int32)
-        cost[apart] = 2  # as much as leaving out one and putting in the other
-        places = np.arange(len(hyp) + 1, dtype=np.int32)
-        row, self.steps = places.copy(), np.empty((len(ref), len(hyp) + 1), np.int8)
-        new = np.empty_like(row)
-        for i in range(len(ref)):
-            np.add(row[:-1], cost[i], out=new[1:])
-            new[0] = i + 1
-            np.minimum(new, row + 1, out=new)
-            new -= places
-            np.minimum.accumulate(new, out=new)
-            new += places
+    def __init__(self, ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray, steps: np.ndarray | None = None):
+        self.steps = steps
+        if steps is not None:
+            return
+        self.steps = np.empty((len(ref), len(hyp) + 1), np.int8)
+        row = np.zeros(len(hyp) + 1, np.int32)
+        for i, new in enumerate(_timed_rows(_timed_costs(ref, hyp, apart), row)):
             np.subtract(new, row, out=self.steps[i], casting="unsafe")
-            row, new = new, row
-        self.distance, self.cost = int(row[-1]), cost
+            row = new
 
     def at(self, i: int, j: int) -> int:
         return int(self.steps[i - 1, j])
 
 
-def edits(ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray | None = None) -> tuple[int, int, int, int]:
+def edits(ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray | None = None, known: np.ndarray | None = None) -> tuple[int, int, int, int]:
     """Hits, substitutions, deletions, insertions of an optimal alignment of word numbers.
 
     Of several the one is taken that, from the end, prefers deletions, then insertions, after what
-    both ends share. ``apart``: pairs that may not be aligned.
+    both ends share. ``apart``: pairs that may not be aligned; ``known``: their steps,
+    if they are there already.
     """
     same = 0
     if apart is None:
@@ -86,7 +134,7 @@ def edits(ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray | None = None) ->
         ref, hyp, same = ref[: len(ref) - tail], hyp[: len(hyp) - tail], head + tail
     if not len(ref) or not len(hyp):
         return same, 0, len(ref), len(hyp)
-    steps = _Steps(ref, hyp) if apart is None else _TimedSteps(ref, hyp, apart)
+    steps = _Steps(ref, hyp) if apart is None else _TimedSteps(ref, hyp, apart, known)
     i, j, hits, subs, dels, ins = len(ref), len(hyp), same, 0, 0, 0
     while i and j:
         if steps.at(i, j) == 1:
@@ -104,7 +152,7 @@ def distance(ref: np.ndarray, hyp: np.ndarray, apart: np.ndarray | None = None)
         return len(ref) + len(hyp)
     if apart is None:
         return _Steps(ref, hyp).distance
-    return (_TimedSteps(ref, hyp, apart) if len(ref) <= len(hyp) else _TimedSteps(hyp, ref, apart.T)).distance
+    return timed_distances([(ref, hyp, apart)])[0][0]
 
 
 def word_times(lo: int, hi: int, words: list[str], points: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -115,23 +163,27 @@ def word_times(lo: int, hi: int, words: list[str], points: bool) -> tuple[np.nda
     return (middle, middle) if points else (starts, stops)
 
 
-def permutation_errors(refs: dict, hyps: dict, apart_of=lambda a, b: None) -> dict | None:
+def permutation_errors(refs: dict, hyps: dict, apart_of=None) -> dict | None:
     """Errors under the assignment of speakers with the fewest; None beyond the limit of speakers."""
     if max(len(refs), len(hyps)) > SPEAKER_LIMIT:
         return None
     r, h = sorted(refs), sorted(hyps)
     size = len(r) + len(h)
     cost = np.zeros((size, size))
+    apart = {(a, b): apart_of(a, b) if apart_of else None for a in r for b in h}
+    if apart_of:
+        errors, steps = timed_distances([(refs[a], hyps[b], x) for (a, b), x in apart.items()])
+    else:
+        errors, steps = [distance(refs[a], hyps[b]) for a, b in apart], {}
+    cost[: len(r), : len(h)] = np.array(errors).reshape(len(r), len(h))
     for i, a in enumerate(r):
         cost[i, len(h) :] = len(refs[a])
-        for j, b in enumerate(h):
-            cost[i, j] = distance(refs[a], hyps[b], apart_of(a, b))
     for j, b in enumerate(h):
         cost[len(r) :, j] = len(hyps[b])
     total, mapping = np.zeros(4, np.int64), []
     for i, j in assignment(-cost) if size else []:
         if i < len(r) and j < len(h):
-            total += edits(refs[r[i]], hyps[h[j]], apart_of(r[i], h[j]))
+            total += edits(refs[r[i]], hyps[h[j]], apart[r[i], h[j]], steps.get(i * len(h) + j))
             mapping.append({"ref": r[i], "hyp": h[j]})
         elif i < len(r):
             total += (0, 0, len(refs[r[i]]), 0)
@@ -210,7 +262,9 @@ def word_errors(segments: DataFrame, collar: int = TCP_COLLAR, kinds: tuple[str,
 
     text = segments.schema["meeting_id"].dataType.simpleString() == "string"
     schema = pa.schema([("meeting_id", pa.string() if text else pa.int64()), *_FIELDS])
-    rows = segments.select("meeting_id", "side", "label", "lo", "hi", "tokens").groupBy("meeting_id")
+    # aligning takes long for few bytes: a fixed number of partitions isn't put together by their size
+    parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = segments.select("meeting_id", "side", "label", "lo", "hi", "tokens").repartition(parts, "meeting_id").groupBy("meeting_id")
     return rows.applyInArrow(score, SCORES.replace("meeting_id long", "meeting_id string") if text else SCORES)
 
 
