@@ -11,8 +11,10 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -26,21 +28,27 @@ def folded(rows: DataFrame, keys: list[str], output: str, step: Step) -> DataFra
     def frame(out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(out, columns=schema.names)
 
-    def fold(key: tuple, frames: Iterable[pd.DataFrame], held: dict) -> list[tuple]:
-        out: list[tuple] = []
-        for row in pd.concat(list(frames)).sort_values("ordinal", kind="stable").to_dict("records"):
-            out += [(*key, *x) for x in step(held, row)]
-        return out
+    def fold(key: tuple, found: Iterable[dict], held: dict) -> list[tuple]:
+        return [(*key, *x) for row in found for x in step(held, row)]
 
     def streamed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
-        out = fold(key, frames, held)
+        out = fold(key, pd.concat(list(frames)).sort_values("ordinal", kind="stable").to_dict("records"), held)
         state.update((json.dumps(held),))
         yield frame(out)
 
     if rows.isStreaming:
         return rows.groupBy(*keys).applyInPandasWithState(streamed, output, "state string", "append", GroupStateTimeout.NoTimeout)
-    return rows.groupBy(*keys).applyInPandas(lambda key, x: frame(fold(key, [x], {})), output)
+    kinds = to_arrow_schema(schema)
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        found = sorted(table.to_pylist(), key=lambda row: (row["ordinal"] is None, row["ordinal"] or 0))
+        out = fold(tuple(k.as_py() for k in key), found, {})
+        return pa.Table.from_arrays([pa.array([row[i] for row in out], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+    # steps take long for few bytes: a fixed number of partitions isn't put together by their size
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).groupBy(*keys).applyInArrow(whole, output)
 
 
 def accepted(rows: DataFrame, key: str = "stream") -> DataFrame:
