@@ -2,7 +2,7 @@
 
 Words (meeting_id, seg_no, word_no, word, lo, hi) and turns (meeting_id, label, lo, hi), in whole
 microseconds. A word takes the label whose turns share most time with it in total. Words
-and turns meet in a join by meeting and time bucket, so a long meeting is spread over
+meet the list of the turns of a meeting's time bucket, so a long meeting is spread over
 buckets; words that meet no turn look for the nearest one by running values over the
 meeting's times, not by a join.
 """
@@ -24,12 +24,21 @@ FALLBACK = "spk"
 
 
 def _touching(words: DataFrame, turns: DataFrame, bucket: int) -> DataFrame:
-    """Pairs of a word and a turn that share time or touch, each once."""
-    spread = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.expr(f"lo div {bucket}"), F.expr(f"hi div {bucket}"))))
-    w = spread(words.select(*WORD, "lo", "hi"))
-    t = spread(turns.select("meeting_id", "label", "lo", "hi")).select("meeting_id", "bucket", "label", F.col("lo").alias("t0"), F.col("hi").alias("t1"))
-    met = w.join(t, ["meeting_id", "bucket"]).where("t0 <= hi and lo <= t1")
-    return met.where(F.expr(f"bucket = greatest(lo, t0) div {bucket}")).drop("bucket")
+    """``own`` (all of a word) and ``touch``: the turns (t0, t1, label and what else they have) that share time with it or touch it.
+
+    The turns of a bucket are one list. A word in one bucket meets them where it is; only what longer words meet is put
+    together by word."""
+    rest = [c for c in turns.columns if c not in ("meeting_id", "label", "lo", "hi")]
+    spread = turns.withColumn("bucket", F.explode(F.sequence(F.expr(f"lo div {bucket}"), F.expr(f"hi div {bucket}"))))
+    listed = spread.groupBy("meeting_id", "bucket").agg(F.collect_list(F.struct(F.col("lo").alias("t0"), F.col("hi").alias("t1"), "label", *rest)).alias("around"))
+    rows = words.select("meeting_id", F.struct(*words.columns).alias("own"), F.expr(f"lo div {bucket}").alias("bucket"), F.expr(f"hi div {bucket}").alias("end"))
+    near = lambda x: (x["t0"] <= F.col("own.hi")) & (F.col("own.lo") <= x["t1"])
+    once = lambda x: near(x) & (F.call_function("div", F.greatest(F.col("own.lo"), x["t0"]), F.lit(bucket)) == F.col("bucket"))
+    short = rows.where("bucket <=> end").join(listed, ["meeting_id", "bucket"], "left")
+    long = rows.where("not bucket <=> end").withColumn("row", F.monotonically_increasing_id())
+    long = long.select("meeting_id", "own", "row", F.explode_outer(F.sequence("bucket", "end")).alias("bucket")).join(listed, ["meeting_id", "bucket"], "left")
+    whole = long.withColumn("touch", F.filter("around", once)).groupBy("row").agg(F.first("own").alias("own"), F.flatten(F.collect_list("touch")).alias("touch"))
+    return short.select("own", F.coalesce(F.filter("around", near), F.array()).alias("touch")).unionByName(whole.select("own", "touch"))
 
 
 def nearest_turn(words: DataFrame, turns: DataFrame) -> DataFrame:
@@ -60,6 +69,33 @@ def turn_type(turns: DataFrame) -> str:
     return f"struct<t0:bigint,t1:bigint,label:{turns.schema['label'].dataType.simpleString()}>"
 
 
+def assign_each(words: DataFrame, turns: DataFrame, rules: tuple[str, ...] = TIE_BREAKS[:3], bucket: int = BUCKET, fallback: str = FALLBACK) -> DataFrame:
+    """``words`` with how (overlap, tie, nearest or fallback), tied (the tied labels of a tie) and the label under each of
+    the ``rules``, all from one meeting of words and turns. ``previous_word`` isn't among them: it follows from floor and tied."""
+    turns = turns.where("hi >= lo")
+    met = turns.withColumn("seen", F.min(F.struct("lo", "hi")).over(Window.partitionBy("meeting_id", "label"))) if "first_seen" in rules else turns
+    rows = _touching(words, met.select("meeting_id", "label", "lo", "hi", *(["seen"] if "first_seen" in rules else [])), bucket)
+    shared = lambda x: F.least(F.col("own.hi"), x["t1"]) - F.greatest(F.col("own.lo"), x["t0"])
+    total = lambda name: F.aggregate("touch", F.lit(0).cast("long"), lambda n, x: n + F.when(x["label"].eqNullSafe(name), shared(x)).otherwise(0))
+    rows = rows.withColumn("totals", F.transform(F.array_distinct(F.transform("touch", lambda x: x["label"])), lambda name: F.struct(total(name).alias("total"), name.alias("label"))))
+    rows = rows.withColumn("most", F.greatest(F.lit(1), F.array_max(F.transform("totals", lambda x: x["total"]))))
+    rows = rows.withColumn("tied", F.array_sort(F.transform(F.filter("totals", lambda x: x["total"] == F.col("most")), lambda x: x["label"])))
+    rows = rows.withColumn("won", F.filter("touch", lambda x: (shared(x) > 0) & F.exists("tied", lambda name: name.eqNullSafe(x["label"]))))
+    turn = lambda x: F.struct(x["t0"], x["t1"], x["label"])
+    picks = {
+        "floor": lambda: F.array_min(F.transform("won", turn))["label"],
+        "latest_start": lambda: F.array_max(F.transform("won", turn))["label"],
+        "first_seen": lambda: F.array_min(F.transform("won", lambda x: F.struct(x["seen"], x["label"])))["label"],
+    }
+    touched = F.array_min(F.transform("touch", turn))["label"]
+    how = F.when(F.size("tied") > 1, "tie").when(F.size("tied") == 1, "overlap").otherwise("nearest")
+    found = rows.where(F.size("touch") > 0).select("own.*", how.alias("how"), "tied", *[F.coalesce(picks[r](), touched).alias(r) for r in rules])
+    near = nearest_turn(rows.where(F.size("touch") == 0).select("own.*"), turns)
+    way, none = F.when(F.col("near").isNull(), "fallback").otherwise("nearest"), F.array().cast(found.schema["tied"].dataType)
+    label = F.coalesce("near", F.lit(fallback))
+    return found.unionByName(near.select(*words.columns, way.alias("how"), none.alias("tied"), *[label.alias(r) for r in rules]))
+
+
 def assign(words: DataFrame, turns: DataFrame, tie_break: str = "floor", bucket: int = BUCKET, fallback: str = FALLBACK) -> DataFrame:
     """``words`` with label and how: overlap, tie, nearest or fallback.
 
@@ -69,30 +105,10 @@ def assign(words: DataFrame, turns: DataFrame, tie_break: str = "floor", bucket:
     """
     if tie_break not in TIE_BREAKS:
         raise ValueError(f"tie_break is one of {', '.join(TIE_BREAKS)}, not {tie_break!r}")
-    turns = turns.where("hi >= lo")
-    met = _touching(words, turns, bucket)
-    if tie_break == "first_seen":
-        seen = turns.groupBy("meeting_id", "label").agg(F.min(F.struct("lo", "hi")).alias("seen"))
-        met = met.join(seen, ["meeting_id", "label"])
-    # words and what they meet are grouped by word once: label by label, then over labels
-    met = met.select(*WORD, "label", (F.least("hi", "t1") - F.greatest("lo", "t0")).alias("shared"), F.struct("t0", "t1", "label").alias("turn"), *(["seen"] if tie_break == "first_seen" else []))
-    rows = words.select(*WORD, F.struct(*words.columns).alias("own")).unionByName(met, allowMissingColumns=True).repartition(*WORD)
-    key = {"latest_start": F.max(F.when(F.col("shared") > 0, F.col("turn"))), "first_seen": F.min(F.struct("seen", "label")) if tie_break == "first_seen" else None}
-    by_label = rows.groupBy(*WORD, "label").agg(
-        F.max("own").alias("own"), F.sum("shared").alias("total"), key.get(tie_break, F.min(F.when(F.col("shared") > 0, F.col("turn")))).alias("key"), F.min("turn").alias("touched")
-    )
-    found = by_label.groupBy(*WORD).agg(F.max("own").alias("own"), F.max("total").alias("most"), F.min("touched").alias("touched"), F.collect_list(F.when(F.col("total") > 0, F.struct("total", "key", "label"))).alias("met"))
-    tied = F.filter("met", lambda x: x["total"] == F.col("most"))
-    keys = F.array_sort(F.transform("tied", lambda x: x["key"]))
-    pick = (F.element_at(keys, -1) if tie_break == "latest_start" else F.element_at(keys, 1))["label"]
-    told = found.withColumn("tied", tied).select("own.*", F.when(F.size("tied") > 0, pick).alias("pick"), F.array_sort(F.transform("tied", lambda x: x["label"])).alias("labels"), "touched")
-    columns = [F.col(c) for c in words.columns]
-    label = F.coalesce("pick", "touched.label")
-    how = F.when(F.size("labels") > 1, "tie").when(F.size("labels") == 1, "overlap").otherwise("nearest")
-    near = nearest_turn(told.where("touched is null").select(*columns), turns)
-    near = near.select(*columns, F.coalesce("near", F.lit(fallback)).alias("label"), F.when(F.col("near").isNull(), "fallback").otherwise("nearest").alias("how"), F.array().cast("array<string>").alias("labels"))
-    found = told.where("touched is not null").select(*columns, label.alias("label"), how.alias("how"), "labels").unionByName(near)
-    return _previous(found) if tie_break == "previous_word" else found.drop("labels")
+    rule = "floor" if tie_break == "previous_word" else tie_break
+    found = assign_each(words, turns, (rule,), bucket, fallback).select(*words.columns, F.col(rule).alias("label"), "how", "tied")
+    found = previous(found) if tie_break == "previous_word" else found
+    return found.select(*words.columns, "label", "how")
 
 
 def assign_whole(segments: DataFrame, words: DataFrame, turns: DataFrame, tie_break: str = "floor", shortest: int = SHORTEST) -> DataFrame:
@@ -104,17 +120,19 @@ def assign_whole(segments: DataFrame, words: DataFrame, turns: DataFrame, tie_br
     return found.select("meeting_id", "seg_no", "label", "lo", F.greatest("hi", F.col("lo") + shortest).alias("hi"), F.col("word").alias("text"), "how")
 
 
-def _previous(found: DataFrame) -> DataFrame:
-    """A tied word follows the word before it, which may itself have followed: one pass in order."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != "labels")
+def previous(found: DataFrame, floor: str = "label", name: str = "label") -> DataFrame:
+    """``found`` less tied, with labels ``name`` by ``previous_word``, given those by floor: a tied word follows the word
+    before it, which may itself have followed: one pass in order."""
+    kept = [f for f in found.schema if f.name not in ("tied", name)]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{name}` {found.schema[floor].dataType.simpleString()}"
 
     def follow(table: pa.Table) -> pa.Table:
         table = table.sort_by([("seg_no", "ascending"), ("word_no", "ascending")])
         out, before = [], None
-        for label, how, labels in zip(*(table.column(c).to_pylist() for c in ("label", "how", "labels"))):
-            before = before if how == "tie" and before in labels else label
+        for own, how, tied in zip(*(table.column(c).to_pylist() for c in (floor, "how", "tied"))):
+            before = before if how == "tie" and before in tied else own
             out.append(before)
-        return table.drop(["labels"]).set_column(table.schema.get_field_index("label"), "label", pa.array(out, pa.string()))
+        return table.select([f.name for f in kept]).append_column(name, pa.array(out, pa.string()))
 
     return found.groupBy("meeting_id").applyInArrow(follow, kinds)
 
@@ -130,16 +148,17 @@ def assignment_stats(assigned: DataFrame, whole: DataFrame | None = None) -> Dat
     return both.select("meeting_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in both.columns if c != "meeting_id"])
 
 
-def speaker_runs(assigned: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def speaker_runs(assigned: DataFrame, shortest: int = SHORTEST, by: tuple[str, ...] = (), **sums) -> DataFrame:
     """Consecutive words of one label in a segment as one: meeting_id, seg_no, run, label, lo, hi, text.
 
-    A run is never shorter than ``shortest``."""
-    order = Window.partitionBy("meeting_id", "seg_no").orderBy("word_no")
+    A run is never shorter than ``shortest``. Rows that differ in columns ``by`` are apart; ``sums``: more aggregates."""
+    keys = ("meeting_id", "seg_no", *by)
+    order = Window.partitionBy(*keys).orderBy("word_no")
     change = F.when(F.lag("label").over(order).eqNullSafe(F.col("label")), 0).otherwise(1)
     marked = assigned.withColumn("change", change).withColumn("run", F.sum("change").over(order))
     words = F.array_sort(F.collect_list(F.struct("lo", "hi", "word_no", "word")))
-    runs = marked.groupBy("meeting_id", "seg_no", "run", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), words.alias("w"))
-    return runs.select("meeting_id", "seg_no", "run", "label", "lo", F.greatest("hi", F.col("lo") + shortest).alias("hi"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
+    runs = marked.groupBy(*keys, "run", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), words.alias("w"), *[c.alias(n) for n, c in sums.items()])
+    return runs.select(*keys, "run", "label", "lo", F.greatest("hi", F.col("lo") + shortest).alias("hi"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"), *sums)
 
 
 def split_words(words: DataFrame, tokens) -> DataFrame:

@@ -249,31 +249,52 @@ def scores_of(rows: list[dict], collar: int = TCP_COLLAR, kinds: tuple[str, ...]
     return {k: way() if k in kinds else None for k, way in ways.items()} | {"refused": refused}
 
 
-def word_errors(segments: DataFrame, collar: int = TCP_COLLAR, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def word_errors(
+    segments: DataFrame, collar: int = TCP_COLLAR, kinds: tuple[str, ...] = KINDS, order: tuple[str, ...] = (), variant: str | None = None, variants: tuple[str, ...] = (), summed: str | None = None
+) -> DataFrame:
     """One row per meeting: literal, concat, cp and tcp, each with its rate and counts; cp and tcp are
     null, with the reason, for meetings of too many speakers. Segments without words don't count.
-    Of the ``kinds`` that aren't asked for there are nulls."""
+    Of the ``kinds`` that aren't asked for there are nulls.
+
+    Segments of one time and label come in the ``order`` of these columns. With ``variant``, a column of
+    text, there is a row for each of ``variants`` (scored once where no segment has one): of its segments
+    and those of none; ``summed`` is a column whose sum over them is kept."""
     if collar < 0:
         raise ValueError("a collar is a finite number, 0 or more")
+    extra = [c for c in (variant, summed) if c]
 
     def score(table: pa.Table) -> pa.Table:
-        found = scores_of(table.select(["side", "label", "lo", "hi", "tokens"]).to_pylist(), collar, kinds)
-        return pa.Table.from_pylist([{"meeting_id": table.column("meeting_id")[0].as_py()} | found], schema=schema)
-
+        rows = (table.sort_by([(c, "ascending") for c in order]) if order else table).select(columns).to_pylist()
+        meeting = {"meeting_id": table.column("meeting_id")[0].as_py()}
+        if not variant:
+            return pa.Table.from_pylist([meeting | one(rows)], schema=schema)
+        if all(r[variant] is None for r in rows):
+            found = one(rows)
+            return pa.Table.from_pylist([meeting | {variant: v} | found for v in variants], schema=schema)
+        of = {v: one([r for r in rows if r[variant] in (None, v)]) for v in variants}
+        return pa.Table.from_pylist([meeting | {variant: v} | found for v, found in of.items()], schema=schema)
+
+    def one(rows: list[dict]) -> dict:
+        return ({summed: sum(r[summed] or 0 for r in rows)} if summed else {}) | scores_of(rows, collar, kinds)
+
+    columns = ["side", "label", "lo", "hi", "tokens", *extra]
     text = segments.schema["meeting_id"].dataType.simpleString() == "string"
-    schema = pa.schema([("meeting_id", pa.string() if text else pa.int64()), *_FIELDS])
+    more = [*([(variant, pa.string())] if variant else []), *([(summed, pa.int64())] if summed else [])]
+    schema = pa.schema([("meeting_id", pa.string() if text else pa.int64()), *more, *_FIELDS])
     # aligning takes long for few bytes: a fixed number of partitions isn't put together by their size
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = segments.select("meeting_id", "side", "label", "lo", "hi", "tokens").repartition(parts, "meeting_id").groupBy("meeting_id")
-    return rows.applyInArrow(score, SCORES.replace("meeting_id long", "meeting_id string") if text else SCORES)
+    rows = segments.select("meeting_id", *columns, *order).repartition(parts, "meeting_id").groupBy("meeting_id")
+    names = (f"{variant} string, " if variant else "") + (f"{summed} long, " if summed else "")
+    return rows.applyInArrow(score, SCORES.replace("meeting_id long, ", f"meeting_id {'string' if text else 'long'}, {names}"))
 
 
-def pooled(scores: DataFrame, kind: str) -> DataFrame:
-    """Micro and macro rates over meetings; refused ones are counted, not pooled."""
+def pooled(scores: DataFrame, kind: str, by: tuple[str, ...] = (), *more) -> DataFrame:
+    """Micro and macro rates over meetings, of each ``by``; refused ones are counted, not pooled."""
     x = F.col(kind)
-    return scores.agg(
+    return scores.groupBy(*by).agg(
         F.try_divide(F.sum(x["errors"]), F.sum(x["length"])).alias("micro"),
         F.avg(x["rate"]).alias("macro"),
         F.count(x["rate"]).alias("meetings"),
         F.count_if(x.isNull()).alias("not_scored"),
+        *more,
     )

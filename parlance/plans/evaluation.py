@@ -6,7 +6,7 @@ shuffles, and what can't be scored is a row with its reason, never dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.operators import alignment, reports, scoring, text, words
@@ -184,13 +184,25 @@ def evaluate(spark: SparkSession, refs: str, hyps: str, meeting_schema: str, hyp
 
 def tie_breaks(refs: DataFrame, spoken: DataFrame, turns: DataFrame) -> DataFrame:
     """rule, micro, macro, meetings, not_scored, ties: cpWER of words (meeting_id, seg_no, word_no, word, lo,
-    hi) under each way to break ties between the labels of turns, against refs (meeting_id, label, lo, hi, tokens)."""
-    out = None
-    for rule in alignment.TIE_BREAKS:
-        assigned = alignment.assign(spoken, turns, rule)
-        runs = alignment.speaker_runs(assigned).select("meeting_id", F.lit("H").alias("side"), "label", "lo", "hi", text.split_words(text.normalise(F.col("text"))).alias("tokens"))
-        both = refs.select("meeting_id", F.lit("R").alias("side"), "label", "lo", "hi", "tokens").unionByName(runs)
-        rates = words.pooled(words.word_errors(both, kinds=("cp",)), "cp")
-        row = rates.crossJoin(assigned.agg(F.count_if(F.col("how") == "tie").alias("ties"))).select(F.lit(rule).alias("rule"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    hi) under each way to break ties between the labels of turns, against refs (meeting_id, label, lo, hi, tokens).
+
+    Words are assigned once. Only segments that the rules label apart have runs for each rule, and meetings
+    without such a segment are scored once."""
+    spark, rules = spoken.sparkSession, alignment.TIE_BREAKS
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = alignment.assign_each(spoken, turns).repartition(parts, "meeting_id")
+    told = told.withColumn("any", F.max(F.col("how") == "tie").over(Window.partitionBy("meeting_id")))
+    tied = alignment.previous(told.where("any"), "floor", "previous_word")
+    apart = F.max(F.expr(" or ".join(f"not floor <=> {r}" for r in rules[1:]))).over(Window.partitionBy("meeting_id", "seg_no"))
+    each = lambda *names: F.array(*[F.struct(F.lit(n).cast("string").alias("rule"), F.col(n or "floor").alias("label")) for n in names])
+    tied = tied.withColumn("apart", apart).withColumn("x", F.explode(F.when(F.col("apart"), each(*rules)).otherwise(each(None)))).select("*", "x.*")
+    plain = told.where("not any").select("*", F.lit(None).cast("string").alias("rule"), F.col("floor").alias("label"))
+    ties = F.count_if(F.col("how") == "tie")
+    runs = alignment.speaker_runs(plain, by=("rule",), ties=ties).unionByName(alignment.speaker_runs(tied, by=("rule",), ties=ties))
+    own = runs.select("meeting_id", F.lit("H").alias("side"), "label", "lo", "hi", text.split_words(text.normalise(F.col("text"))).alias("tokens"), "seg_no", "run", "rule", "ties")
+    both = refs.select("meeting_id", F.lit("R").alias("side"), "label", "lo", "hi", "tokens").unionByName(own, allowMissingColumns=True)
+    scores = words.word_errors(both, kinds=("cp",), order=("seg_no", "run"), variant="rule", variants=rules, summed="ties")
+    rates = words.pooled(scores, "cp", ("rule",), F.sum("ties").alias("ties"))
+    names = spark.createDataFrame([(r,) for r in rules], "rule string")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return names.join(rates, "rule", "left").select("rule", "micro", "macro", count("meetings"), count("not_scored"), count("ties"))
