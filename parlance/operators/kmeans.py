@@ -25,11 +25,18 @@ BLOCK = 4096
 BROADCAST_BYTES = 64 << 20
 #: Blocks whose sums are added in one step.
 RUN = 256
+#: Numbers of which distances are taken at once.
+NEAR = 1 << 16
 
 
 def apart(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, points by centres."""
-    return np.stack([np.einsum("ij,ij->i", d, d) for d in (x - c for c in centres)], axis=1)
+    """Squared distances, points by centres; differences of a few points at once stay in a core's cache."""
+    out, few = np.empty((len(x), len(centres))), max(1, NEAR // max(1, x.shape[1]))
+    for i in range(0, len(x), few):
+        for j, c in enumerate(centres):
+            d = x[i : i + few] - c
+            np.einsum("ij,ij->i", d, d, out=out[i : i + few, j])
+    return out
 
 
 def sums(x: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
