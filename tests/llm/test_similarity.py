@@ -134,6 +134,31 @@ def test_removed_lines_in_any_order_of_rows(spark):
     assert sorted(rows[0], key=str) == sorted(rows[1], key=str)
 
 
+def test_lines_are_compared_without_python_on_executors(spark):
+    """op4 is marked native; that tasks run no Python is seen in the plans that write its tables and in its own."""
+    plans, was = [], line_dedup.stored_at
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return was(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "stored_at", seen)
+        patch.setattr(line_dedup, "stored", lambda df, name: seen(df, name)[0])
+        found = removed_lines(spark.createDataFrame(LINES, "doc_id long, text string, at int"))
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert len(plans) > 5 and not any("Arrow" in p or "Python" in p.replace("applySchemaToPythonRDD", "") for p in plans)
+
+
+@pytest.mark.parametrize("letter", ["É", "İ", "ß", "Σ", "a\u0301", "ⓐⒶ", "ǅ", "\x1f", "\u2003", "\u0085"])
+def test_only_ascii_letters_are_lowered(spark, letter):
+    """Line by line the built-in function lowers A-Z alone or isn't used."""
+    rows = [(f"Q{letter}Z\tB\x0bC\x0cD\rE {letter}",), (letter * 3,), (f"ABC {letter.lower()}",), ("ABC\tDef",), ("ABC",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "line string").select(line_dedup._lowered("line")).collect()]
+    lower = {i: i + 32 for i in range(65, 91)} | {i: 32 for i in (9, 11, 12, 13)}
+    assert got == [r[0].translate(lower) for r in rows]
+
+
 def test_no_lines(spark):
     assert removed_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
