@@ -263,3 +263,15 @@ def test_embedding_edge_cases(spark):
     lone = [(i, 0, i) for i in (3, 4, 5, 6, 7, 8, 9, 10)] + [(None, 0, None)]
     assert got == sorted([*lone, (1, 3, 1), (2, 3, 1), (2, 3, 1), (13, 3, 1), (11, 1, 11), (12, 1, 11)], key=str)
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_near_copies_do_not_meet_each_other(spark, monkeypatch):
+    """Lines of a group of near copies have leaders, so their pairs aren't sought; a line is lowered once."""
+    copies = [" ".join(f"word{'x' * (j if j != i % 25 else 30 + i // 25)}{j}" for j in range(25)) for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")
+    tables, was = {}, line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: tables.setdefault((name, len(tables)), was(df, name)))
+    found = removed_lines(docs)
+    wanted = next(df for (name, _), df in tables.items() if name == "own").where("wanted").count()
+    assert wanted < 30 and sorted(r.doc_id for r in found.collect()) == list(range(1, 150))
+    assert line_dedup._sets(docs, 80)._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
