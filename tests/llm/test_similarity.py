@@ -275,3 +275,23 @@ def test_near_copies_do_not_meet_each_other(spark, monkeypatch):
     wanted = next(df for (name, _), df in tables.items() if name == "own").where("wanted").count()
     assert wanted < 30 and sorted(r.doc_id for r in found.collect()) == list(range(1, 150))
     assert line_dedup._sets(docs, 80)._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+@pytest.mark.parametrize("few", [0, 200])
+def test_lines_whose_leaders_fail_need_no_second_round(spark, monkeypatch, few):
+    """A line that shares its longest words with an unlike line that isn't far, and is near to a third one."""
+    rows, long = [], "aaaaaaaaaaaaaaaaaa bbbbbbbbbbbbbbbbb cccccccccccccccc ddddddddddddddd eeeeeeeeeeeeee"
+    for g in range(12):
+        of = lambda *parts: " ".join(f"{chr(97 + g)}{p}{i}" for p, n in parts for i in range(n))
+        names = " ".join(w + chr(97 + g) for w in long.split())
+        rows += [f"{names} {of(('x', 20), ('y', 4))}", f"{of(('x', 20), ('z', 4))} {names[: len(names) // 2]}zz"]
+        rows.append(f"{names} {of(('x', 17), ('z', 4))}")
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    tables, was = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: tables.append(name) or was(df, name))
+    monkeypatch.setattr(line_dedup, "FEW", few, raising=False)
+    found = sorted(((r.doc_id, r.line_no, r.occurrence) for r in removed_lines(docs).collect()), key=str)
+    assert found == brute_lines(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect())
+    assert tables.count("pairs") == line_dedup.PARTS
+    monkeypatch.setattr(line_dedup, "EARLIEST", 1)  # all candidates but one come in a second round
+    assert sorted(((r.doc_id, r.line_no, r.occurrence) for r in removed_lines(docs).collect()), key=str) == found
