@@ -293,5 +293,6 @@ def test_lines_whose_leaders_fail_need_no_second_round(spark, monkeypatch, few):
     found = sorted(((r.doc_id, r.line_no, r.occurrence) for r in removed_lines(docs).collect()), key=str)
     assert found == brute_lines(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect())
     assert tables.count("pairs") == line_dedup.PARTS
+    assert tables.index("matched") < tables.index("pairs")  # leaders are verified before words are joined
     monkeypatch.setattr(line_dedup, "EARLIEST", 1)  # all candidates but one come in a second round
     assert sorted(((r.doc_id, r.line_no, r.occurrence) for r in removed_lines(docs).collect()), key=str) == found
